@@ -7,7 +7,7 @@ from lanewise import constants as C
 
 
 def _parse(text: Column, pattern: str) -> Column:
-    parsed = F.try_to_date(text, F.lit(pattern))
+    parsed = F.try_to_date(text, pattern)
     if "yyyy" in pattern:
         return parsed
     # Two-digit years 69-99 belong to the last century.
@@ -17,7 +17,7 @@ def _parse(text: Column, pattern: str) -> Column:
 def first_parse(text: Column, patterns: list[str]) -> Column:
     """First pattern that parses wins; NULL when none does."""
     clean = F.trim(text)
-    return F.coalesce(*[_parse(clean, p) for p in patterns])
+    return F.coalesce(*[_parse(clean, p) for p in dict.fromkeys(patterns)])
 
 
 def parse_invoice_date(text: Column) -> Column:

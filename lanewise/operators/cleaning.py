@@ -36,18 +36,22 @@ def add_weights(orders: DataFrame) -> DataFrame:
             .withColumn("truck_type", assign_truck(F.col("weight_kg"))))
 
 
-def month_medians(orders: DataFrame, value: str) -> DataFrame:
-    """Median per calendar month across years. Scores are small whole numbers, so
-    the distinct values behind each median are few whatever the row count."""
-    return (orders.where(F.col("order_date").isNotNull())
-            .groupBy(F.month("order_date").alias("month")).agg(F.median(value).alias("month_median")))
+def month_medians(counts: DataFrame, value: str) -> DataFrame:
+    return (counts.where(F.col("month").isNotNull())
+            .groupBy("month").agg(F.percentile(value, 0.5, F.col("n")).alias("month_median")))
 
 
 def month_median_impute(orders: DataFrame, value: str = "expected_weather_score") -> DataFrame:
-    """Missing score -> median of its calendar month -> overall median."""
-    medians = small_side(month_medians(orders, value))
-    overall = orders.agg(F.median(value))
-    return (orders.withColumn("month", F.month("order_date")).join(medians, "month", "left")
+    """Missing score -> median of its calendar month across years -> overall median.
+
+    Scores are small whole numbers, so the orders collapse to a short (month, score,
+    count) table in one pass; both medians come from it.
+    """
+    month = F.month("order_date")
+    counts = small_side(orders.where(F.col(value).isNotNull()).groupBy(month.alias("month"), value)
+                        .agg(F.count("*").alias("n")))
+    overall = counts.agg(F.percentile(value, 0.5, F.col("n")))
+    return (orders.withColumn("month", month).join(F.broadcast(month_medians(counts, value)), "month", "left")    # 12 rows
             .withColumn(value, F.coalesce(F.col(value), F.col("month_median"), overall.scalar()))
             .drop("month", "month_median"))
 

@@ -66,8 +66,9 @@ def route_lookup_directed(df: DataFrame, routes: DataFrame) -> DataFrame:
 def hub_attributes(df: DataFrame, hubs: DataFrame) -> DataFrame:
     """Origin and destination city and state."""
     for side in ("origin", "dest"):
-        table = small_side(hubs.select(F.col("hub_id").alias(f"{side}_hub_id"), F.col("city").alias(f"{side}_city"),
-                                       F.col("state").alias(f"{side}_state")))
+        # a hub list read from a file is broadcast by its file size, without a hint
+        table = hubs.select(F.col("hub_id").alias(f"{side}_hub_id"), F.col("city").alias(f"{side}_city"),
+                            F.col("state").alias(f"{side}_state"))
         df = df.join(table, f"{side}_hub_id", "left")
     return df
 

@@ -73,14 +73,17 @@ def rejection_breakdown(log: DataFrame) -> DataFrame:
 
 # ---- learned ranges and model metrics -----------------------------------------------
 
-def training_ranges(orders: DataFrame) -> DataFrame:
-    """One row: min, max, 1st and 99th percentile of the drift features."""
+def training_ranges(orders: DataFrame, tails: bool = True) -> DataFrame:
+    """One row: min, max and, with ``tails``, the 1st and 99th percentile of the drift features."""
     names = list(C.DRIFT_LABELS)
     ends = orders.agg(*[f(n).alias(f"{n}_{s}") for n in names for s, f in (("min", F.min), ("max", F.max))])
-    for n in names:
-        tails = exact_percentiles(orders, n, {f"{n}_p01": 0.01, f"{n}_p99": 0.99})
-        box = tails.select(F.struct(*tails.columns).alias("b")).scalar()
-        ends = ends.withColumns({c: box[c] for c in tails.columns})
+    if not tails:
+        return ends.select(*[F.round(c, 2).alias(c) for c in ends.columns])
+    cells = orders.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("value")) for n in names])))
+    quantiles = exact_percentiles(cells, "value", {"p01": 0.01, "p99": 0.99}, ["feature"])
+    # four rows
+    box = quantiles.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("p01", "p99"))))).scalar()
+    ends = ends.withColumns({f"{n}_{p}": box[n][p] for n in names for p in ("p01", "p99")})
     return ends.select(*[F.round(c, 2).alias(c) for c in ends.columns])
 
 

@@ -105,7 +105,7 @@ def exact_percentiles(df: DataFrame, value: str, fractions: dict[str, float],
     sketch = rows.groupBy(*keys).agg(F.count("*").alias("_n"),
                                      F.percentile_approx("_v", bounds, accuracy).alias("_q"))
     if keys:
-        tagged = rows.join(sketch, list(keys))
+        tagged = rows.join(small_side(sketch), list(keys))
     else:
         one = sketch.select(F.struct("_n", "_q").alias("s"))
         tagged = rows.withColumn("_s", one.scalar()).select("_v", "_s._n", "_s._q")
