@@ -82,7 +82,7 @@ def city_to_hub(df: DataFrame, hubs: DataFrame, city: str) -> DataFrame:
     if hubs.limit(MAX_HUBS + 1).count() > MAX_HUBS:
         raise ValueError(f"city_to_hub is for a hub list of at most {MAX_HUBS} rows")
     text = F.lower(F.trim(city))
-    listed = table.scalar()
+    listed = F.col("_hubs")
 
     def first(test):
         return F.try_element_at(F.filter(listed, test), F.lit(1))
@@ -90,7 +90,8 @@ def city_to_hub(df: DataFrame, hubs: DataFrame, city: str) -> DataFrame:
     exact = first(lambda h: (h["city"] == text) | (F.lower(h["hub_id"]) == text))
     partial = first(lambda h: h["city"].contains(text) | text.contains(h["city"]))
     found = F.when(text != "", F.coalesce(exact, partial))
-    places = (df.select(city).where(F.col(city).isNotNull()).distinct().withColumn("_hub", found)
+    places = (df.select(city).where(F.col(city).isNotNull()).distinct()
+              .withColumn("_hubs", table.scalar()).withColumn("_hub", found)
               .select(city, F.col("_hub.hub_id").alias(f"{city}_hub_id"), F.col("_hub.state").alias(f"{city}_state")))
     return df.join(places, city, "left")
 

@@ -78,7 +78,8 @@ def running_total(df: DataFrame, order: str, measures: Sequence[str], buckets: i
     """
     cuts = df.select(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10000).alias("cuts"))
     at = F.col(order)
-    rows = df.withColumn("_bucket", F.size(F.filter(cuts.scalar(), lambda c: c <= at)))
+    rows = (df.withColumn("_cuts", cuts.scalar())
+            .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= at))).drop("_cuts"))
     totals = rows.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     above = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{m}").over(above), F.lit(0)).alias(f"_a_{m}")

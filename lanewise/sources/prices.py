@@ -34,7 +34,8 @@ def load_generic_prices(raw: DataFrame, mapping: dict[str, str], city_states: di
 def state_spread(metro: DataFrame, offsets: DataFrame) -> DataFrame:
     """Prices of states without a metro series: daily metro mean moved by the state's offset
     against the mean metro offset. ``offsets``: state, offset, is_metro; one row per state."""
-    national = metro.groupBy("price_date").agg(F.avg(PRICE).alias("mean_price"))
+    # decimal mean: the same whatever order the rows arrive in
+    national = metro.groupBy("price_date").agg(F.avg(F.col(PRICE).cast("decimal(12,4)")).cast("double").alias("mean_price"))
     base = offsets.where("is_metro").agg(F.avg("offset"))
     shifts = (offsets.where("NOT is_metro")
               .agg(F.collect_list(F.struct("state", (F.col("offset") - base.scalar()).alias("shift"))))).scalar()

@@ -33,4 +33,4 @@ def weather_pack(daily: DataFrame) -> DataFrame:
     return packed.select(
         "hub_id", "iso_year", "iso_week", F.concat(F.lit("HUB-"), "hub_id").alias("route_key"),
         F.col("d")[0]["day"].alias("window_start"), F.get("d", F.size("d") - 1)["day"].alias("window_end"),
-        *[F.to_json(F.transform("d", lambda x, n=n: x[n])).alias(col) for n, col in READINGS.items()])
+        *[F.to_json(F.col("d")[n]).alias(col) for n, col in READINGS.items()])
