@@ -1,5 +1,7 @@
 """Aggregates: carrier statistics, dashboards, model metrics, extraction quality."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,24 +143,24 @@ def recall_by_anomaly(df: DataFrame, label: str, pred: str) -> DataFrame:
             .withColumn("recall", F.col("caught") / F.col("total")))
 
 
-def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
+def pr_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Cumulative hits and calls at each distinct score, highest score first."""
-    by_score = (df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score"))
+    by_score = (df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score"))
                 .agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.count("*").alias("n")))
-    return running_total(by_score, "score", ["pos", "n"])
+    return running_total(by_score, "score", ["pos", "n"], by=by)
 
 
-def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
+def average_precision(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Sum of precision times recall step over distinct thresholds."""
-    curve = pr_curve(df, label, score)
-    return curve.agg((F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")) / F.sum("pos")).alias("average_precision"),
+    curve = pr_curve(df, label, score, by)
+    return curve.groupBy(*by).agg((F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_n")) / F.sum("pos")).alias("average_precision"),
                      F.count("*").alias("thresholds"))
 
 
-def verdict_stability(df: DataFrame, label: str, before: str, after: str) -> DataFrame:
+def verdict_stability(df: DataFrame, label: str, before: str, after: str, by: Sequence[str] = ()) -> DataFrame:
     b, a = F.col(before).cast("boolean"), F.col(after).cast("boolean")
     genuine = ~F.col(label).cast("boolean")
-    return df.agg((F.avg((b != a).cast("double")) * 100).alias("verdicts_changed_pct"),
+    return df.groupBy(*by).agg((F.avg((b != a).cast("double")) * 100).alias("verdicts_changed_pct"),
                   F.avg(F.when(genuine, b.cast("double"))).alias("false_positive_rate_before"),
                   F.avg(F.when(genuine, a.cast("double"))).alias("false_positive_rate_after"))
 
