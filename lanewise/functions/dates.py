@@ -1,13 +1,26 @@
 """Date parsing and trip windows."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lanewise import constants as C
 
 
+# what each pattern letter can look like
+_SHAPES = {"yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}",
+           "M": "[0-9]{1,2}", "d": "[0-9]{1,2}", ".": r"\."}
+
+
+def _shape(pattern: str) -> str:
+    tokens = re.findall(r"yyyy|yy|MMMM|MMM|M|d|.", pattern)
+    return "^" + "".join(_SHAPES.get(t, t) for t in tokens) + "$"
+
+
 def _parse(text: Column, pattern: str) -> Column:
-    parsed = F.try_to_date(text, pattern)
+    # A parser that fails raises inside the JVM; the cheap shape test avoids most failures.
+    parsed = F.when(text.rlike(_shape(pattern)), F.try_to_date(text, pattern))
     if "yyyy" in pattern:
         return parsed
     # Two-digit years 69-99 belong to the last century.

@@ -106,9 +106,8 @@ def values_equal(kind: str, a: Column, b: Column, tolerance: float = 0.01) -> Co
     return F.coalesce((a["status"] == "ok") & (b["status"] == "ok") & same, F.lit(False))
 
 
-def field_status(kind: str, truth: Column, predicted: Column) -> Column:
-    """correct | correct_null | hallucinated | missing | wrong for one field."""
-    t, p = NORMALISERS[kind](truth), NORMALISERS[kind](predicted)
+def field_status(kind: str, t: Column, p: Column) -> Column:
+    """correct | correct_null | hallucinated | missing | wrong for one normalised field."""
     return (F.when(t["status"] == "null", F.when(p["status"] == "null", "correct_null").otherwise("hallucinated"))
             .when(p["status"] == "null", "missing")
             .when(values_equal(kind, t, p), "correct").otherwise("wrong"))

@@ -71,16 +71,25 @@ class GateConfig:
     fail_on_uncheckable: bool = True
 
 
-def gate_reasons(cfg: GateConfig = GateConfig(), prefix: str = "", order_known: Column | None = None,
-                 vendor_known: Column | None = None) -> Column:
-    """Array of every failed check over raw text fields (named ``prefix + field``)."""
-    def ok_value(field, norm):
-        return norm(F.col(prefix + field))["value"]
-
-    values = {"order_id": ok_value("order_id", text.norm_id), "vendor_id": ok_value("vendor_id", text.norm_id),
-              "total": ok_value("total", text.norm_amount), "actual_days": ok_value("actual_days", text.norm_number)}
+GATE_NORMALISERS = {"order_id": text.norm_id, "vendor_id": text.norm_id, "total": text.norm_amount,
+                    "actual_days": text.norm_number, "freight_base": text.norm_amount,
+                    "detention": text.norm_amount, "toll": text.norm_amount}
+
+
+def gate_all_reasons(df: DataFrame, cfg: GateConfig = GateConfig(), prefix: str = "", order_known: Column | None = None,
+                     vendor_known: Column | None = None) -> DataFrame:
+    """Adds ``reasons``: every failed check over raw text fields (named ``prefix + field``)."""
+    staged = df.withColumns({f"_n_{f}": norm(F.col(prefix + f)) for f, norm in GATE_NORMALISERS.items()})
+    out = staged.withColumn("reasons", reasons_of("_n_", cfg, order_known, vendor_known))
+    return out.drop(*[f"_n_{f}" for f in GATE_NORMALISERS])
+
+
+def reasons_of(prefix: str, cfg: GateConfig = GateConfig(), order_known: Column | None = None,
+               vendor_known: Column | None = None) -> Column:
+    """Array of failed checks from normalised structs named ``prefix + field``."""
+    values = {f: F.col(f"{prefix}{f}")["value"] for f in GATE_NORMALISERS}
     total, days = values["total"], values["actual_days"]
-    base, detention, toll = (ok_value(f, text.norm_amount) for f in ("freight_base", "detention", "toll"))
+    base, detention, toll = (values[f] for f in ("freight_base", "detention", "toll"))
     parts = base + F.coalesce(detention, F.lit(0.0)) + F.coalesce(toll, F.lit(0.0))
     off = F.abs(parts - total) > F.greatest(F.lit(cfg.drift_abs), total * cfg.drift_rel)
     found = [F.when(values[f].isNull(), f"missing:{f}") for f in cfg.require]

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from lanewise import constants as C
 from lanewise.functions import text
 from lanewise.functions.numeric import laplace_score, wilson
+from lanewise.operators.gate import GateConfig, reasons_of
 from lanewise.operators.scale import exact_percentiles, running_before, running_total
+from lanewise.session import cut_lineage
 
 OK_STATUSES = ("correct", "correct_null")
 
@@ -34,7 +36,7 @@ def vendor_leaderboard(vendors: DataFrame, stats: DataFrame) -> DataFrame:
 
 def vendor_padding_median(invoices: DataFrame, vendors: DataFrame) -> DataFrame:
     """Median positive padding per carrier -> overall median -> fixed default."""
-    positive = invoices.where(F.col("vendor_padding_ratio") > 0)
+    positive = cut_lineage(invoices.where(F.col("vendor_padding_ratio") > 0).select("vendor_id", "vendor_padding_ratio"))
     per_vendor = exact_percentiles(positive, "vendor_padding_ratio", {"own_median": 0.5}, ["vendor_id"])
     overall = exact_percentiles(positive, "vendor_padding_ratio", {"overall": 0.5})
     return (vendors.select("vendor_id").join(per_vendor, "vendor_id", "left")
@@ -147,6 +149,8 @@ def pr_curve(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> D
     """Cumulative hits and calls at each distinct score, highest score first."""
     by_score = (df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score"))
                 .agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.count("*").alias("n")))
+    # read three times below
+    by_score = cut_lineage(by_score)
     return running_total(by_score, "score", ["pos", "n"], by=by)
 
 
@@ -172,11 +176,20 @@ def class_weight(df: DataFrame, label: str) -> DataFrame:
 
 # ---- extraction quality -----------------------------------------------------------
 
+def normalised(docs: DataFrame, fields: dict[str, str] = C.CORE_FIELDS) -> DataFrame:
+    """Adds n_gt_* and n_pred_* structs, so that each text is normalised once per document."""
+    return docs.withColumns({f"n_{side}_{f}": text.NORMALISERS[k](F.col(f"{side}_{f}"))
+                             for f, k in fields.items() for side in ("gt", "pred")})
+
+
+def _status(field: str, kind: str) -> Column:
+    return text.field_status(kind, F.col(f"n_gt_{field}"), F.col(f"n_pred_{field}"))
+
+
 def field_statuses(docs: DataFrame, fields: dict[str, str] = C.CORE_FIELDS) -> DataFrame:
     """(doc_id, layout, field, status) from wide documents with gt_* and pred_* text columns."""
-    cells = [F.struct(F.lit(f).alias("field"), text.field_status(k, F.col(f"gt_{f}"), F.col(f"pred_{f}")).alias("status"))
-             for f, k in fields.items()]
-    return docs.select("doc_id", "layout", F.inline(F.array(*cells)))
+    cells = [F.struct(F.lit(f).alias("field"), _status(f, k).alias("status")) for f, k in fields.items()]
+    return normalised(docs, fields).select("doc_id", "layout", F.inline(F.array(*cells)))
 
 
 def field_accuracy(statuses: DataFrame) -> DataFrame:
@@ -189,18 +202,18 @@ def field_accuracy(statuses: DataFrame) -> DataFrame:
                          "wrong", "missing", "hallucinated", "correct_null")
 
 
-def document_accuracy(docs: DataFrame, gate_reasons: Column, fields: dict[str, str] = C.CORE_FIELDS) -> DataFrame:
-    """Per document: share of correct fields, critical fields all correct, gate verdict.
+def document_accuracy(docs: DataFrame, cfg: GateConfig = GateConfig(), fields: dict[str, str] = C.CORE_FIELDS) -> DataFrame:
+    """Per document: share of correct fields, critical fields all correct, gate reasons and verdict.
 
     One row per document comes straight from the wide row; nothing is exploded or shuffled.
     """
-    good = {f: text.field_status(k, F.col(f"gt_{f}"), F.col(f"pred_{f}")).isin(*OK_STATUSES) for f, k in fields.items()}
-    hits = sum(g.cast("int") for g in good.values())
+    flags = normalised(docs, fields).withColumns({f"ok_{f}": _status(f, k).isin(*OK_STATUSES) for f, k in fields.items()})
+    hits = sum(F.col(f"ok_{f}").cast("int") for f in fields)
     critical = F.lit(True)
     for f in C.CRITICAL_FIELDS:
-        critical = critical & good[f]
-    return docs.select("doc_id", "layout", (hits / len(good)).alias("accuracy"), critical.alias("critical_ok"),
-                       gate_reasons.alias("reasons")).withColumn("gate_passed", F.size("reasons") == 0)
+        critical = critical & F.col(f"ok_{f}")
+    return flags.select("doc_id", "layout", (hits / len(fields)).alias("accuracy"), critical.alias("critical_ok"),
+                        reasons_of("n_pred_", cfg).alias("reasons")).withColumn("gate_passed", F.size("reasons") == 0)
 
 
 def gate_cells(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -233,7 +246,7 @@ def bootstrap_ci(df: DataFrame, value: str, replicas: int = 2000, seed: int = 0)
     weight per distinct value from a hash, so the cost follows the number of
     distinct values, not of rows.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")))
     drawn = counts.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
 
     def uniform(*salt):
@@ -262,7 +275,8 @@ def line_item_status(truth: str, predicted: str) -> Column:
     def row_ok(a, b):
         ok = F.lit(True)
         for f, kind in C.LINE_ITEM_FIELDS.items():
-            ok = ok & (a[f].isNull() | text.field_status(kind, a[f], b[f]).isin(*OK_STATUSES))
+            norm = text.NORMALISERS[kind]
+            ok = ok & (a[f].isNull() | text.field_status(kind, norm(a[f]), norm(b[f])).isin(*OK_STATUSES))
         return ok
     empty_t, empty_p = F.coalesce(F.size(t), F.lit(0)) <= 0, F.coalesce(F.size(p), F.lit(0)) <= 0
     all_ok = F.forall(F.zip_with(t, p, row_ok), lambda x: x)

@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.session import cut_lineage
+
 BROADCAST_ROWS = 2_000_000
 EARLIER = (Window.unboundedPreceding, -1)
 
@@ -101,7 +103,8 @@ def exact_percentiles(df: DataFrame, value: str, fractions: dict[str, float],
     ``fractions`` maps output column -> fraction.
     """
     accuracy = int(4 / slack)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    # two passes over a narrow table; checkpointed, so that what produced it runs once
+    rows = cut_lineage(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")))
     bounds = [b for p in fractions.values() for b in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = rows.groupBy(*keys).agg(F.count("*").alias("_n"),
                                      F.percentile_approx("_v", bounds, accuracy).alias("_q"))

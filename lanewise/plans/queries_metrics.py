@@ -140,7 +140,7 @@ def _(v):
     return metrics.class_weight(v.invoices, "requires_manual_review")
 
 
-@op("exact_percentiles", """SELECT vendor_id, quantile_cont(actual_billed_amount, 0.05) AS p05, median(actual_billed_amount) AS p50, quantile_cont(actual_billed_amount, 0.95) AS p95 FROM f_inv GROUP BY 1""", r="p05:3 p50:3 p95:3")
+@op("exact_percentiles", """SELECT vendor_id, quantile_cont(actual_billed_amount, 0.05) AS p05, median(actual_billed_amount) AS p50, quantile_cont(actual_billed_amount, 0.95) AS p95 FROM f_inv GROUP BY 1""", r="p05:5 p50:5 p95:5")
 def _(v):
     return exact_percentiles(v.invoices, "actual_billed_amount", {"p05": 0.05, "p50": 0.5, "p95": 0.95}, ["vendor_id"])
 
@@ -164,7 +164,7 @@ def _(v):
 
 
 def _doc_scores(v):
-    return metrics.document_accuracy(v.documents, gate.gate_reasons(prefix="pred_"))
+    return metrics.document_accuracy(v.documents)
 
 
 @op("document_accuracy", "SELECT doc_id, layout, accuracy, critical_ok, gate_passed FROM f_docacc", r="accuracy")
@@ -336,9 +336,9 @@ def _(v):
     return series.backtest_summary(series.forecast_scores(_backtests(v)))
 
 
-@op("series_forecast", f"""WITH {_TCLEAN} SELECT 'fuel_diesel' AS series, key, ld + step::INTEGER AS date, lv + coalesce((lv - fv) / nullif(n - 1, 0), 0) * step AS forecast FROM (
+@op("series_forecast", f"""WITH {_TCLEAN} SELECT 'fuel_diesel' AS series, key, ld + step::INTEGER AS date, round(lv + coalesce((lv - fv) / nullif(n - 1, 0), 0) * step, 3) AS forecast FROM (
     SELECT key, max(date) AS ld, max_by(value, date) AS lv, min_by(value, date) AS fv, count(*) AS n FROM f_series GROUP BY 1), (SELECT unnest(range(1, 31)) AS step)
-    UNION ALL SELECT 'weather_temp', key, date + 364, value FROM ({_TSPLIT}) WHERE from_end <= 52 AND from_end > 26""", r="forecast:2")
+    UNION ALL SELECT 'weather_temp', key, date + 364, round(value, 3) FROM ({_TSPLIT}) WHERE from_end <= 52 AND from_end > 26""", r="forecast:3")
 def _(v):
     fuel = series.drift_forecast(_fuel_series(v), 30)
     return fuel.unionByName(series.seasonal_forecast(series.interpolate(_temp_series(v)), 26))
@@ -407,7 +407,7 @@ def _(v):
 
 # score of each variant, its threshold, whether it can only rise with the bill
 VARIANTS = [("mismatch", "cost_mismatch", 20000.0, False, False), ("mismatch_deflated", "cost_mismatch", 20000.0, True, False), ("ratio", "cost_mismatch_ratio", 0.5, False, True),
-            ("upper_ratio", "billed_to_p90_ratio", 1.5, False, True), ("per_kg", "excess_rate_per_kg", 4.0, True, False)]
+            ("skew", "cost_mismatch_delay_skew", 2.0, False, True), ("per_kg", "excess_rate_per_kg", 4.0, True, False)]
 
 
 def _variant_sql(name, feature, limit, deflate, monotone):
