@@ -66,23 +66,23 @@ def _tri(blank: Column, value: Column) -> Column:
     return F.struct(status.alias("status"), F.when(~blank, value).alias("value"))
 
 
-def _blank(text: Column) -> Column:
+def blank(text: Column) -> Column:
     return text.isNull() | (F.trim(text) == "")
 
 
 def norm_amount(text: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(text, r"(?i)(rs\.?|inr|₹)", ""), "[, ]", "")
-    return _tri(_blank(text), F.round(_to_double(bare), 2))
+    return _tri(blank(text), F.round(_to_double(bare), 2))
 
 
 def norm_number(text: Column) -> Column:
     bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)(kgs?|days?)", ""), ",", ""))
-    return _tri(_blank(text), F.round(_to_double(bare), 3))
+    return _tri(blank(text), F.round(_to_double(bare), 3))
 
 
 def norm_date(text: Column) -> Column:
     from lanewise.functions.dates import first_parse
-    return _tri(_blank(text), F.date_format(first_parse(text, C.DOCUMENT_DATE_PATTERNS), "yyyy-MM-dd"))
+    return _tri(blank(text), F.date_format(first_parse(text, C.DOCUMENT_DATE_PATTERNS), "yyyy-MM-dd"))
 
 
 def norm_text(text: Column) -> Column:
@@ -92,7 +92,7 @@ def norm_text(text: Column) -> Column:
 
 
 def norm_id(text: Column) -> Column:
-    return _tri(_blank(text), F.upper(F.regexp_replace(text, r"\s+", "")))
+    return _tri(blank(text), F.upper(F.regexp_replace(text, r"\s+", "")))
 
 
 NORMALISERS = {"amount": norm_amount, "number": norm_number, "date": norm_date,

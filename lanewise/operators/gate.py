@@ -79,15 +79,15 @@ GATE_NORMALISERS = {"order_id": text.norm_id, "vendor_id": text.norm_id, "total"
 def gate_all_reasons(df: DataFrame, cfg: GateConfig = GateConfig(), prefix: str = "", order_known: Column | None = None,
                      vendor_known: Column | None = None) -> DataFrame:
     """Adds ``reasons``: every failed check over raw text fields (named ``prefix + field``)."""
-    staged = df.withColumns({f"_n_{f}": norm(F.col(prefix + f)) for f, norm in GATE_NORMALISERS.items()})
+    staged = df.withColumns({f"_n_{f}": norm(F.col(prefix + f))["value"] for f, norm in GATE_NORMALISERS.items()})
     out = staged.withColumn("reasons", reasons_of("_n_", cfg, order_known, vendor_known))
     return out.drop(*[f"_n_{f}" for f in GATE_NORMALISERS])
 
 
 def reasons_of(prefix: str, cfg: GateConfig = GateConfig(), order_known: Column | None = None,
                vendor_known: Column | None = None) -> Column:
-    """Array of failed checks from normalised structs named ``prefix + field``."""
-    values = {f: F.col(f"{prefix}{f}")["value"] for f in GATE_NORMALISERS}
+    """Array of failed checks from normalised values named ``prefix + field``."""
+    values = {f: F.col(f"{prefix}{f}") for f in GATE_NORMALISERS}
     total, days = values["total"], values["actual_days"]
     base, detention, toll = (values[f] for f in ("freight_base", "detention", "toll"))
     parts = base + F.coalesce(detention, F.lit(0.0)) + F.coalesce(toll, F.lit(0.0))

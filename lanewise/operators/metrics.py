@@ -177,13 +177,23 @@ def class_weight(df: DataFrame, label: str) -> DataFrame:
 # ---- extraction quality -----------------------------------------------------------
 
 def normalised(docs: DataFrame, fields: dict[str, str] = C.CORE_FIELDS) -> DataFrame:
-    """Adds n_gt_* and n_pred_* structs, so that each text is normalised once per document."""
-    return docs.withColumns({f"n_{side}_{f}": text.NORMALISERS[k](F.col(f"{side}_{f}"))
-                             for f, k in fields.items() for side in ("gt", "pred")})
+    """Adds v_gt_*, s_gt_*, v_pred_* and s_pred_*: normalised value and status of each text.
+
+    Plain columns in two steps, not structs: Spark would inline struct fields again
+    and normalise every text several times.
+    """
+    sides = [(f"{side}_{f}", k) for f, k in fields.items() for side in ("gt", "pred")]
+    valued = docs.withColumns({f"v_{c}": text.NORMALISERS[k](F.col(c))["value"] for c, k in sides})
+
+    def status(c, kind):
+        empty = F.col(f"v_{c}").isNull() if kind == "text" else text.blank(F.col(c))
+        return F.when(empty, "null").when(F.col(f"v_{c}").isNull(), "bad").otherwise("ok")
+    return valued.withColumns({f"s_{c}": status(c, k) for c, k in sides})
 
 
 def _status(field: str, kind: str) -> Column:
-    return text.field_status(kind, F.col(f"n_gt_{field}"), F.col(f"n_pred_{field}"))
+    t, p = ({"status": F.col(f"s_{side}_{field}"), "value": F.col(f"v_{side}_{field}")} for side in ("gt", "pred"))
+    return text.field_status(kind, t, p)
 
 
 def field_statuses(docs: DataFrame, fields: dict[str, str] = C.CORE_FIELDS) -> DataFrame:
@@ -213,7 +223,7 @@ def document_accuracy(docs: DataFrame, cfg: GateConfig = GateConfig(), fields: d
     for f in C.CRITICAL_FIELDS:
         critical = critical & F.col(f"ok_{f}")
     return flags.select("doc_id", "layout", (hits / len(fields)).alias("accuracy"), critical.alias("critical_ok"),
-                        reasons_of("n_pred_", cfg).alias("reasons")).withColumn("gate_passed", F.size("reasons") == 0)
+                        reasons_of("v_pred_", cfg).alias("reasons")).withColumn("gate_passed", F.size("reasons") == 0)
 
 
 def gate_cells(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -247,19 +257,21 @@ def bootstrap_ci(df: DataFrame, value: str, replicas: int = 2000, seed: int = 0)
     distinct values, not of rows.
     """
     counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")))
-    drawn = counts.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
+    units = 50
+    # up to 50 copies of a value draw one Poisson(1) weight each; more copies draw one normal weight together
+    copies = F.when(F.col("c") <= units, F.col("c")).otherwise(F.lit(1)).cast("int")
+    drawn = (counts.withColumn("unit", F.explode(F.sequence(F.lit(1), copies)))
+             .withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas)))))
 
-    def uniform(*salt):
-        h = F.xxhash64("replica", "v", F.lit(seed), *salt)
-        return (F.pmod(h, F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    def uniform(salt):
+        return (F.pmod(F.xxhash64("replica", "v", "unit", F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
     # cumulative probabilities of Poisson(1)
     steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975, 0.99999887]
-    unit = F.aggregate(F.sequence(F.lit(1), F.least(F.col("c"), F.lit(50)).cast("int")), F.lit(0.0),
-                       lambda acc, i: acc + sum(F.when(uniform(i) >= s, 1.0).otherwise(0.0) for s in steps))
-    normal = F.sqrt(F.lit(-2.0) * F.ln(uniform(F.lit("a")))) * F.cos(uniform(F.lit("b")) * 6.283185307179586)
-    weight = F.when(F.col("c") <= 50, unit).otherwise(
-        F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt("c") * normal)))
+    drawn = drawn.withColumns({"u1": uniform("a"), "u2": uniform("b")})
+    one = sum((F.col("u1") >= s).cast("double") for s in steps)
+    normal = F.sqrt(F.lit(-2.0) * F.ln("u1")) * F.cos(F.col("u2") * 6.283185307179586)
+    weight = F.when(F.col("c") <= units, one).otherwise(F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt("c") * normal)))
     means = (drawn.withColumn("w", weight).groupBy("replica")
              .agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m")))
     centre = counts.agg(F.sum(F.col("c") * F.col("v")) / F.sum("c"))

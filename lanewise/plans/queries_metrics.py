@@ -7,6 +7,7 @@ from lanewise.operators import costing, enrich, explain, gate, metrics, models,
 from lanewise.operators.scale import exact_percentiles
 from lanewise.plans.queries_rows import risk_sql
 from lanewise.plans.registry import op
+from lanewise.session import cut_lineage
 
 # ---- carriers -------------------------------------------------------------------------------
 
@@ -196,7 +197,8 @@ def _(v):
 @op("bootstrap_ci")
 def _(v):
     """Random by nature: compared with the normal interval in the tests, rows only here."""
-    return metrics.bootstrap_ci(_doc_scores(v), "accuracy")
+    # the replicas reuse the document scores, which therefore run once
+    return metrics.bootstrap_ci(cut_lineage(_doc_scores(v).select("accuracy")), "accuracy")
 
 
 @op("line_item_score", f"""SELECT status, count(*) AS n FROM (SELECT CASE WHEN invoice_seq % 10 = 0 THEN CASE WHEN invoice_seq % 20 = 0 THEN 'correct_null' ELSE 'hallucinated' END WHEN invoice_seq % 7 = 0 THEN 'missing'
