@@ -121,7 +121,8 @@ def fit_risk_model(train: DataFrame, features: list[str] = C.RISK_FEATURES_FULL,
 def fit_monotone_risk_model(train: DataFrame, features: list[str] = C.RISK_FEATURES_FULL,
                             label: str = "requires_manual_review", max_iter: int = 50) -> PipelineModel:
     """Logistic model in which every feature that grows with the bill can only raise the risk."""
-    bounds = [0.0 if f in C.RISK_FEATURES_RISING else float("-inf") for f in features]
+    # finite: an infinite bound times the zero spread of a constant feature would be undefined
+    bounds = [0.0 if f in C.RISK_FEATURES_RISING else -1e6 for f in features]
     stages = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep"),
               StandardScaler(inputCol="raw", outputCol="scaled", withStd=True, withMean=False),
               LogisticRegression(featuresCol="scaled", labelCol=label, weightCol="row_weight", maxIter=max_iter, regParam=1e-4,

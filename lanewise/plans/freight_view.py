@@ -247,7 +247,7 @@ def log_from_events(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     manual = F.when(k % 5 == 0, F.array(F.lit("toll"), F.lit("total"))).otherwise(F.array().cast("array<string>"))
     return events.select(
-        F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.lit("table").alias("extractor_used"),
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.lit("table").alias("extractor_used"),
         reason.isNull().alias("gate_passed"), reason.alias("gate_reason"), _code("ORD", 6, F.col("event_id")).alias("order_id"),
         _code("VEN", 3, F.col("user_id")).alias("vendor_id"), F.col("value").alias("billed_amount"),
         F.round(k / 100.0, 2).alias("model2_proba"), (reason.isNull() & (k >= 50)).alias("flagged"), manual.alias("manual_fields"))
