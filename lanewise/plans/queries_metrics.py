@@ -196,7 +196,7 @@ def _(v):
 
 @op("bootstrap_ci")
 def _(v):
-    """Random by nature: compared with the normal interval in the tests, rows only here."""
+    """Random by nature, so without a SQL twin."""
     # the replicas reuse the document scores, which therefore run once
     return metrics.bootstrap_ci(cut_lineage(_doc_scores(v).select("accuracy")), "accuracy")
 

@@ -1,5 +1,4 @@
-"""Model fits and streaming runs. Fits are compared by metrics and bounds in the tests;
-streams are compared with their batch twins."""
+"""Model fits, which have no SQL twin, and streaming runs, compared with their batch SQL."""
 
 from pyspark.sql import functions as F
 
