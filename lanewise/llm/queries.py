@@ -1,5 +1,5 @@
 """Importing this module registers the queries of every operator in ``common.QUERIES``."""
 
-from lanewise.llm import common, fingerprints, sharding  # noqa: F401
+from lanewise.llm import common, fingerprints, sharding, token_store  # noqa: F401
 
 QUERIES, ORACLES = common.QUERIES, common.ORACLES
