@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import binary_buffers, durable, mix64, pieces, query, seeds, shingle_hashes, table, word_hashes
+from lanewise.llm.common import binary_buffers, durable, input_splits, mix64, pieces, query, seeds, shingle_hashes, table, word_hashes
 from lanewise.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -145,35 +145,66 @@ def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return durable(beside(left, "items").mapInArrow(check, "a long, b long"), "links")
 
 
-def open_pairs(rows: DataFrame, sigs: DataFrame, tested: DataFrame, best: bool) -> DataFrame:
+def open_pairs(rows: DataFrame, sigs: DataFrame, tested: DataFrame, best: bool, cells: int) -> DataFrame:
     """Likely pairs of members of one bucket but different components that were not tested: of each member the likeliest, or all.
 
     ``rows``: key, doc, component, n (size of the bucket). Members are dealt to blocks of about BLOCK; two blocks at a time are
-    compared in one task.
+    compared at once; ``cells`` groups of such comparisons share the tasks.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = rows.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("doc"), blocks).cast("int")})
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).join(sigs, "doc")
 
+    def pairs_of(first, stop, i, j, own, comp):
+        """Row numbers of the pairs of one key and two blocks that lie in different components."""
+        at = np.arange(first, stop)
+        if i == j:
+            x, y = (at[k] for k in np.triu_indices(len(at), 1))
+        else:
+            left, right = at[own[at] == i], at[own[at] == j]
+            x, y = np.repeat(left, len(right)), np.tile(right, len(left))
+        other = comp[x] != comp[y]
+        return x[other], y[other]
+
     def compare(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["key", "i", "j"], kind="stable")
         sig = np.frombuffer(b"".join(f["sig"]), "<u4").reshape(-1, HASHES)
-        doc, comp, own = f["doc"].to_numpy(), f["component"].to_numpy(), f["own"].to_numpy()
-        i, j = f["i"].iloc[0], f["j"].iloc[0]
-        out = []
-        for k in np.flatnonzero(own == i):
-            with_ = np.flatnonzero((own == j) & (comp != comp[k]) & ((doc > doc[k]) if i == j else True))
-            if len(with_):
-                alive, m = likely(np.broadcast_to(sig[k], (len(with_), HASHES)), sig[with_])
-                out.append((np.full(alive.sum(), doc[k]), doc[with_[alive]], m[alive]))
-        if not out:
+        doc, comp, own, key, i, j = (f[c].to_numpy() for c in ("doc", "component", "own", "key", "i", "j"))
+        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        ids, number = np.unique(doc, return_inverse=True)
+        seen, kept, held = [], [], 0
+
+        def settle():
+            x, y = (np.concatenate(c) for c in zip(*seen))
+            lo, hi = np.minimum(number[x], number[y]), np.maximum(number[x], number[y])
+            _, once = np.unique(lo * len(ids) + hi, return_index=True)       # a pair meets in many buckets
+            x, y = x[once], y[once]
+            for k in range(0, len(x), 1 << 15):
+                alive, m = likely(sig[x[k: k + (1 << 15)]], sig[y[k: k + (1 << 15)]])
+                at = np.flatnonzero(alive)
+                kept.append((doc[x[k + at]], doc[y[k + at]], m[at]))
+
+        for first, stop in zip(np.r_[0, cuts], np.r_[cuts, len(key)]):
+            pair = pairs_of(first, stop, i[first], j[first], own, comp)
+            if len(pair[0]):
+                seen.append(pair)
+                held += len(pair[0])
+                if held >= 1 << 20:
+                    settle()
+                    seen, held = [], 0
+        if seen:
+            settle()
+        if not kept:
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in "abm"})
-        got = pd.DataFrame(dict(zip("abm", (np.concatenate(x) for x in zip(*out)))))
+        got = pd.DataFrame(dict(zip("abm", (np.concatenate(x) for x in zip(*kept)))))
         if best:          # three each, as some may have been tested
-            got = pd.concat([got.sort_values(["m", "a", "b"], ascending=[False, True, True]).groupby(c).head(3) for c in "ab"]).drop_duplicates()
-        return got
+            got = got.sort_values(["m", "a", "b"], ascending=[False, True, True])
+            got = pd.concat([got.groupby(c).head(3) for c in "ab"])
+        return got.drop_duplicates()
 
-    found = dealt.select("key", "doc", "component", "own", "i", "j", "sig").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long, m long")
+    dealt = dealt.select("key", "doc", "component", "own", "i", "j", "sig", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells)).alias("cell"))
+    found = dealt.groupBy("cell").applyInPandas(compare, "a long, b long, m long")
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m").distinct().join(tested, ["a", "b"], "left_anti")
     if not best:
         return found.select("a", "b")
@@ -189,6 +220,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     a doc_id are one document if their texts have the same set. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    cells = 4 * input_splits(docs)
     sketch = durable(sketches(docs), "sketches")
     filled = sketch.where("n > 0 AND doc IS NOT NULL")
     classes = filled.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))
@@ -206,7 +238,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comps = components(links)
         rows = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"), "n")
         still = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        more = durable(open_pairs(rows.join(still, "key", "left_semi"), full.select("doc", "sig"), tested, best), "pairs")
+        more = durable(open_pairs(rows.join(still, "key", "left_semi"), full.select("doc", "sig"), tested, best, cells), "pairs")
         if more.isEmpty():
             break
         tested, links = tested.union(more), links.union(confirmed(more, full))
