@@ -1,5 +1,5 @@
 """Importing this module registers the queries of every operator in ``common.QUERIES``."""
 
-from lanewise.llm import common, embeddings, fingerprints, mixing, near_dedup, packing, passages, quality, sharding, token_store  # noqa: F401
+from lanewise.llm import common, embeddings, fingerprints, katz, mixing, near_dedup, packing, passages, quality, sharding, token_store  # noqa: F401
 
 QUERIES, ORACLES = common.QUERIES, common.ORACLES
