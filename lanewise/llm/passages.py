@@ -139,6 +139,8 @@ def joined(uid, lo, size):
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Positions of ``text`` in the order of their suffixes as far as LENGTH bytes; the end sorts before every byte."""
     n = len(text)
+    if not n:
+        return np.zeros(0, np.int64)
     padded = np.concatenate([text, np.zeros(72, np.uint8)])
     word = np.zeros(n + 56, np.uint64)
     for k in range(8):
@@ -166,8 +168,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         new[many[1:]] |= key[1:] != key[:-1]
     # stage two: scan the buckets of first bytes; a suffix hands its predecessor, if larger, to the bucket of that one's byte
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    if n:
-        waiting[text[-1]].append(np.array([n - 1]))
+    waiting[text[-1]].append(np.array([n - 1]))
     direct = np.searchsorted(text[pos], np.arange(257))
     out = []
 
