@@ -37,7 +37,7 @@ def parse_number_simple(text: Column) -> Column:
 def canonical_id(text: Column, prefix: str, digits: int) -> Column:
     """``inv 123`` -> ``INV000123``; ids of another family are only cleaned."""
     clean = F.regexp_replace(F.upper(null_tokens(text)), r"\s+", "")
-    number = F.regexp_replace(fix_glyphs(F.substring(clean, len(prefix) + 1, 1000)), "[^0-9]", "")
+    number = F.regexp_replace(fix_glyphs(clean.substr(F.lit(len(prefix) + 1), F.length(clean))), "[^0-9]", "")
     stripped = F.regexp_replace(number, "^0+(?!$)", "")
     padded = F.when(F.length(stripped) >= digits, stripped).otherwise(F.lpad(stripped, digits, "0"))
     return (F.when(~clean.startswith(prefix), clean)

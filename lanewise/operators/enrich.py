@@ -13,32 +13,37 @@ from lanewise.functions import dates, numeric
 from lanewise.operators.cleaning import assign_truck
 from lanewise.operators.scale import keep_first_by, small_side
 
-MAX_HUBS = 5000
-
 
 # ---- routes ---------------------------------------------------------------------
 
 def hub_pairs(hubs: DataFrame) -> DataFrame:
     """Every unordered pair of hubs, by rank arithmetic and an equi join.
 
-    The hub list is a bounded dimension; the function refuses a larger table
-    because the pairs are quadratic in it.
+    The pairs are quadratic in the hub list by nature; ``route_build`` makes only those that
+    orders use.
     """
     ids = hubs.select("hub_id", "city", "state", "latitude", "longitude")
-    n = ids.limit(MAX_HUBS + 1).count()
-    if n > MAX_HUBS:
-        raise ValueError(f"hub_pairs is for a hub list of at most {MAX_HUBS} rows")
     ranked = ids.withColumn("rank", F.row_number().over(Window.orderBy("hub_id")))
+    n = ids.agg(F.count("*").cast("int")).scalar()
     left = ranked.select(*[F.col(c).alias(f"a_{c}") for c in ranked.columns],
-                         F.explode(F.sequence(F.lit(1), F.lit(n))).alias("other")).where("other > a_rank")
+                         F.explode(F.when(F.col("rank") < n, F.sequence(F.col("rank") + 1, n))).alias("other"))
     right = ranked.select(*[F.col(c).alias(f"b_{c}") for c in ranked.columns])
     return left.join(right, F.col("other") == F.col("b_rank")).drop("other", "a_rank", "b_rank")
 
 
-def route_build(hubs: DataFrame, circuity: float = C.CIRCUITY) -> DataFrame:
-    """Road distance and ideal days per hub pair; impossible distances are dropped."""
+def used_pairs(hubs: DataFrame, orders: DataFrame) -> DataFrame:
+    """The pairs of hubs that orders run between, whichever way round, with both hubs' places."""
+    pairs = (orders.select(F.least("origin_hub_id", "dest_hub_id").alias("a_hub_id"), F.greatest("origin_hub_id", "dest_hub_id").alias("b_hub_id"))
+             .where("a_hub_id < b_hub_id").distinct())
+    for side in "ab":
+        pairs = pairs.join(hubs.select(*[F.col(c).alias(f"{side}_{c}") for c in ("hub_id", "city", "state", "latitude", "longitude")]), f"{side}_hub_id")
+    return pairs
+
+
+def route_build(hubs: DataFrame, circuity: float = C.CIRCUITY, orders: DataFrame | None = None) -> DataFrame:
+    """Road distance and ideal days per hub pair, of all pairs or those of ``orders``; impossible distances are dropped."""
     crow = numeric.haversine_km(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude"))
-    return (hub_pairs(hubs).withColumn("crow_km", crow)
+    return ((hub_pairs(hubs) if orders is None else used_pairs(hubs, orders)).withColumn("crow_km", crow)
             .withColumn("distance_km", F.round(F.col("crow_km") * circuity, 1))
             .where((F.col("distance_km") >= 1) & (F.col("distance_km") >= F.col("crow_km")))
             .select(F.col("a_hub_id").alias("origin_hub_id"), F.col("b_hub_id").alias("dest_hub_id"), "distance_km",
@@ -73,27 +78,28 @@ def hub_attributes(df: DataFrame, hubs: DataFrame) -> DataFrame:
     return df
 
 
+def _substrings(text: Column) -> Column:
+    n = F.length(text)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: text.substr(i, k)))))
+
+
 def city_to_hub(df: DataFrame, hubs: DataFrame, city: str) -> DataFrame:
     """Hub of a free-text place: exact city or hub id first, else the first hub whose
-    city contains the text or is contained in it. Only distinct spellings meet the
-    hub list, which travels as one array."""
-    table = hubs.agg(F.array_sort(F.collect_list(F.struct("hub_id", F.lower(F.trim("city")).alias("city"), "state")))
-                     .alias("hubs"))       # one row per hub, see MAX_HUBS
-    if hubs.limit(MAX_HUBS + 1).count() > MAX_HUBS:
-        raise ValueError(f"city_to_hub is for a hub list of at most {MAX_HUBS} rows")
-    text = F.lower(F.trim(city))
-    listed = F.col("_hubs")
-
-    def first(test):
-        return F.try_element_at(F.filter(listed, test), F.lit(1))
-
-    exact = first(lambda h: (h["city"] == text) | (F.lower(h["hub_id"]) == text))
-    partial = first(lambda h: h["city"].contains(text) | text.contains(h["city"]))
-    found = F.when(text != "", F.coalesce(exact, partial))
-    places = (df.select(city).where(F.col(city).isNotNull()).distinct()
-              .withColumn("_hubs", table.scalar()).withColumn("_hub", found)
-              .select(city, F.col("_hub.hub_id").alias(f"{city}_hub_id"), F.col("_hub.state").alias(f"{city}_state")))
-    return df.join(places, city, "left")
+    city contains the text or is contained in it. Distinct spellings meet the hubs by
+    equi joins on their substrings, so neither list is held in one task; rows without
+    a place do not take part in the join."""
+    listed = hubs.select(F.struct("hub_id", F.lower(F.trim("city")).alias("city"), "state").alias("hub"))
+    places = df.select(F.lower(F.trim(city)).alias("text")).where("text <> ''").distinct()
+    exact = (places.join(listed.select("hub", F.explode(F.array_distinct(F.array("hub.city", F.lower("hub.hub_id")))).alias("text")), "text")
+             .groupBy("text").agg(F.min("hub").alias("exact")))
+    inside = places.select("text", F.explode(_substrings(F.col("text"))).alias("part")).join(listed.withColumn("part", F.col("hub.city")), "part")
+    around = listed.where("hub.city <> ''").select("hub", F.explode(_substrings(F.col("hub.city"))).alias("text")).join(places, "text")
+    partial = inside.select("text", "hub").unionByName(around.select("text", "hub")).groupBy("text").agg(F.min("hub").alias("partial"))
+    found = (places.join(exact, "text", "left").join(partial, "text", "left").withColumn("_hub", F.coalesce("exact", "partial"))
+             .select(F.col("text").alias("_text"), F.col("_hub.hub_id").alias(f"{city}_hub_id"), F.col("_hub.state").alias(f"{city}_state")))
+    # a row without a place gets a key of its own, so that all of them do not meet in one task
+    key = F.coalesce(F.nullif(F.lower(F.trim(city)), F.lit("")), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
+    return df.withColumn("_text", key).join(found, "_text", "left").drop("_text")
 
 
 # ---- diesel ---------------------------------------------------------------------

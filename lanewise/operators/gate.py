@@ -1,7 +1,5 @@
 """Validation gates for extracted invoices."""
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,23 +50,21 @@ def confidence_gate(df: DataFrame, allow_new_orders: bool = True, allow_new_vend
     tiers += [
         F.when(total.isNull() | days.isNull(), "unparseable_amount_or_days"),
         F.when(_drift(parts, total), "arithmetic_mismatch"),
-        F.when(~((total > C.GATE_TOTAL_ABOVE) & (total <= C.GATE_TOTAL_MAX)), "amount_out_of_plausible_range"),
-        F.when(~days.between(C.GATE_DAYS_MIN, C.GATE_DAYS_MAX), "days_out_of_plausible_range"),
+        F.when(outside(total, "total"), "amount_out_of_plausible_range"),
+        F.when(outside(days, "actual_days"), "days_out_of_plausible_range"),
     ]
     return (df.withColumn("gate_reason", F.coalesce(*tiers))
             .withColumn("gate_passed", F.col("gate_reason").isNull()))
 
 
-@dataclass(frozen=True)
-class GateConfig:
-    require: tuple = tuple(C.CRITICAL_FIELDS)
-    min_total: float = C.GATE_TOTAL_ABOVE
-    max_total: float = C.GATE_TOTAL_MAX
-    min_days: float = C.GATE_DAYS_MIN
-    max_days: float = C.GATE_DAYS_MAX
-    drift_abs: float = C.GATE_DRIFT_ABS
-    drift_rel: float = C.GATE_DRIFT_REL
-    fail_on_uncheckable: bool = True
+#: field -> (lowest, highest, lowest included)
+LIMITS = {"total": (C.GATE_TOTAL_ABOVE, C.GATE_TOTAL_MAX, False), "actual_days": (C.GATE_DAYS_MIN, C.GATE_DAYS_MAX, True)}
+LIMIT_CODES = {"total": "total_out_of_bounds", "actual_days": "days_out_of_bounds"}
+
+
+def outside(value: Column, field: str, limits: dict = LIMITS) -> Column:
+    low, high, closed = limits[field]
+    return ~((value >= low if closed else value > low) & (value <= high))
 
 
 GATE_NORMALISERS = {"order_id": text.norm_id, "vendor_id": text.norm_id, "total": text.norm_amount,
@@ -76,35 +72,28 @@ GATE_NORMALISERS = {"order_id": text.norm_id, "vendor_id": text.norm_id, "total"
                     "detention": text.norm_amount, "toll": text.norm_amount}
 
 
-def gate_all_reasons(df: DataFrame, cfg: GateConfig = GateConfig(), prefix: str = "", order_known: Column | None = None,
-                     vendor_known: Column | None = None) -> DataFrame:
+def gate_all_reasons(df: DataFrame, prefix: str = "", order_known: Column | None = None, vendor_known: Column | None = None, **rules) -> DataFrame:
     """Adds ``reasons``: every failed check over raw text fields (named ``prefix + field``)."""
     staged = df.withColumns({f"_n_{f}": norm(F.col(prefix + f))["value"] for f, norm in GATE_NORMALISERS.items()})
-    out = staged.withColumn("reasons", reasons_of("_n_", cfg, order_known, vendor_known))
+    out = staged.withColumn("reasons", reasons_of("_n_", order_known, vendor_known, **rules))
     return out.drop(*[f"_n_{f}" for f in GATE_NORMALISERS])
 
 
-def reasons_of(prefix: str, cfg: GateConfig = GateConfig(), order_known: Column | None = None,
-               vendor_known: Column | None = None) -> Column:
-    """Array of failed checks from normalised values named ``prefix + field``."""
+def reasons_of(prefix: str, order_known: Column | None = None, vendor_known: Column | None = None, required: list[str] = tuple(C.CRITICAL_FIELDS),
+               limits: dict = LIMITS, need_parts: bool = True) -> Column:
+    """Array of failed checks from normalised values named ``prefix + field``: presence, known ids, sums, limits."""
     values = {f: F.col(f"{prefix}{f}") for f in GATE_NORMALISERS}
-    total, days = values["total"], values["actual_days"]
-    base, detention, toll = (values[f] for f in ("freight_base", "detention", "toll"))
-    parts = base + F.coalesce(detention, F.lit(0.0)) + F.coalesce(toll, F.lit(0.0))
-    off = F.abs(parts - total) > F.greatest(F.lit(cfg.drift_abs), total * cfg.drift_rel)
-    found = [F.when(values[f].isNull(), f"missing:{f}") for f in cfg.require]
-    if order_known is not None:
-        found.append(F.when(values["order_id"].isNotNull() & ~order_known, "unknown_order_id"))
-    if vendor_known is not None:
-        found.append(F.when(values["vendor_id"].isNotNull() & ~vendor_known, "unknown_vendor_id"))
-    if cfg.fail_on_uncheckable:
-        found.append(F.when(total.isNotNull() & base.isNull(), "arithmetic_uncheckable"))
-    found += [
-        F.when(off, "arithmetic_mismatch"),
-        F.when(~((total > cfg.min_total) & (total <= cfg.max_total)), "total_out_of_bounds"),
-        F.when(~days.between(cfg.min_days, cfg.max_days), "days_out_of_bounds"),
-    ]
-    return F.array_compact(F.array(*found))
+    checks = [(f"missing:{f}", values[f].isNull()) for f in required]
+    for field, known in (("order_id", order_known), ("vendor_id", vendor_known)):
+        if known is not None:
+            checks.append((f"unknown_{field}", values[field].isNotNull() & ~known))
+    base, total = values["freight_base"], values["total"]
+    if need_parts:
+        checks.append(("arithmetic_uncheckable", total.isNotNull() & base.isNull()))
+    extras = [F.coalesce(values[f], F.lit(0.0)) for f in ("detention", "toll")]
+    checks.append(("arithmetic_mismatch", _drift(base + extras[0] + extras[1], total)))
+    checks += [(LIMIT_CODES[f], outside(values[f], f, limits)) for f in limits]
+    return F.array_compact(F.array(*[F.when(failed, code) for code, failed in checks]))
 
 
 def field_issues(booked_vendor: Column) -> Column:
@@ -112,11 +101,10 @@ def field_issues(booked_vendor: Column) -> Column:
     total, days = F.col("total"), F.col("actual_days")
     parts = F.col("freight_base") + F.col("detention") + F.col("toll")
     drift = F.coalesce(_drift(parts, total), F.lit(False))
-    out_of_range = ~((total > C.GATE_TOTAL_ABOVE) & (total <= C.GATE_TOTAL_MAX))
     issues = {
         "vendor_id": F.when(booked_vendor != F.col("vendor_id"), "carrier_mismatch"),
-        "total": F.when(drift, "line_items_drift").when(out_of_range, "total_out_of_range"),
-        "actual_days": F.when(~days.between(C.GATE_DAYS_MIN, C.GATE_DAYS_MAX), "days_out_of_range"),
+        "total": F.when(drift, "line_items_drift").when(outside(total, "total"), "total_out_of_range"),
+        "actual_days": F.when(outside(days, "actual_days"), "days_out_of_range"),
     }
     full = F.create_map(*[x for k, v in issues.items() for x in (F.lit(k), v)])
     return F.map_filter(full, lambda k, v: v.isNotNull())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lanewise import constants as C
 from lanewise.functions import text
 from lanewise.functions.numeric import laplace_score, wilson
-from lanewise.operators.gate import GateConfig, reasons_of
+from lanewise.operators.gate import reasons_of
 from lanewise.operators.scale import exact_percentiles, running_before, running_total
 from lanewise.session import cut_lineage
 
@@ -212,7 +212,7 @@ def field_accuracy(statuses: DataFrame) -> DataFrame:
                          "wrong", "missing", "hallucinated", "correct_null")
 
 
-def document_accuracy(docs: DataFrame, cfg: GateConfig = GateConfig(), fields: dict[str, str] = C.CORE_FIELDS) -> DataFrame:
+def document_accuracy(docs: DataFrame, fields: dict[str, str] = C.CORE_FIELDS) -> DataFrame:
     """Per document: share of correct fields, critical fields all correct, gate reasons and verdict.
 
     One row per document comes straight from the wide row; nothing is exploded or shuffled.
@@ -223,7 +223,7 @@ def document_accuracy(docs: DataFrame, cfg: GateConfig = GateConfig(), fields: d
     for f in C.CRITICAL_FIELDS:
         critical = critical & F.col(f"ok_{f}")
     return flags.select("doc_id", "layout", (hits / len(fields)).alias("accuracy"), critical.alias("critical_ok"),
-                        reasons_of("v_pred_", cfg).alias("reasons")).withColumn("gate_passed", F.size("reasons") == 0)
+                        reasons_of("v_pred_").alias("reasons")).withColumn("gate_passed", F.size("reasons") == 0)
 
 
 def gate_cells(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -250,28 +250,22 @@ def layout_report(scored: DataFrame) -> DataFrame:
 
 
 def bootstrap_ci(df: DataFrame, value: str, replicas: int = 2000, seed: int = 0) -> DataFrame:
-    """Mean with a 95 % Poisson-bootstrap interval.
+    """Mean with a 95 % interval of the Bayesian bootstrap.
 
-    Rows collapse to (value, count) first; each replica then draws one Poisson
-    weight per distinct value from a hash, so the cost follows the number of
-    distinct values, not of rows.
+    Rows collapse to (value, count) first; each replica then draws one gamma
+    weight per distinct value from a hash, by one rule for every count, so the cost
+    follows the number of distinct values, not of rows.
     """
     counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")))
-    units = 50
-    # up to 50 copies of a value draw one Poisson(1) weight each; more copies draw one normal weight together
-    copies = F.when(F.col("c") <= units, F.col("c")).otherwise(F.lit(1)).cast("int")
-    drawn = (counts.withColumn("unit", F.explode(F.sequence(F.lit(1), copies)))
-             .withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas)))))
+    drawn = counts.withColumn("replica", F.explode(F.sequence(F.lit(1), F.lit(replicas))))
 
     def uniform(salt):
-        return (F.pmod(F.xxhash64("replica", "v", "unit", F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        return (F.pmod(F.xxhash64("replica", "v", F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
-    # cumulative probabilities of Poisson(1)
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975, 0.99999887]
     drawn = drawn.withColumns({"u1": uniform("a"), "u2": uniform("b")})
-    one = sum((F.col("u1") >= s).cast("double") for s in steps)
     normal = F.sqrt(F.lit(-2.0) * F.ln("u1")) * F.cos(F.col("u2") * 6.283185307179586)
-    weight = F.when(F.col("c") <= units, one).otherwise(F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt("c") * normal)))
+    # c exponential weights add up to one gamma weight, here as the cube of a normal
+    weight = F.col("c") * F.pow(F.greatest(F.lit(0.0), 1 - 1 / (9 * F.col("c")) + normal / (3 * F.sqrt("c"))), F.lit(3.0))
     means = (drawn.withColumn("w", weight).groupBy("replica")
              .agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m")))
     centre = counts.agg(F.sum(F.col("c") * F.col("v")) / F.sum("c"))

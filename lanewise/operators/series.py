@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 SEASON = 52
 
 
-def daily_fill(prices: DataFrame, start: Column, end: Column) -> DataFrame:
+def daily_fill(prices: DataFrame, start: Column, end: Column, order: str) -> DataFrame:
     """One price per state and day of [start, end]: forward filled, the head back filled.
 
-    Duplicates of a day keep the row with the latest source order (``price``
-    breaks ties); each observation is stretched to the day before the next.
+    Of the rows of one day the last by ``order`` stays; each observation is stretched
+    to the day before the next.
     """
-    one = prices.groupBy("state", "price_date").agg(F.max("diesel_price_per_litre").alias("price"))
+    one = prices.groupBy("state", "price_date").agg(F.max_by("diesel_price_per_litre", order).alias("price"))
     w = Window.partitionBy("state").orderBy("price_date")
     first = F.row_number().over(w) == 1
     lo = F.when(first, F.least("price_date", start)).otherwise(F.col("price_date"))

@@ -38,12 +38,15 @@ def stratified_split(df: DataFrame, label: str, seq: str, test_share: float = 0.
 
 def layout_holdout_split(docs: DataFrame, seq: str, real_layouts: list[str] = (), held_share: float = 0.25,
                          val_share: float = 0.1, seen_share: float = 0.1, seed: int = 42) -> DataFrame:
-    """Adds ``split``: whole layouts held out, real layouts test only, the rest train/val/seen test."""
+    """Adds ``split``: whole layouts held out, real layouts test only, the rest train/val/seen test.
+
+    Fewer than two layouts that are not real raise an error when the rows are read."""
     real = F.col("layout").isin(list(real_layouts)) if real_layouts else F.lit(False)
     # Layouts are form designs, a short list: they are ranked by a hash of their name.
     names = docs.select("layout").where(~real).distinct()
     ranked = names.withColumn("_rank", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "layout")))))
     total = ranked.agg(F.count("*")).scalar()
+    total = F.when(total >= 2, total).otherwise(F.raise_error(F.lit("a layout hold-out needs two layouts or more")).cast("long"))
     held = F.least(F.greatest(F.lit(1), F.ceil(total * held_share)), total - 1)
     unseen = F.broadcast(ranked.where(F.col("_rank") <= held).select("layout", F.lit(True).alias("_unseen")))
     tagged = docs.join(unseen, "layout", "left").withColumn("_unseen", F.coalesce("_unseen", F.lit(False)))

@@ -101,7 +101,7 @@ def score_invoices(invoices: DataFrame, orders: DataFrame, hubs: DataFrame, rout
     scored = scored.withColumn("explanation", explain.explanation_text(F.col("model2_proba")))
     scored = scored.withColumn("summary", explain.summary_line())
     stopped = gated.where("NOT gate_passed")
-    stopped = stopped.withColumn("explanation", F.concat(F.lit("Routed to manual entry: "), F.regexp_replace("gate_reason", "_", " "),
+    stopped = stopped.withColumn("explanation", F.concat(F.lit("Stopped at the gate: "), F.regexp_replace("gate_reason", "_", " "),
                                                          F.lit(". No score was computed.")))
     return scored.unionByName(stopped.withColumnRenamed("weight_kg", "inv_weight_kg"), allowMissingColumns=True)
 

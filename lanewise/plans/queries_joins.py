@@ -92,9 +92,9 @@ def _(v):
 def _metro_raw(v):
     city = F.concat(F.lit(" "), F.regexp_replace("state", " 0$", ""), F.lit(" "))
     p = v.fuel_prices.where(F.col("state").endswith(" 0"))
-    return p.select(city.alias(" Metro Cities"), F.date_format("price_date", "yyyy-MM-dd").alias("Date "),
-                    F.when(F.col("diesel_price_per_litre") > 95, "n/a").otherwise(F.col("diesel_price_per_litre").cast("string")).alias(" Price (Rs/L)"),
-                    F.when(F.dayofmonth("price_date") == 1, "Petrol").otherwise("Diesel").alias("Product"))
+    return p.select(city.alias(" Metro Cities"), F.when(F.dayofmonth("price_date") % 2 == 0, F.date_format("price_date", "dd-MM-yyyy")).otherwise(F.date_format("price_date", "yyyy-MM-dd")).alias("Calendar Day "),
+                    F.when(F.col("diesel_price_per_litre") > 95, "n/a").otherwise(F.col("diesel_price_per_litre").cast("string")).alias(" Retail Selling Price (Rs/L)"),
+                    F.when(F.dayofmonth("price_date") == 1, "Petrol").otherwise("Diesel").alias("Products"))
 
 
 _METRO = "SELECT replace(state, ' 0', '') AS city, price_date, diesel_price_per_litre FROM f_fuel WHERE state LIKE '% 0' AND diesel_price_per_litre <= 95 AND day(price_date) <> 1"
@@ -105,12 +105,13 @@ def _(v):
     return prices.load_metro_prices(_metro_raw(v))
 
 
-@op("load_generic_prices", """SELECT price_date, CASE region WHEN 'ASIA' THEN 'ASIA 0' ELSE region END AS state, min(p) AS diesel_price_per_litre FROM (
-    SELECT price_date, replace(replace(replace(state, ' 0', ''), ' 1', ''), ' 2', '') AS region, diesel_price_per_litre AS p FROM f_fuel) GROUP BY 1, 2""")
+@op("load_generic_prices", """SELECT price_date, CASE region WHEN 'ASIA' THEN 'ASIA 0' ELSE region END AS state, arg_min(p, state) AS diesel_price_per_litre, 'generic' AS source FROM (
+    SELECT price_date, state, replace(replace(replace(state, ' 0', ''), ' 1', ''), ' 2', '') AS region, diesel_price_per_litre AS p FROM f_fuel WHERE day(price_date) <> 31) GROUP BY 1, 2""")
 def _(v):
-    raw = v.fuel_prices.select(F.concat(F.regexp_replace("state", " [0-9]$", ""), F.lit(" ")).alias("Region"), F.col("price_date").alias("Dt"),
-                               F.col("diesel_price_per_litre").cast("string").alias("Rate"))
-    return prices.load_generic_prices(raw, {"region": "Region", "date": "Dt", "price": "Rate"}, {"ASIA": "ASIA 0"})
+    day = F.when(F.dayofmonth("price_date") == 31, "n/a").when(F.dayofmonth("price_date") % 2 == 0, F.date_format("price_date", "d/M/yyyy")).otherwise(F.date_format("price_date", "yyyy-MM-dd"))
+    raw = v.fuel_prices.select(F.concat(F.regexp_replace("state", " [0-9]$", ""), F.lit(" ")).alias("Region"), day.alias("Dt"),
+                               F.col("diesel_price_per_litre").cast("string").alias("Rate"), F.col("state").alias("Line"))
+    return prices.load_generic_prices(raw, {"region": "Region", "date": "Dt", "price": "Rate"}, {"ASIA": "ASIA 0"}, "Line")
 
 
 def _metro_and_offsets(v):
@@ -291,12 +292,14 @@ def _(v):
     ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS price FROM (SELECT state, unnest(generate_series(DATE '1994-12-01', DATE '2001-12-31', INTERVAL 1 DAY))::DATE AS d FROM (SELECT DISTINCT state FROM f_fuel))
     LEFT JOIN (SELECT state, price_date AS d, diesel_price_per_litre AS p FROM f_fuel) USING (state, d)""")
 def _(v):
-    return series.daily_fill(v.fuel_prices, F.lit("1994-12-01").cast("date"), F.lit("2001-12-31").cast("date"))
+    late = v.fuel_prices.withColumn("line", F.lit(2))        # the later of two rows of a day, and the cheaper, is the one that counts
+    early = late.where(F.dayofmonth("price_date") % 3 == 0).withColumns({"line": F.lit(1), "diesel_price_per_litre": F.col("diesel_price_per_litre") + 5})
+    return series.daily_fill(early.unionByName(late), F.lit("1994-12-01").cast("date"), F.lit("2001-12-31").cast("date"), "line")
 
 
 # ---- weather ---------------------------------------------------------------------------------
 
-def _windows(v):
+def trip_windows(v):
     o = v.orders_raw.select("order_id", "dest_hub_id")
     start, end = dates.transit_window(F.col("received_at"), F.col("actual_days"))
     return v.invoices.join(o, "order_id").withColumns({"window_start": start, "window_end": end})
@@ -304,7 +307,7 @@ def _windows(v):
 
 @op("weather_window", "SELECT invoice_id, weather_score, adverse_weather_days, covered_days FROM f_inv_wx")
 def _(v):
-    return enrich.weather_window(_windows(v), v.weather).select("invoice_id", "weather_score", "adverse_weather_days", "covered_days")
+    return enrich.weather_window(trip_windows(v), v.weather).select("invoice_id", "weather_score", "adverse_weather_days", "covered_days")
 
 
 _SUMMARY = """SELECT i.invoice_id, sum(pts)::BIGINT AS weather_score, count(*) FILTER (precip > 20) AS adverse_weather_days, coalesce(sum(precip), 0) AS rain_mm_total,
@@ -314,7 +317,7 @@ _SUMMARY = """SELECT i.invoice_id, sum(pts)::BIGINT AS weather_score, count(*) F
 @op("weather_summary", f"""SELECT invoice_id, weather_score, adverse_weather_days, rain_mm_total, max_wind_kmh, max_temp_c, days FROM f_inv_win LEFT JOIN ({_SUMMARY}) USING (invoice_id)""",
     r="rain_mm_total:0")
 def _(v):
-    return enrich.weather_summary(_windows(v), v.weather).select("invoice_id", "weather_score", "adverse_weather_days", "rain_mm_total",
+    return enrich.weather_summary(trip_windows(v), v.weather).select("invoice_id", "weather_score", "adverse_weather_days", "rain_mm_total",
                                                                  "max_wind_kmh", "max_temp_c", "days")
 
 
@@ -335,7 +338,7 @@ def _(v):
     CASE WHEN n > 0 THEN 'forecast' WHEN covered_days > 0 THEN 'history' ELSE 'default' END AS weather_source FROM f_inv_wx JOIN fut USING (invoice_id)""")
 def _(v):
     weekly = series.weekly_resample(v.weather).select("hub_id", F.col("week").alias("day"), "precip")
-    return enrich.weather_from_forecast(_windows(v), weekly, v.weather, _today()).select("invoice_id", "weather_score", "adverse_weather_days", "weather_source")
+    return enrich.weather_from_forecast(trip_windows(v), weekly, v.weather, _today()).select("invoice_id", "weather_score", "adverse_weather_days", "weather_source")
 
 
 # ---- orders, vendors, invoices -------------------------------------------------------------------
@@ -348,7 +351,7 @@ def _(v):
 @op("reference_context", """SELECT i.invoice_id, r.adverse_weather_days AS ref_adverse_days, r.vendor_padding_ratio AS ref_padding, r.order_id IS NOT NULL AS from_reference FROM f_inv i LEFT JOIN (
     SELECT order_id, adverse_weather_days, vendor_padding_ratio FROM f_fair JOIN f_inv_wx USING (invoice_id)) r ON i.order_id = r.order_id""", r="ref_padding")
 def _(v):
-    ref = enrich.weather_window(_windows(v), v.weather).select("invoice_id", "order_id", "adverse_weather_days")
+    ref = enrich.weather_window(trip_windows(v), v.weather).select("invoice_id", "order_id", "adverse_weather_days")
     ref = ref.join(v.priced.select("invoice_id", "vendor_padding_ratio"), "invoice_id")
     twice = ref.unionByName(ref.withColumns({"invoice_id": F.concat("invoice_id", F.lit("-2")), "adverse_weather_days": F.lit(99).cast("bigint")}))
     return enrich.reference_context(v.invoices, twice).select("invoice_id", "ref_adverse_days", "ref_padding", "from_reference")
@@ -362,7 +365,7 @@ def _(v):
 def _(v):
     o = v.orders.select("order_id", "asof_price", "expected_fuel_price", "expected_weather_score")
     q = F.col("invoice_seq")
-    d = enrich.weather_window(_windows(v), v.weather).join(o, "order_id").withColumns({
+    d = enrich.weather_window(trip_windows(v), v.weather).join(o, "order_id").withColumns({
         "expected_fuel_price": F.when(q % 3 != 0, F.col("expected_fuel_price")).otherwise(float("nan")),
         "expected_weather_score": F.when(q % 5 != 0, F.col("expected_weather_score")),
         "from_reference": q % 2 == 0, "ref_adverse_days": F.lit(7)})

@@ -3,15 +3,14 @@
 from pyspark.sql import functions as F
 
 from lanewise import constants as C
-from lanewise.operators import costing, metrics, models, splits
+from lanewise.operators import costing, enrich, metrics, models, splits
 from lanewise.plans import audit
 from lanewise.plans.freight_view import FreightView, invoices_from_lines, log_from_events
+from lanewise.plans.queries_joins import trip_windows
 from lanewise.plans.registry import op
 from lanewise.plans.scratch import scratch_folder
 from lanewise.streaming import audit_stream as stream
 
-SMALL_FIT = {"max_iter": 8, "max_depth": 4}
-
 
 def _cost_frame(v):
     return models.cost_frame(v.orders, ["order_id", "order_seq"]).persist()
@@ -21,7 +20,7 @@ def _cost_frame(v):
 def _(v):
     """Band and point of every order from the final model."""
     frame = _cost_frame(v)
-    model, _ = models.fair_cost_model(frame, "order_seq", **SMALL_FIT)
+    model, _ = models.fair_cost_model(frame, "order_seq")
     return model.predict(frame).select("order_id", "baseline_cost", "base_freight_cost", "fair_cost", "fair_lower", "fair_upper")
 
 
@@ -32,7 +31,7 @@ def _(v):
 
 @op("oof_predictions")
 def _(v):
-    return models.oof_predictions(_cost_frame(v), "order_seq", **SMALL_FIT).select("order_id", "oof_fold_id", "cost_ratio", "ratio")
+    return models.oof_predictions(_cost_frame(v), "order_seq").select("order_id", "oof_fold_id", "cost_ratio", "ratio")
 
 
 @op("direct_cost_model")
@@ -40,8 +39,8 @@ def _(v):
     """Hold-out error of the direct model beside the ratio model's."""
     tagged = splits.random_split(_cost_frame(v), "order_seq")
     train, test = tagged.where("NOT is_test"), tagged.where("is_test")
-    direct = models.direct_cost_model(train, test, **SMALL_FIT)
-    ratio = models.fit_cost_ratio(train, **SMALL_FIT).transform(test).select("order_id", "ratio")
+    direct = models.direct_cost_model(train, test)
+    ratio = models.fit_cost_ratio(train).transform(test).select("order_id", "ratio")
     both = direct.join(ratio, "order_id").withColumn("ratio_cost", F.col("baseline_cost") * F.col("ratio"))
     cells = F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("p"), F.col(c).alias("lo"), F.col(c).alias("hi"))
                       for n, c in (("direct", "direct_cost"), ("ratio", "ratio_cost"))])
@@ -51,7 +50,8 @@ def _(v):
 def _risk_frame(v):
     d = costing.risk_features(v.priced)
     h = v.history.select("invoice_id", "vendor_historical_risk_score")
-    d = d.join(h, "invoice_id").withColumn("adverse_weather_days", F.lit(0.0))
+    wet = enrich.weather_window(trip_windows(v), v.weather).select("invoice_id", "adverse_weather_days")
+    d = d.drop("adverse_weather_days").join(h, "invoice_id").join(wet, "invoice_id")
     d = splits.stratified_split(d, "requires_manual_review", "invoice_seq")
     return d.select("invoice_id", "requires_manual_review", "is_test", *[F.col(c).cast("double").alias(c) for c in C.RISK_FEATURES_FULL]).persist()
 
@@ -59,20 +59,20 @@ def _risk_frame(v):
 @op("risk_model")
 def _(v):
     d = _risk_frame(v)
-    model = models.fit_risk_model(d.where("NOT is_test"), max_iter=5, max_depth=3)
+    model = models.fit_risk_model(d.where("NOT is_test"))
     return models.score_risk(model, d.where("is_test")).select("invoice_id", "requires_manual_review", "proba")
 
 
 @op("feature_importances")
 def _(v):
-    model = models.fit_risk_model(_risk_frame(v), max_iter=3, max_depth=3)
+    model = models.fit_risk_model(_risk_frame(v))
     return models.feature_importances(v.spark, model, C.RISK_FEATURES_FULL)
 
 
 @op("risk_model_monotone")
 def _(v):
     d = _risk_frame(v)
-    model = models.fit_monotone_risk_model(d.where("NOT is_test"), max_iter=20)
+    model = models.fit_monotone_risk_model(d.where("NOT is_test"))
     return models.score_risk(model, d.where("is_test")).select("invoice_id", "requires_manual_review", "proba")
 
 
@@ -80,7 +80,7 @@ def _(v):
 def _(v):
     """Largest difference between a model's predictions and those of its reloaded copy."""
     frame = _cost_frame(v)
-    model, _ = models.fair_cost_model(frame, "order_seq", max_iter=3, max_depth=3)
+    model, _ = models.fair_cost_model(frame, "order_seq")
     path = scratch_folder(v.spark, "model")
     models.save_cost_model(model, path, {"reference_diesel": str(C.REFERENCE_DIESEL)})
     again = models.load_cost_model(v.spark, path)

@@ -1,14 +1,12 @@
 """Folders for queries whose feature is writing."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from lanewise.session import shared_folder
+
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder of the cluster; a local one only in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return f"{shared}/lanewise-{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"lanewise-{name}-")
+    """A fresh folder in the shared folder of the cluster."""
+    return f"{shared_folder(spark)}/lanewise-{name}-{uuid.uuid4().hex}"

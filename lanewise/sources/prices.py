@@ -6,29 +6,43 @@ from pyspark.sql import functions as F
 PRICE = "diesel_price_per_litre"
 
 
+#: fixed values: headers of the city export, lower-cased, in the order in which they are looked for
+CITY_HEADERS, PRODUCT_HEADERS, DAY_HEADERS = ("metro cities", "city"), ("products", "product"), ("calendar day", "date")
+PRICE_HEADERS = ("retail selling price", "price")
+DAY_FORMATS = ("yyyy-MM-dd", "d-M-yyyy", "d/M/yyyy", "d-MMM-yyyy", "d MMM yyyy")
+
+
+def read_day(value: Column) -> Column:
+    """A date from text, ISO or day first; NULL when unreadable."""
+    return F.coalesce(*[F.try_to_date(F.trim(value.cast("string")), f) for f in DAY_FORMATS])
+
+
 def load_metro_prices(raw: DataFrame, product: str = "diesel") -> DataFrame:
-    """City price list: headers trimmed, the price column found by its prefix, one product,
+    """City price list: headers trimmed and found by name or prefix, one product,
     unreadable rows dropped. Result: city, price_date, price."""
     tidy = raw.toDF(*[c.strip() for c in raw.columns])
-    names = {c.lower(): c for c in tidy.columns}
-    price = next(c for low, c in names.items() if low.startswith("price"))
-    return (tidy.where(F.lower(F.trim(names["product"])) == product)
-            .select(F.trim(names["metro cities"]).alias("city"),
-                    F.try_to_date(F.trim(names["date"]), "yyyy-MM-dd").alias("price_date"),
-                    F.trim(price).try_cast("double").alias(PRICE))
+
+    def column(starts):
+        found = [c for s in starts for c in tidy.columns if c.lower().startswith(s)]
+        if not found:
+            raise ValueError(f"no column starts with {' or '.join(starts)}: {tidy.columns}")
+        return F.col(f"`{found[0]}`")
+    return (tidy.where(F.lower(F.trim(column(PRODUCT_HEADERS))) == product)
+            .select(F.trim(column(CITY_HEADERS)).alias("city"), read_day(column(DAY_HEADERS)).alias("price_date"),
+                    F.trim(column(PRICE_HEADERS).cast("string")).try_cast("double").alias(PRICE))
             .na.drop())
 
 
-def load_generic_prices(raw: DataFrame, mapping: dict[str, str], city_states: dict[str, str]) -> DataFrame:
+def load_generic_prices(raw: DataFrame, mapping: dict[str, str], city_states: dict[str, str], order: str, source: str = "generic") -> DataFrame:
     """Any price list: ``mapping`` names the region, date and price columns; cities become states,
-    unknown regions stay; one row per (date, state), sorted."""
+    unknown regions stay, unreadable rows go; of the rows of one (date, state) the first by
+    ``order`` stays. Sorted."""
     states = F.create_map(*[F.lit(x) for kv in city_states.items() for x in kv])
     region = F.trim(mapping["region"])
-    rows = raw.select(F.col(mapping["date"]).cast("date").alias("price_date"),
-                      F.coalesce(F.try_element_at(states, region), region).alias("state"),
-                      F.col(mapping["price"]).try_cast("double").alias(PRICE)).na.drop()
-    return (rows.groupBy("price_date", "state").agg(F.min(PRICE).alias(PRICE))
-            .orderBy("price_date", "state"))
+    rows = raw.select(read_day(F.col(mapping["date"])).alias("price_date"), F.coalesce(F.try_element_at(states, region), region).alias("state"),
+                      F.col(mapping["price"]).try_cast("double").alias(PRICE), F.col(order).alias("_order")).na.drop(subset=["price_date", PRICE])
+    return (rows.groupBy("price_date", "state").agg(F.min_by(PRICE, "_order").alias(PRICE))
+            .withColumn("source", F.lit(source)).orderBy("price_date", "state"))
 
 
 def state_spread(metro: DataFrame, offsets: DataFrame) -> DataFrame:
