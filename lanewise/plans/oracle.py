@@ -249,7 +249,7 @@ def with_view(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    prefix = ",\n".join(f"{n} AS ({CTES[n]})" for n in needed)
+    prefix = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in needed)
     joiner = ",\n" if re.match(r"\s*WITH\s", body) else "\n"
     tail = re.sub(r"^\s*WITH\s", "", body) if joiner.startswith(",") else body
     return f"WITH {prefix}{joiner}{tail}"
