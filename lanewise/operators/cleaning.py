@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lanewise import constants as C
 from lanewise.functions import dates
-from lanewise.operators.scale import keep_first, small_side
+from lanewise.operators.scale import keep_first
+from lanewise.session import stored
 
 
 def clean_invoices(raw: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -48,8 +49,8 @@ def month_median_impute(orders: DataFrame, value: str = "expected_weather_score"
     count) table in one pass; both medians come from it.
     """
     month = F.month("order_date")
-    counts = small_side(orders.where(F.col(value).isNotNull()).groupBy(month.alias("month"), value)
-                        .agg(F.count("*").alias("n")))
+    counts = stored(orders.where(F.col(value).isNotNull()).groupBy(month.alias("month"), value)
+                    .agg(F.count("*").alias("n")), "scores")
     overall = counts.agg(F.percentile(value, 0.5, F.col("n")))
     return (orders.withColumn("month", month).join(F.broadcast(month_medians(counts, value)), "month", "left")    # 12 rows
             .withColumn(value, F.coalesce(F.col(value), F.col("month_median"), overall.scalar()))

@@ -5,21 +5,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.session import cut_lineage
+from lanewise.session import cut_lineage, stored
 
-BROADCAST_ROWS = 2_000_000
 EARLIER = (Window.unboundedPreceding, -1)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the rows; larger tables join by shuffle.
+def small_side(df: DataFrame) -> DataFrame:
+    """A calendar-like dimension (hub pairs, state x day, hub x day), stored once.
 
-    The table is persisted so that the count and the join share one computation.
-    Meant for calendar-like dimensions (hub pairs, state x day, hub x day) whose
-    size does not follow the number of invoices.
+    The stored table's size in bytes is known, so Spark broadcasts it when it is under
+    ``spark.sql.autoBroadcastJoinThreshold`` and joins by shuffle when it is not; no rows
+    are counted and nothing stays cached.
     """
-    kept = df.persist()
-    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+    return stored(df, "side")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lanewise.operators import cleaning, enrich, metrics
 from lanewise.plans import audit
+from lanewise.session import stored
 
 # total order of raw submissions of one invoice: "first" means the smallest
 SUBMISSION_ORDER = ["received_at", "part_key", "carrier_key", "quantity", "actual_billed_amount", "discount", "tax"]
@@ -58,7 +59,7 @@ class FreightView:
 
     @cached_property
     def routes(self) -> DataFrame:
-        return enrich.route_build(self.hubs)
+        return stored(enrich.route_build(self.hubs), "routes")
 
     # ---- invoices
     @cached_property
@@ -123,8 +124,9 @@ class FreightView:
         g = (o.groupBy("n_nationkey", "price_date").agg(F.sum("o_custkey").alias("s"))
              .join(station, "n_nationkey").groupBy("state", "price_date").agg(F.sum("s").alias("s")))
         season = F.datediff("price_date", F.lit("1995-01-01").cast("date")) % 365
-        return g.select("state", "price_date", F.round(84.0 + season / 50.0 + F.length("state") * 0.25 + (F.col("s") % 40) / 20.0, 2)
-                        .alias("diesel_price_per_litre"))
+        prices = g.select("state", "price_date", F.round(84.0 + season / 50.0 + F.length("state") * 0.25 + (F.col("s") % 40) / 20.0, 2)
+                          .alias("diesel_price_per_litre"))
+        return stored(prices, "prices")
 
     @cached_property
     def weather(self) -> DataFrame:
@@ -133,9 +135,10 @@ class FreightView:
         g = lines.groupBy((F.col("l_suppkey") % 25).alias("k"), F.col("l_shipdate").cast("date").alias("day")).agg(
             F.sum(F.col("l_quantity").cast("bigint") * 7 + F.col("l_linenumber")).alias("a"),
             F.sum("l_partkey").alias("b"), F.sum("l_orderkey").alias("c"))
-        return g.select(_code("HUB", 2, F.col("k")).alias("hub_id"), "day",
+        readings = g.select(_code("HUB", 2, F.col("k")).alias("hub_id"), "day",
                         F.when(F.col("b") % 67 != 0, F.col("a") % 97 * 0.25).alias("precip"),
                         (F.col("b") % 61 * 0.8).alias("wind"), (F.lit(20.0) + F.col("c") % 57 * 0.5).alias("temp"))
+        return stored(readings, "weather")
 
     # ---- log and documents
     @cached_property
@@ -198,7 +201,10 @@ class FreightView:
 
     @cached_property
     def scored(self) -> DataFrame:
-        return audit.score_invoices(self.extracted, self.orders, self.hubs, self.routes, self.fuel_prices, self.weather, self.history)
+        """Cleaned invoices and priced orders are stored first: each is read several times, and the plan stays small."""
+        invoices, orders = stored(self.invoices, "invoices"), stored(self.orders, "orders")
+        history = audit.carrier_history(invoices, "received_at", "invoice_seq")
+        return audit.score_invoices(extracted_from_invoices(invoices), orders, self.hubs, self.routes, self.fuel_prices, self.weather, history)
 
     @cached_property
     def vendor_stats(self) -> DataFrame:
