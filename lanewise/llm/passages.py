@@ -25,6 +25,7 @@ from lanewise.llm.common import BASE, BASE_INVERSE, binary_buffers, durable, inp
 LENGTH = 50
 GRAM = 16
 FLUSH = 32 << 20              # bytes of text that are settled together
+SORT_CELLS = 8                # suffix sorts for each input split: a sort holds about forty times its bytes in memory
 CTX_BYTES = 6
 CODES = seeds(256, 3)
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -292,14 +293,14 @@ def unpack(f: pd.DataFrame, kind: int):
 
 
 def fetch(cells: int):
-    """The bytes of open runs, packed by cell again."""
+    """The bytes of open runs, packed by cells of the sort."""
     def run(texts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         names = ["cell", "uid", "doc", "lo", "size", "bytes"]
         uid, doc, lo, size, key = unpack(asked, 1)
         if not len(uid) or not len(texts):
             return pd.DataFrame(columns=names)
         text = dict(zip(texts["uid"], texts["text"]))
-        cell = (key >> np.uint64(32)).astype(np.int64) % cells
+        cell = (mix64(key) % np.uint64(cells)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
         rows = []
         for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
@@ -375,7 +376,7 @@ def without_repeats(docs: DataFrame, carry: list[str] = ("doc_id",)) -> DataFram
     names = {f"c{i}": c for i, c in enumerate(carry)}
     texts = rows.select(F.pmod("_uid", F.lit(blocks)).cast("int").alias("block"), F.col("_uid").alias("uid"), F.col("_text").alias("text"),
                         *[F.col(f"`{c}`").alias(n) for n, c in names.items()])
-    fetched = texts.groupBy("block").cogroup(known.where("kind = 1").groupBy("block")).applyInPandas(fetch(cells), FETCHED)
+    fetched = texts.groupBy("block").cogroup(known.where("kind = 1").groupBy("block")).applyInPandas(fetch(SORT_CELLS * cells), FETCHED)
     sorted_ = fetched.groupBy("cell").applyInPandas(sort_cell(blocks), SPANS)
     spans = known.where("kind = 0").unionByName(sorted_)
     kinds = dict(rows.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()]).dtypes)
