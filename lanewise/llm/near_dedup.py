@@ -7,7 +7,7 @@ confirmed on their full sets, in whole numbers.
 
 A bucket never turns into all its pairs. First every representative is compared with the least one it shares a bucket with.
 Buckets whose members are then in one component are done; that covers groups of copies of any size. In the others,
-blocks of members are compared in memory, and twice each member puts forward its likeliest partner outside its component.
+blocks of members are compared in memory, and each member puts forward its likeliest partner outside its component.
 What is then still open is compared without limit.
 """
 
@@ -233,17 +233,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pairs = members.where("doc <> pivot").groupBy(F.col("doc").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
     tested = durable(pairs, "pairs")
-    links = confirmed(tested, full)
-    for best in (True, True, False):
-        comps = components(links)
+    links, comps, known = confirmed(tested, full), None, None
+    for best in (True, False):
+        comps = components(links if comps is None else known.union(links))
+        known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
         rows = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"), "n")
         still = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         more = durable(open_pairs(rows.join(still, "key", "left_semi"), full.select("doc", "sig"), tested, best, cells), "pairs")
         if more.isEmpty():
             break
-        tested, links = tested.union(more), links.union(confirmed(more, full))
+        tested, links = tested.union(more), confirmed(more, full)
     else:
-        comps = components(links)
+        comps = components(known.union(links))
     of = sketch.select("doc", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").join(comps, F.col("rep") == F.col("node"), "left")
     return of.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc").alias("component"))
 
