@@ -42,10 +42,10 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, spl
     dealt.select("bucket", F.col("place").cast("long").alias("place"), "row.record").write.option("compression", "zstd").parquet(path)
     written = spark.read.parquet(path) if docs.columns else dealt
     counts = written.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)     # one row for each bucket
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)     # one row for each bucket, 16 bytes for an input split
     offsets = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     number = F.col("offset") + F.col("place")
-    return written.join(offsets, "bucket").select("record", F.pmod(number, F.lit(shards)).cast("int").alias("shard"),
+    return written.join(F.broadcast(offsets), "bucket").select("record", F.pmod(number, F.lit(shards)).cast("int").alias("shard"),
                                                   F.floor(number / shards).cast("long").alias("slot"))
 
 
