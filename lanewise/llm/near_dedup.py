@@ -7,7 +7,7 @@ confirmed on their full sets, in whole numbers.
 
 A bucket never turns into all its pairs. First every representative is compared with the least one it shares a bucket with.
 Buckets whose members are then in one component are done; that covers groups of copies of any size. In the others,
-blocks of members are compared in memory, and each member puts forward its likeliest partner outside its component.
+blocks of members are compared in memory, and each member puts forward the partner outside its component that is like most others.
 What is then still open is compared without limit.
 """
 
@@ -146,7 +146,8 @@ def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def open_pairs(rows: DataFrame, sigs: DataFrame, tested: DataFrame, best: bool, cells: int) -> DataFrame:
-    """Likely pairs of members of one bucket but different components that were not tested: of each member the likeliest, or all.
+    """Likely pairs of members of one bucket but different components that were not tested: of each member the one partner that is like
+    most others (the middle of a group of copies), or all.
 
     ``rows``: key, doc, component, n (size of the bucket). Members are dealt to blocks of about BLOCK; two blocks at a time are
     compared at once; ``cells`` groups of such comparisons share the tasks.
@@ -198,19 +199,19 @@ def open_pairs(rows: DataFrame, sigs: DataFrame, tested: DataFrame, best: bool,
         if not kept:
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in "abm"})
         got = pd.DataFrame(dict(zip("abm", (np.concatenate(x) for x in zip(*kept)))))
-        if best:          # three each, as some may have been tested
-            got = got.sort_values(["m", "a", "b"], ascending=[False, True, True])
-            got = pd.concat([got.groupby(c).head(3) for c in "ab"])
+        if best:          # three partners each, as some may have been tested: those that are like most others come first
+            got = pd.concat([got, got.rename(columns={"a": "b", "b": "a"})])
+            got["m"] = got["b"].map(got.groupby("b")["m"].sum())
+            got = got.sort_values(["m", "a", "b"], ascending=[False, True, True]).groupby("a").head(3)
         return got.drop_duplicates()
 
     dealt = dealt.select("key", "doc", "component", "own", "i", "j", "sig", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells)).alias("cell"))
     found = dealt.groupBy("cell").applyInPandas(compare, "a long, b long, m long")
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "m").distinct().join(tested, ["a", "b"], "left_anti")
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     if not best:
-        return found.select("a", "b")
-    ends = found.select("a", "b", "m", F.explode(F.array("a", "b")).alias("doc"))
-    top = ends.groupBy("doc").agg(F.max(F.struct("m", "a", "b")).alias("t"))
-    return top.select("t.a", "t.b").distinct()
+        return found.select(*pair).distinct().join(tested, ["a", "b"], "left_anti")
+    found = found.select(F.col("a").alias("doc"), "m", *pair).join(tested, ["a", "b"], "left_anti")
+    return found.groupBy("doc").agg(F.max(F.struct("m", "a", "b")).alias("t")).select("t.a", "t.b").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
