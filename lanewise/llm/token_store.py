@@ -27,8 +27,9 @@ from lanewise.llm.common import input_splits, mix64, query, renamed, seeds, shar
 SEGMENT_IDS = 1 << 20
 END_ID = 1
 NULL_KEY = -(1 << 63)
-WORD_CACHE = 400_000       # bound of the word cache of a Python worker, which is emptied when full; does not change results
+WORD_CACHE, CORE_CACHE = 400_000, 800_000       # bounds of the caches of a Python worker, emptied when full; they do not change results
 LONGEST_CACHED = 64
+TAIL = b".,!?%$&#*|"
 LEVEL_SEEDS = seeds(64, 21)
 SEGMENT = pa.schema([("part", pa.int64()), ("segment", pa.int64()), ("n_records", pa.int64()), ("n_ids", pa.int64()), ("least", pa.int64()), ("greatest", pa.int64()),
                      ("ids", pa.binary()), ("ends", pa.binary()), ("keys", pa.binary()), ("levels", pa.list_(pa.binary())), ("slots", pa.binary())])
@@ -39,30 +40,81 @@ _tokenizers: dict = {}
 
 
 def tokenizer(path: str):
-    """The tokenizer of a file and its word cache, kept by the Python worker."""
+    """The tokenizer of a file, its ids that end a word, a cache of words and one of cores, kept by the Python worker."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
+        tok = Tokenizer.from_file(path)
+        ends = np.zeros(tok.get_vocab_size(), bool)
+        ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+        _tokenizers[path] = (tok, ends, {}, {})
     return _tokenizers[path]
 
 
+def halves(word: bytes) -> tuple[bytes, bytes]:
+    """A word as core and tail of punctuation, each of which has its own ids: the vocabulary splits between letters or digits and
+    punctuation, and reads A-Z as a-z. Words where that may not hold stay whole."""
+    if b"<|" in word:
+        return word, b""
+    core = word.rstrip(TAIL)
+    if core.isalpha() or (word.isascii() and core[-1:].isalnum()) or core.decode("utf-8", "replace").isalpha():
+        return core.lower(), word[len(core):]
+    return word, b""
+
+
+def encode_cores(cores: list[bytes], tok, ends: np.ndarray) -> dict[bytes, bytes]:
+    """uint32 ids of each core. Cores of letters alone have one end of word each, so many are encoded as one text and cut there."""
+    text = [c.decode("utf-8", "replace") for c in cores]
+    letters = [k for k, t in enumerate(text) if t.isalpha()]
+    out, rest = {}, [k for k, t in enumerate(text) if not t.isalpha()]
+    lots = [letters[i: i + 500] for i in range(0, len(letters), 500)]
+    for lot, e in zip(lots, tok.encode_batch([" ".join([text[k] for k in lot]) for lot in lots], add_special_tokens=False)):
+        ids = np.array(e.ids, "<u4")
+        stop = (np.flatnonzero(ends[ids]) + 1) * 4
+        if len(stop) != len(lot):
+            rest += lot
+            continue
+        raw, at = ids.tobytes(), 0
+        for k, z in zip(lot, stop.tolist()):
+            out[cores[k]] = raw[at:z]
+            at = z
+    for k, e in zip(rest, tok.encode_batch([text[k] for k in rest], add_special_tokens=False)):
+        out[cores[k]] = np.array(e.ids, "<u4").tobytes()
+    return out
+
+
 def encode(texts: list[bytes], path: str) -> list[bytes]:
     """uint32 ids of each text without the end id. The vocabulary drops white space before it splits, so the ids of a text are
-    those of its words one after the other; each distinct word is encoded once."""
-    tok, cache = tokenizer(path)
+    those of its words one after the other; each distinct core of a word is encoded once."""
+    tok, ends, words, cores = tokenizer(path)
     split = [t.split() for t in texts]
-    if len(cache) > WORD_CACHE:
-        cache.clear()
-    new = list(set().union(*split).difference(cache))
-    fresh = {}
-    for w, e in zip(new, tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-        fresh[w] = np.array(e.ids, "<u4").tobytes()
-    cache.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST_CACHED)
-    long_words = {w: x for w, x in fresh.items() if len(w) > LONGEST_CACHED}
-    if long_words:
-        return [b"".join([cache[w] if w in cache else long_words[w] for w in ws]) for ws in split]
-    return [b"".join([cache[w] for w in ws]) for ws in split]
+    if len(words) > WORD_CACHE:
+        words.clear()
+    if len(cores) > CORE_CACHE:
+        cores.clear()
+    new, heads, tails = list(set().union(*split).difference(words)), [], []
+    for w in new:
+        c = w.rstrip(TAIL)
+        c, t = (c.lower(), w[len(c):]) if c.isalpha() else halves(w)
+        heads.append(c)
+        tails.append(t)
+    missing = set(heads).union(tails).difference(cores)
+    missing.discard(b"")
+    fresh = encode_cores(list(missing), tok, ends)
+    cores.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST_CACHED)
+    cores[b""] = b""
+    fresh = {w: x for w, x in fresh.items() if len(w) > LONGEST_CACHED}
+    if fresh:
+        held = {x: cores[x] if x in cores else fresh[x] for x in {*heads, *tails}}
+        words.update((w, held[c] + held[t]) for w, c, t in zip(new, heads, tails))
+    else:
+        words.update((w, cores[c] + cores[t]) for w, c, t in zip(new, heads, tails))
+    out = [b"".join(map(words.__getitem__, ws)) for ws in split]
+    if fresh:
+        for w in new:
+            if len(w) > LONGEST_CACHED:
+                del words[w]
+    return out
 
 
 def build_index(keys: np.ndarray) -> tuple[list[bytes], np.ndarray]:
