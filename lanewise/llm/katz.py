@@ -1,18 +1,21 @@
 """Katz backoff language model of words, learned and evaluated in partitioned tables.
 
 Tokens are the words of a text, A-Z lower-cased, and one end. Unigram counts cover every word of the training texts; with
-Good-Turing discounts for counts up to K and the mass so freed for unknown words they add up to one. Bigrams run over classes:
-each of the VOCABULARY most frequent words (no more than that have a count of at least the threshold chosen) is its own class,
-all other words, unknown ones included, are the class OTHER and share its probability by their unigram probabilities.
-P(w | v) is the discounted bigram share where class bigram (v, w) was seen, else alpha(v) P(w), and alpha(v) makes the sum over all
+Good-Turing discounts for counts up to K and the mass so freed for unknown words they add up to one. Bigrams run over the same
+words: P(w | v) is the discounted share of the bigram where (v, w) was seen, else alpha(v) P(w), and alpha(v) makes the sum over all
 words exactly one. The first token's history is the end. P(w) in turn falls back to the unknown mass.
 
-Tokens are exchanged in packed rows, a row for each flush (the texts a task has read together) and cell (hash of the word or
-bigram): distinct keys, how often each occurs and in which documents. Frequent words come together in a flush before they
-are shuffled. A cell returns sums by document of the flush.
+Every token is a history once, as the end is that of the first. So the log of a text is the sum of log alpha(x) P(x) over its
+tokens x, and of log P(w | v) / (alpha(v) P(w)) over its seen bigrams; the tables hold the one by word, the other by bigram.
+
+Tokens are exchanged in packed rows, a row for each flush (the texts a task has read together) and cell: distinct keys, how
+often each occurs and in which documents. Frequent words come together in a flush before they are shuffled. The cell of a bigram
+is that of its rarer side's word, so the followers of a word meet; where the word is one of the frequent ones, whose numbers every
+task has, the cell is that of the bigram, and no word's bigrams fill a cell. A cell returns sums by document of the flush.
 """
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from lanewise.llm.common import binary_buffers, durable, input_splits, mix64, pieces, query, table, word_hashes
 
 K = 5
-VOCABULARY = 65_535           # most classes besides OTHER, so that a bigram of classes fits 32 bits
+VOCABULARY = 65_535           # most frequent words whose numbers every task has; results do not depend on it
 FLUSH_TOKENS = 1 << 22
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 PARTIAL = "part long, flush long, row binary, base binary, known binary, log binary"
@@ -77,27 +80,60 @@ def cell_of(key: np.ndarray, cells: int) -> np.ndarray:
     return ((mix64(key.astype(np.uint64)) >> np.uint64(11)) % np.uint64(cells)).astype(np.int64)
 
 
-def packed_cells(key: np.ndarray, row: np.ndarray | None, cells: int, kind: str):
-    """(cell, distinct keys, numbers, rows) for each cell that has any."""
-    distinct, n, rows = grouped(key, row)
-    cell = cell_of(distinct, cells)
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit hash of two words in their order."""
+    return mix64(mix64(v ^ np.uint64(0x94D049BB133111EB)) + w)
+
+
+def histories(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The token before each one; the first of a row follows the end."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[np.cumsum(counts) - counts] = END
+    return before
+
+
+def by_cell(cell: np.ndarray):
+    """(cell, where it is in ``cell``) for each cell that has any."""
     order = np.argsort(cell, kind="stable")
-    start = np.cumsum(n) - n
     for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
-        held = b""
-        if rows is not None:
-            pick = np.repeat(start[at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(n[at].sum())
-            held = rows[pick].astype("<u4").tobytes()
-        yield int(cell[at[0]]), distinct[at].astype(kind).tobytes(), n[at].astype("<u4").tobytes(), held
+        yield int(cell[at[0]]), at
+
+
+def packed_cells(key: np.ndarray, cell: np.ndarray, row: np.ndarray) -> dict:
+    """cell -> distinct keys, numbers, rows; ``cell`` is that of each key."""
+    distinct, n, place = grouped(key, np.arange(len(key)))
+    start, out = np.cumsum(n) - n, {}
+    for c, at in by_cell(cell[place[start]] if len(n) else np.zeros(0, np.int64)):
+        pick = np.repeat(start[at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(n[at].sum())
+        out[c] = distinct[at].astype("<u8").tobytes(), n[at].astype("<u4").tobytes(), row[place[pick]].astype("<u4").tobytes()
+    return out
+
+
+def joined(column, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind)
+
+
+def found_at(have: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in ascending ``have``, and whether it is there."""
+    if not len(have):
+        return np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+    at = np.searchsorted(have, key).clip(max=len(have) - 1)
+    return at, have[at] == key
+
+
+PAIRS = "cell long, v binary, w binary, n binary, p binary"
+HELD = "cell long, keys binary, gain binary, words binary, counts binary, alpha binary"
 
 
 @dataclass
 class Model:
-    """Statistics of the model: at most VOCABULARY + 1 numbers of each kind; the counts themselves are tables."""
+    """Statistics of the model: at most VOCABULARY numbers of each kind, for the frequent words; all others are in the tables."""
     total: int
     types: int
     unigrams: DataFrame | None          # word, n
-    bigrams: DataFrame | None           # cell, keys, counts
+    pairs: DataFrame | None             # packed bigrams: cell, v, w, n, p (probability of w)
+    table: DataFrame | None             # packed by cell: keys and gain of bigrams; words, counts and log alpha of the words not frequent
     cells: int
     d1: np.ndarray
     d2: np.ndarray
@@ -105,9 +141,8 @@ class Model:
     unknown: float
     words: np.ndarray                   # hashes of the frequent words, ascending
     counts: np.ndarray
-    history: np.ndarray                 # by class: tokens of the history
-    scale: np.ndarray
-    alpha: np.ndarray
+    log_alpha: np.ndarray               # by frequent word
+    log_share: np.ndarray               # log scale / (tokens of the history * alpha)
 
     def p_word(self, c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, discounted(c, self.d1) * self.scale1 / max(self.total, 1), self.unknown)
@@ -116,21 +151,58 @@ class Model:
         return max(1.0 - float(self.p_word(self.counts).sum()), 1e-300)
 
     def classes(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(h), np.int64)
-        at = np.searchsorted(self.words, h).clip(max=len(self.words) - 1)
-        return np.where(self.words[at] == h, at, len(self.words))
+        at, known = found_at(self.words, h)
+        return np.where(known, at, len(self.words))
 
-    def without_tables(self) -> "Model":
-        return Model(**{**self.__dict__, "unigrams": None, "bigrams": None})
+    def cell_of_pairs(self, word: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Cell of bigrams that meet by ``word``."""
+        return np.where(self.classes(word) < len(self.words), cell_of(key, self.cells), cell_of(word, self.cells))
 
+    def weights(self, c: np.ndarray, mass: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scale, alpha) of histories with ``c`` tokens, discounted ``mass`` and seen words of probability ``p``."""
+        share = mass / c
+        left = np.maximum(1 - share, 1 / (c + 1))
+        return (1 - left) / share, left / np.maximum(1 - p, self.unknown)
 
-def bigram_keys(classes: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
-    """Class of the history times 65536 plus class of the token; the first token of a row follows the end."""
-    before = np.empty_like(classes)
-    before[1:] = classes[:-1]
-    before[(np.cumsum(counts) - counts)] = end
-    return before.astype(np.uint64) * np.uint64(65536) + classes.astype(np.uint64)
+    def without_tables(self) -> "Model":
+        return Model(**{**{k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}, "unigrams": None, "pairs": None, "table": None})
+
+    # ---- the counts added up by classes: each frequent word, and all other words as one. Nothing is scored by them.
+    @cached_property
+    def bigrams(self) -> DataFrame:
+        """keys (class of the history times 65536 plus class of the word) and counts, packed."""
+        m = self.without_tables()
+
+        def run(frames):
+            for f in frames:
+                for v, w, n in zip(f["v"], f["w"], f["n"]):
+                    key = m.classes(joined([v], "<u8")) << 16 | m.classes(joined([w], "<u8"))
+                    distinct, at = np.unique(key, return_inverse=True)
+                    yield pd.DataFrame({"key": distinct, "n": np.bincount(at, joined([n], "<i8")).astype(np.int64)})
+
+        def pack(frames):
+            for f in frames:
+                yield pd.DataFrame({"keys": [f["key"].to_numpy().astype("<u4").tobytes()], "counts": [f["n"].to_numpy().astype("<i8").tobytes()]})
+
+        sums = self.pairs.select("v", "w", "n").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        return sums.mapInPandas(pack, "keys binary, counts binary")
+
+    @cached_property
+    def _of_classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, size = self.bigrams.collect(), len(self.words) + 1
+        key, c = joined([r["keys"] for r in rows], "<u4").astype(np.int64), joined([r["counts"] for r in rows], "<i8")
+        p = np.r_[self.p_word(self.counts), self.other()]
+        c_, mass, p_ = (np.bincount(key >> 16, x, size) for x in (c, discounted(c, self.d2), p[key & 65535]))
+        scale, alpha, full = np.ones(size), np.ones(size), 1 - p_ <= 1e-12
+        at = np.flatnonzero(c_)
+        scale[at], alpha[at] = self.weights(c_[at], mass[at], p_[at])
+        full &= c_ > 0
+        scale[full], alpha[full] = c_[full] / mass[full], 0.0
+        return c_, scale, alpha
+
+    history = property(lambda self: self._of_classes[0])
+    scale = property(lambda self: self._of_classes[1])
+    alpha = property(lambda self: self._of_classes[2])
 
 
 def fit(texts: DataFrame) -> Model:
@@ -160,52 +232,90 @@ def fit(texts: DataFrame) -> Model:
     d1 = discounts(n)
     seen = (total - sum((1 - d1[r]) * r * n[r - 1] for r in range(1, K + 1))) / max(total, 1)
     unknown = max(1 - seen, 1 / (total + 1))
-    empty = np.zeros(0)
-    model = Model(total, types, None, None, cells, d1, np.ones(K + 1), (1 - unknown) / seen if total else 0.0, unknown, words[order], held[order], empty, empty, empty)
+    model = Model(total, types, None, None, None, cells, d1, np.ones(K + 1), (1 - unknown) / seen if total else 0.0, unknown, words[order], held[order],
+                  np.zeros(len(words)), np.zeros(len(words)))
     sent = spark.sparkContext.broadcast(model)
 
     def count_bigrams(batches):
         for _, tokens, counts, _ in flushes(batches, 0):
-            m = sent.value
-            classes = m.classes(tokens)
-            for cell, keys, num, _ in packed_cells(bigram_keys(classes, counts, int(m.classes(np.array([END]))[0])), None, cells, "<u4"):
-                yield pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([keys], pa.binary()), pa.array([num], pa.binary())], names=["cell", "keys", "counts"])
-
-    def add(f: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([np.frombuffer(b, "<u4") for b in f["keys"]])
-        num = np.concatenate([np.frombuffer(b, "<u4") for b in f["counts"]]).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
-        return pd.DataFrame({"cell": f["cell"].iloc[:1], "keys": [key[order][first].tobytes()], "counts": [np.add.reduceat(num[order], first).astype("<i8").tobytes()]})
-
-    ddl = "cell long, keys binary, counts binary"
-    bigrams = durable(texts.select("text").mapInArrow(count_bigrams, ddl).groupBy("cell").applyInPandas(add, ddl), "bigrams")
-
-    def few(frames):
-        for f in frames:
-            for b in f["counts"]:
-                yield pd.DataFrame({"r": np.arange(1, K + 2), "n": np.bincount(np.minimum(np.frombuffer(b, "<i8"), K + 2), minlength=K + 3)[1: K + 2]})
+            before = histories(tokens, counts)
+            key, num, place = grouped(pair_keys(before, tokens), np.arange(len(tokens)))
+            first = place[np.cumsum(num) - num]
+            v, w = before[first], tokens[first]
+            for cell, at in by_cell(sent.value.cell_of_pairs(w, key)):
+                at = at[np.argsort(w[at], kind="stable")]
+                yield pa.RecordBatch.from_arrays([pa.array([cell]), *[pa.array([x[at].astype(t).tobytes()], pa.binary()) for x, t in ((v, "<u8"), (w, "<u8"), (num, "<u4"))]], names=["cell", "v", "w", "n"])
 
-    found = {r["r"]: r["n"] for r in bigrams.select("counts").mapInPandas(few, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()}
-    model.d2 = discounts([found.get(r, 0) for r in range(1, K + 2)])
-    sent = spark.sparkContext.broadcast(model)
+    def place(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(cell_of(b.column(0).to_numpy().astype(np.uint64), cells)), b.column(0), b.column(1)], names=["cell", "word", "n"])
+
+    def add(f: pd.DataFrame, rare: pd.DataFrame) -> pd.DataFrame:
+        """Counts of the bigrams that meet by their second word, with its probability, dealt to the cells of the first."""
+        m, v, w = sent.value, joined(f["v"], "<u8"), joined(f["w"], "<u8")
+        key, num, at = grouped(pair_keys(v, w), np.arange(len(v)))
+        if not len(key):
+            return pd.DataFrame({c: [] for c in ("cell", "v", "w", "n", "p")})
+        first = np.cumsum(num) - num
+        n, v, w = np.add.reduceat(joined(f["n"], "<u4").astype(np.int64)[at], first), v[at[first]], w[at[first]]
+        word = rare["word"].to_numpy().astype(np.int64).astype(np.uint64)
+        order = np.argsort(word)
+        (i, often), (j, _) = found_at(m.words, w), found_at(word[order], w)
+        c = m.counts[i] if len(m.counts) else np.zeros(len(w), np.int64)
+        if len(word):
+            c = np.where(often, c, rare["n"].to_numpy().astype(np.int64)[order][j])
+        p, rows = m.p_word(c), []
+        for cell, pick in by_cell(m.cell_of_pairs(v, key)):
+            pick = pick[np.argsort(v[pick], kind="stable")]
+            rows.append((cell, *[x[pick].astype(t).tobytes() for x, t in ((v, "<u8"), (w, "<u8"), (n, "<i8"), (p, "<f8"))]))
+        return pd.DataFrame(rows, columns=["cell", "v", "w", "n", "p"])
+
+    tagged = unigrams.where(F.col("n") < threshold).mapInArrow(place, "cell long, word long, n long")      # the frequent words are in the model
+    counted = texts.select("text").mapInArrow(count_bigrams, "cell long, v binary, w binary, n binary")
+    pairs = durable(counted.groupBy("cell").cogroup(tagged.groupBy("cell")).applyInPandas(add, PAIRS), "bigrams")
+
+    names = ["c", "p", *[f"n{r}" for r in range(1, K + 2)]]
 
     def by_history(frames):
+        """Sums by frequent history; -1 for all others together."""
         m = sent.value
-        p = np.r_[m.p_word(m.counts), m.other()]
         for f in frames:
-            for k, b in zip(f["keys"], f["counts"]):
-                key, c = np.frombuffer(k, "<u4").astype(np.int64), np.frombuffer(b, "<i8")
-                v, at = np.unique(key >> 16, return_inverse=True)
-                yield pd.DataFrame({"v": v, "c": np.bincount(at, c), "mass": np.bincount(at, discounted(c, m.d2)), "p": np.bincount(at, p[key & 65535])})
-
-    sums = bigrams.select("keys", "counts").mapInPandas(by_history, "v long, c double, mass double, p double").groupBy("v").agg(F.sum("c").alias("c"), F.sum("mass").alias("mass"), F.sum("p").alias("p")).collect()
-    model.history, model.scale, model.alpha = np.zeros(len(words) + 1), np.ones(len(words) + 1), np.ones(len(words) + 1)
-    for r in sums:                                                                # VOCABULARY + 1 rows at most
-        share, rest = r["mass"] / r["c"], 1 - r["p"]
-        left = max(1 - share, 1 / (r["c"] + 1)) if rest > 1e-12 else 0.0
-        model.history[r["v"]], model.scale[r["v"]], model.alpha[r["v"]] = r["c"], (1 - left) / share, left / rest if left else 0.0
-    model.unigrams, model.bigrams = unigrams, bigrams
+            for v, n, p in zip(f["v"], f["n"], f["p"]):
+                n, cls = joined([n], "<i8"), m.classes(joined([v], "<u8"))
+                used, at = np.unique(cls, return_inverse=True)
+                sums = [np.bincount(at, n), np.bincount(at, joined([p], "<f8")), *[np.bincount(at, n == r) for r in range(1, K + 2)]]
+                yield pd.DataFrame({"v": np.where(used < len(m.words), used, -1), **dict(zip(names, sums))})
+
+    ddl = "v long, " + ", ".join(f"{c} double" for c in names)
+    sums = pairs.select("v", "n", "p").mapInPandas(by_history, ddl).groupBy("v").agg(*[F.sum(c).alias(c) for c in names]).collect()    # VOCABULARY + 1 rows at most
+    model.d2 = discounts([sum(r[f"n{k}"] for r in sums) for k in range(1, K + 2)])
+    often = [r for r in sums if r["v"] >= 0]
+    if often:
+        at, c, p = (np.array([r[x] for r in often]) for x in ("v", "c", "p"))
+        mass = c - sum((1 - model.d2[k]) * k * np.array([r[f"n{k}"] for r in often]) for k in range(1, K + 1))
+        scale, alpha = model.weights(c, mass, p)
+        model.log_alpha[at], model.log_share[at] = np.log10(alpha), np.log10(scale / (c * alpha))
+    sent_all = spark.sparkContext.broadcast(model)
+
+    def finish(f: pd.DataFrame) -> pd.DataFrame:
+        """What a seen bigram adds to log alpha(v) P(w), and the other histories of the cell."""
+        m = sent_all.value
+        v, w, n, p = (joined(f[c], t) for c, t in (("v", "<u8"), ("w", "<u8"), ("n", "<i8"), ("p", "<f8")))
+        i, often = found_at(m.words, v)
+        d = discounted(n, m.d2)
+        share = m.log_share[i] if len(m.words) else np.zeros(len(v))
+        rare = np.flatnonzero(~often)
+        words, at = np.unique(v[rare], return_inverse=True)
+        c = np.bincount(at, n[rare], len(words))
+        scale, alpha = m.weights(c, np.bincount(at, d[rare], len(words)), np.bincount(at, p[rare], len(words)))
+        share[rare] = np.log10(scale / (c * alpha))[at]
+        gain, key = share + np.log10(d) - np.log10(p), pair_keys(v, w)
+        order = np.argsort(key)
+        return pd.DataFrame([(f["cell"].iloc[0], key[order].tobytes(), gain[order].tobytes(), words.tobytes(), c.astype("<i8").tobytes(), np.log10(alpha).tobytes())],
+                            columns=["cell", "keys", "gain", "words", "counts", "alpha"])
+
+    model.table = durable(pairs.groupBy("cell").applyInPandas(finish, HELD), "katz")
+    model.unigrams, model.pairs = unigrams, pairs
     return model
 
 
@@ -220,14 +330,14 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     Null texts are empty and hold the end alone. Repeated rows are scored each. An empty table gives an empty result.
     """
-    spark, cells = docs.sparkSession, model.cells
+    spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model.without_tables())
     texts = docs.select("text", *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
 
     def heads(batches):
         """Each row once, with what its frequent words add."""
         m = sent.value
-        gain, p = np.r_[np.log10(m.counts + 1.0), 0.0], np.r_[np.log10(m.p_word(m.counts)), 0.0]
+        gain, log = np.r_[np.log10(m.counts + 1.0), 0.0], np.r_[np.log10(m.p_word(m.counts)) + m.log_alpha, 0.0]
         for number, tokens, counts, parts in flushes(batches, 0):
             cls = m.classes(tokens)
             known = cls < len(m.words)
@@ -235,76 +345,47 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             t = pa.Table.from_batches(parts).combine_chunks()
             n = len(counts)
             yield from pa.table([pa.array(np.full(n, TaskContext.get().partitionId())), pa.array(np.full(n, number)), pa.array(np.arange(n)), pa.array(counts),
-                                 pa.array(np.bincount(row, known, n)), pa.array(np.bincount(row, gain[cls], n)), *[t.column(1 + i) for i in range(len(keep))]],
-                                names=["part", "flush", "row", "n_tokens", "known", "base", *[f"k{i}" for i in range(len(keep))]]).to_batches()
-
-    def exchange(rare: bool):
-        def run(batches):
-            m = sent.value
-            end = int(m.classes(np.array([END]))[0])
-            for number, tokens, counts, _ in flushes(batches, 0):
-                cls, row = m.classes(tokens), np.repeat(np.arange(len(counts)), counts)
-                if rare:
-                    at = np.flatnonzero(cls == len(m.words))
-                    key, row, kind = tokens[at], row[at], "<u8"
-                else:
-                    key, kind = bigram_keys(cls, counts, end), "<u4"
-                for cell, keys, num, rows in packed_cells(key, row, cells, kind):
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((cell, pa.int64()), (TaskContext.get().partitionId(), pa.int64()), (number, pa.int64()),
-                                                      (keys, pa.binary()), (num, pa.binary()), (rows, pa.binary()))], names=["cell", "part", "flush", "keys", "num", "rows"])
-        return texts.select("text").mapInArrow(run, "cell long, part long, flush long, keys binary, num binary, rows binary")
-
-    def rare_words(f: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        m, out = sent.value, []
-        word, n = counts["word"].to_numpy().astype(np.int64).astype(np.uint64), counts["n"].to_numpy().astype(np.int64)
-        order = np.argsort(word)
-        word, n = np.r_[word[order], np.uint64(2 ** 64 - 1)], np.r_[n[order], 0]
-        for r in f.itertuples(index=False):
-            key, num, rows = np.frombuffer(r.keys, "<u8"), np.frombuffer(r.num, "<u4"), np.frombuffer(r.rows, "<u4")
-            at = np.searchsorted(word, key)
-            c = np.repeat(np.where(word[at] == key, n[at], 0), num)
-            out.append((r.part, r.flush, *by_row(rows, np.log10(c + 1.0), (c > 0).astype(float), np.log10(m.p_word(c)))))
-        return pd.DataFrame(out, columns=PARTIAL_NAMES)
-
-    def bigram_logs(f: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+                                 pa.array(np.bincount(row, known, n)), pa.array(np.bincount(row, gain[cls], n)), pa.array(np.bincount(row, log[cls], n)), *[t.column(1 + i) for i in range(len(keep))]],
+                                names=["part", "flush", "row", "n_tokens", "known", "base", "log", *[f"k{i}" for i in range(len(keep))]]).to_batches()
+
+    def exchange(batches):
+        """Words that are not frequent, and all bigrams, to their cells; reads the same columns as ``heads``, so rows fall alike."""
+        m, names = sent.value, ["words", "n_words", "word_rows", "keys", "n_keys", "key_rows"]
+        for number, tokens, counts, _ in flushes(batches, 0):
+            before, row = histories(tokens, counts), np.repeat(np.arange(len(counts)), counts)
+            at, key = np.flatnonzero(m.classes(tokens) == len(m.words)), pair_keys(before, tokens)
+            words = packed_cells(tokens[at], cell_of(tokens[at], m.cells), row[at])
+            pairs = packed_cells(key, m.cell_of_pairs(before, key), row)
+            for cell in sorted({*words, *pairs}):
+                yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int64()) for v in (cell, TaskContext.get().partitionId(), number)],
+                                                  *[pa.array([v], pa.binary()) for v in (*words.get(cell, (b"",) * 3), *pairs.get(cell, (b"",) * 3))]], names=["cell", "part", "flush", *names])
+
+    def settle(f: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         m, out = sent.value, []
-        other, last = np.log10(m.other()), len(m.words)
-        p = np.r_[np.log10(m.p_word(m.counts)), 0.0]                              # a word of OTHER brings its own probability
-        have = np.concatenate([np.frombuffer(b, "<u4") for b in held["keys"]]) if len(held) else np.zeros(0, "<u4")
-        n = np.concatenate([np.frombuffer(b, "<i8") for b in held["counts"]]) if len(held) else np.zeros(0, "<i8")
-        have, n = np.r_[have.astype(np.int64), 1 << 40], np.r_[n, 0]
+        have, gain, word, n, alpha = (joined(held[c], t) for c, t in (("keys", "<u8"), ("gain", "<f8"), ("words", "<u8"), ("counts", "<i8"), ("alpha", "<f8")))
         for r in f.itertuples(index=False):
-            key, num, rows = np.frombuffer(r.keys, "<u4").astype(np.int64), np.frombuffer(r.num, "<u4"), np.frombuffer(r.rows, "<u4")
-            v, w = key >> 16, key & 65535
-            at = np.searchsorted(have, key)
-            c = np.where(have[at] == key, n[at], 0)
-            hist = m.history[v] if len(m.history) else np.zeros(len(v))
-            with np.errstate(divide="ignore"):
-                seen = np.log10(m.scale[v] * discounted(c, m.d2) / np.maximum(hist, 1)) - np.where(w == last, other, 0.0)
-                back = np.where(hist > 0, np.log10(m.alpha[v]), 0.0) + p[w]
-            log = np.repeat(np.where(c > 0, seen, back), num)
-            out.append((r.part, r.flush, *by_row(rows, np.zeros(len(rows)), np.zeros(len(rows)), log)))
+            key, num, rows = joined([r.words], "<u8"), joined([r.n_words], "<u4"), joined([r.word_rows], "<u4")
+            at, known = found_at(word, key)
+            c, a = (np.where(known, x[at], 0) for x in (n, alpha)) if len(word) else (np.zeros(len(key), np.int64), np.zeros(len(key)))
+            out.append((r.part, r.flush, *by_row(rows, *[np.repeat(x, num) for x in (np.log10(c + 1.0), (c > 0).astype(float), np.log10(m.p_word(c)) + a)])))
+            key, num, rows = joined([r.keys], "<u8"), joined([r.n_keys], "<u4"), joined([r.key_rows], "<u4")
+            at, known = found_at(have, key)
+            if known.any():
+                pick = np.repeat(known, num)
+                rows, log = rows[pick], np.repeat(gain[at[known]], num[known])
+                out.append((r.part, r.flush, *by_row(rows, np.zeros(len(rows)), np.zeros(len(rows)), log)))
         return pd.DataFrame(out, columns=PARTIAL_NAMES)
 
-    cell = lambda df: df.groupBy("cell")
-    least = int(model.counts.min()) if len(model.counts) else 1 << 62
-    tagged = model.unigrams.where(F.col("n") < least)                                   # the frequent words are in the model
-
-    def place(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(cell_of(b.column(0).to_numpy().astype(np.uint64), cells)), b.column(0), b.column(1)], names=["cell", "word", "n"])
-
-    tagged = tagged.mapInArrow(place, "cell long, word long, n long")
-    rare = cell(exchange(True)).cogroup(cell(tagged)).applyInPandas(rare_words, PARTIAL)
-    seen = cell(exchange(False)).cogroup(cell(model.bigrams)).applyInPandas(bigram_logs, PARTIAL)
+    packed = texts.mapInArrow(exchange, "cell long, part long, flush long, words binary, n_words binary, word_rows binary, keys binary, n_keys binary, key_rows binary")
+    both = packed.groupBy("cell").cogroup(model.table.groupBy("cell")).applyInPandas(settle, PARTIAL)
 
     kinds = dict(texts.dtypes)
-    ddl = "part long, flush long, row long, n_tokens long, known double, base double" + "".join(f", k{i} {kinds[f'k{i}']}" for i in range(len(keep)))
+    ddl = "part long, flush long, row long, n_tokens long, known double, base double, log double" + "".join(f", k{i} {kinds[f'k{i}']}" for i in range(len(keep)))
     head = texts.mapInArrow(heads, ddl)
 
     def finish(f: pd.DataFrame, partial: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("row").reset_index(drop=True)
-        base, known, log = f["base"].to_numpy().copy(), f["known"].to_numpy().copy(), np.zeros(len(f))
+        base, known, log = (f[c].to_numpy().copy() for c in ("base", "known", "log"))
         for r in partial.itertuples(index=False):
             rows = np.frombuffer(r.row, "<u4")
             base[rows] += np.frombuffer(r.base, "<f8")
@@ -317,7 +398,6 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         return out
 
     ddl = ", ".join(f"k{i} {kinds[f'k{i}']}" for i in range(len(keep))) + ", n_tokens long, n_known long, base_score double, score double"
-    both = rare.unionByName(seen)
     out = head.groupBy("part", "flush").cogroup(both.groupBy("part", "flush")).applyInPandas(finish, ddl)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "n_known", "base_score", "score")
 

@@ -222,6 +222,48 @@ def test_katz_sums_to_one(spark, docs, none, monkeypatch):
     assert katz.score(docs, katz.fit(none.select("text")), ["doc_id"]).where("score > 0").count() == 0
 
 
+def brute_katz(train):
+    """log10 P of a text, by counts of all words and all bigrams."""
+    rows = [[*words(t), "</s>"] for t in train]
+    c1, c2 = collections.Counter(w for r in rows for w in r), collections.Counter(b for r in rows for b in zip(["</s>", *r], r))
+    few = lambda c: katz.discounts([sum(n == k for n in c.values()) for k in range(1, katz.K + 2)])
+    d1, d2, total = few(c1), few(c2), sum(c1.values())
+    cut = lambda n, d: n * d[n] if n <= katz.K else n
+    seen = sum(cut(n, d1) for n in c1.values()) / total
+    unknown = max(1 - seen, 1 / (total + 1))
+    p = lambda w: cut(c1[w], d1) / total * (1 - unknown) / seen if w in c1 else unknown
+    after = collections.defaultdict(dict)
+    for (v, w), n in c2.items():
+        after[v][w] = n
+
+    def share(w, v):
+        if v not in after:
+            return p(w)
+        h = sum(after[v].values())
+        mass = sum(cut(n, d2) for n in after[v].values()) / h
+        left = max(1 - mass, 1 / (h + 1))
+        if w in after[v]:
+            return (1 - left) / mass * cut(after[v][w], d2) / h
+        return left / (1 - sum(p(x) for x in after[v])) * p(w)
+
+    def score(t):
+        r = [*words(t), "</s>"]
+        return sum(math.log10(share(w, v)) for v, w in zip(["</s>", *r], r))
+    return score
+
+
+@pytest.mark.parametrize("vocabulary", [0, 6, 65_535])
+def test_katz_counts_bigrams_of_rare_words(spark, docs, monkeypatch, vocabulary):
+    monkeypatch.setattr(katz, "VOCABULARY", vocabulary)
+    model = katz.fit(docs.where("doc_id < 13").select("text"))
+    truth = brute_katz([t for i, t in TEXTS if i is not None and i < 13])
+    texts = [*[t for _, t in TEXTS], "two one two", "never seen one two", "tail one", "one two alpha beta", "ü ü"]
+    got = katz.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), model, ["doc_id"]).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert math.isclose(r["score"], truth(texts[r["doc_id"]]), rel_tol=1e-9, abs_tol=1e-9)
+
+
 def brute_passages(rows):
     seen, out = collections.defaultdict(lambda: math.inf), {}
     for i, b in rows:
