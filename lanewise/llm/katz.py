@@ -29,6 +29,7 @@ from lanewise.llm.common import binary_buffers, durable, input_splits, mix64, pi
 K = 5
 VOCABULARY = 65_535           # most frequent words whose numbers every task has; results do not depend on it
 FLUSH_TOKENS = 1 << 22
+SEGMENT = 1 << 20             # tokens of a flush whose bigrams are packed at once: 64-bit keys take memory
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 PARTIAL = "part long, flush long, row binary, base binary, known binary, log binary"
 PARTIAL_NAMES = ["part", "flush", "row", "base", "known", "log"]
@@ -68,12 +69,12 @@ def flushes(batches, column: int):
         yield number, np.concatenate(tokens), np.concatenate(counts), parts
 
 
-def grouped(key: np.ndarray, row: np.ndarray | None = None):
-    """Distinct keys, their numbers, and the rows in the order of the keys."""
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their numbers, and the order of the keys."""
     order = np.argsort(key, kind="stable")
     k = key[order]
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.diff(np.r_[first, len(k)]), None if row is None else row[order]
+    return k[first], np.diff(np.r_[first, len(k)]), order
 
 
 def cell_of(key: np.ndarray, cells: int) -> np.ndarray:
@@ -100,14 +101,14 @@ def by_cell(cell: np.ndarray):
         yield int(cell[at[0]]), at
 
 
-def packed_cells(key: np.ndarray, cell: np.ndarray, row: np.ndarray) -> dict:
-    """cell -> distinct keys, numbers, rows; ``cell`` is that of each key."""
-    distinct, n, place = grouped(key, np.arange(len(key)))
-    start, out = np.cumsum(n) - n, {}
-    for c, at in by_cell(cell[place[start]] if len(n) else np.zeros(0, np.int64)):
+def packed_cells(key: np.ndarray, row: np.ndarray, place):
+    """(cell, where the distinct keys first are, numbers, rows) for each cell that has any; ``place`` gives the cells of keys first seen there."""
+    distinct, n, order = grouped(key)
+    start = np.cumsum(n) - n
+    first = order[start]
+    for cell, at in by_cell(place(distinct, first)):
         pick = np.repeat(start[at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(n[at].sum())
-        out[c] = distinct[at].astype("<u8").tobytes(), n[at].astype("<u4").tobytes(), row[place[pick]].astype("<u4").tobytes()
-    return out
+        yield cell, first[at], n[at].astype("<u4").tobytes(), row[order[pick]].astype("<u4").tobytes()
 
 
 def joined(column, kind: str) -> np.ndarray:
@@ -122,8 +123,8 @@ def found_at(have: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, have[at] == key
 
 
-PAIRS = "cell long, v binary, w binary, n binary, p binary"
-HELD = "cell long, keys binary, gain binary, words binary, counts binary, alpha binary"
+PAIRS = "cell long, code binary, rest binary, n binary, p binary"
+HELD = "cell long, code binary, rest binary, gain binary, words binary, counts binary, alpha binary"
 
 
 @dataclass
@@ -132,8 +133,8 @@ class Model:
     total: int
     types: int
     unigrams: DataFrame | None          # word, n
-    pairs: DataFrame | None             # packed bigrams: cell, v, w, n, p (probability of w)
-    table: DataFrame | None             # packed by cell: keys and gain of bigrams; words, counts and log alpha of the words not frequent
+    pairs: DataFrame | None             # packed bigrams: cell, code, rest, n, p (probability of w where it is not frequent)
+    table: DataFrame | None             # packed by cell: code, rest and gain of bigrams; words, counts and log alpha of the words not frequent
     cells: int
     d1: np.ndarray
     d2: np.ndarray
@@ -158,6 +159,25 @@ class Model:
         """Cell of bigrams that meet by ``word``."""
         return np.where(self.classes(word) < len(self.words), cell_of(key, self.cells), cell_of(word, self.cells))
 
+    def coded(self, v: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes]:
+        """Bigrams as two numbers of frequent words in 32 bits, and the 64-bit hashes of all sides that are not frequent."""
+        c, x = np.stack([self.classes(v), self.classes(w)], 1), np.stack([v, w], 1)
+        return (c[:, 0] << 16 | c[:, 1]).astype("<u4").tobytes(), x[c == len(self.words)].astype("<u8").tobytes()
+
+    def decoded(self, code, rest) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(v, w, class of v, class of w) of what ``coded`` gave."""
+        code = joined(code, "<u4").astype(np.int64)
+        c = np.stack([code >> 16, code & 65535], 1)
+        x = np.r_[self.words, np.uint64(0)].astype(np.uint64)[c]
+        x[c == len(self.words)] = joined(rest, "<u8")
+        return x[:, 0], x[:, 1], c[:, 0], c[:, 1]
+
+    def p_second(self, cls: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probability of words by class, with that of each one that is not frequent."""
+        out = np.r_[self.p_word(self.counts), 0.0][cls]
+        out[cls == len(self.words)] = p
+        return out
+
     def weights(self, c: np.ndarray, mass: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(scale, alpha) of histories with ``c`` tokens, discounted ``mass`` and seen words of probability ``p``."""
         share = mass / c
@@ -171,20 +191,17 @@ class Model:
     @cached_property
     def bigrams(self) -> DataFrame:
         """keys (class of the history times 65536 plus class of the word) and counts, packed."""
-        m = self.without_tables()
-
         def run(frames):
             for f in frames:
-                for v, w, n in zip(f["v"], f["w"], f["n"]):
-                    key = m.classes(joined([v], "<u8")) << 16 | m.classes(joined([w], "<u8"))
-                    distinct, at = np.unique(key, return_inverse=True)
+                for code, n in zip(f["code"], f["n"]):
+                    distinct, at = np.unique(joined([code], "<u4").astype(np.int64), return_inverse=True)
                     yield pd.DataFrame({"key": distinct, "n": np.bincount(at, joined([n], "<i8")).astype(np.int64)})
 
         def pack(frames):
             for f in frames:
                 yield pd.DataFrame({"keys": [f["key"].to_numpy().astype("<u4").tobytes()], "counts": [f["n"].to_numpy().astype("<i8").tobytes()]})
 
-        sums = self.pairs.select("v", "w", "n").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        sums = self.pairs.select("code", "n").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         return sums.mapInPandas(pack, "keys binary, counts binary")
 
     @cached_property
@@ -239,12 +256,13 @@ def fit(texts: DataFrame) -> Model:
     def count_bigrams(batches):
         for _, tokens, counts, _ in flushes(batches, 0):
             before = histories(tokens, counts)
-            key, num, place = grouped(pair_keys(before, tokens), np.arange(len(tokens)))
-            first = place[np.cumsum(num) - num]
+            key, num, order = grouped(pair_keys(before, tokens))
+            first = order[np.cumsum(num) - num]
             v, w = before[first], tokens[first]
+            del order, first, before
             for cell, at in by_cell(sent.value.cell_of_pairs(w, key)):
-                at = at[np.argsort(w[at], kind="stable")]
-                yield pa.RecordBatch.from_arrays([pa.array([cell]), *[pa.array([x[at].astype(t).tobytes()], pa.binary()) for x, t in ((v, "<u8"), (w, "<u8"), (num, "<u4"))]], names=["cell", "v", "w", "n"])
+                packed = *sent.value.coded(v[at], w[at]), num[at].astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([cell]), *[pa.array([x], pa.binary()) for x in packed]], names=["cell", "code", "rest", "n"])
 
     def place(batches):
         for b in batches:
@@ -252,26 +270,24 @@ def fit(texts: DataFrame) -> Model:
 
     def add(f: pd.DataFrame, rare: pd.DataFrame) -> pd.DataFrame:
         """Counts of the bigrams that meet by their second word, with its probability, dealt to the cells of the first."""
-        m, v, w = sent.value, joined(f["v"], "<u8"), joined(f["w"], "<u8")
-        key, num, at = grouped(pair_keys(v, w), np.arange(len(v)))
+        m = sent.value
+        v, w, _, cls = m.decoded(f["code"], f["rest"])
+        key, num, at = grouped(pair_keys(v, w))
         if not len(key):
-            return pd.DataFrame({c: [] for c in ("cell", "v", "w", "n", "p")})
+            return pd.DataFrame({c: [] for c in ("cell", "code", "rest", "n", "p")})
         first = np.cumsum(num) - num
-        n, v, w = np.add.reduceat(joined(f["n"], "<u4").astype(np.int64)[at], first), v[at[first]], w[at[first]]
+        n, v, w, cls = np.add.reduceat(joined(f["n"], "<u4").astype(np.int64)[at], first), v[at[first]], w[at[first]], cls[at[first]]
         word = rare["word"].to_numpy().astype(np.int64).astype(np.uint64)
-        order = np.argsort(word)
-        (i, often), (j, _) = found_at(m.words, w), found_at(word[order], w)
-        c = m.counts[i] if len(m.counts) else np.zeros(len(w), np.int64)
-        if len(word):
-            c = np.where(often, c, rare["n"].to_numpy().astype(np.int64)[order][j])
-        p, rows = m.p_word(c), []
+        order, seldom, p = np.argsort(word), cls == len(m.words), np.zeros(len(w))
+        p[seldom] = m.p_word(rare["n"].to_numpy().astype(np.int64)[order][np.searchsorted(word[order], w[seldom])])      # each is there
+        rows = []
         for cell, pick in by_cell(m.cell_of_pairs(v, key)):
             pick = pick[np.argsort(v[pick], kind="stable")]
-            rows.append((cell, *[x[pick].astype(t).tobytes() for x, t in ((v, "<u8"), (w, "<u8"), (n, "<i8"), (p, "<f8"))]))
-        return pd.DataFrame(rows, columns=["cell", "v", "w", "n", "p"])
+            rows.append((cell, *m.coded(v[pick], w[pick]), n[pick].astype("<i8").tobytes(), p[pick[seldom[pick]]].tobytes()))
+        return pd.DataFrame(rows, columns=["cell", "code", "rest", "n", "p"])
 
     tagged = unigrams.where(F.col("n") < threshold).mapInArrow(place, "cell long, word long, n long")      # the frequent words are in the model
-    counted = texts.select("text").mapInArrow(count_bigrams, "cell long, v binary, w binary, n binary")
+    counted = texts.select("text").mapInArrow(count_bigrams, "cell long, code binary, rest binary, n binary")
     pairs = durable(counted.groupBy("cell").cogroup(tagged.groupBy("cell")).applyInPandas(add, PAIRS), "bigrams")
 
     names = ["c", "p", *[f"n{r}" for r in range(1, K + 2)]]
@@ -280,14 +296,14 @@ def fit(texts: DataFrame) -> Model:
         """Sums by frequent history; -1 for all others together."""
         m = sent.value
         for f in frames:
-            for v, n, p in zip(f["v"], f["n"], f["p"]):
-                n, cls = joined([n], "<i8"), m.classes(joined([v], "<u8"))
-                used, at = np.unique(cls, return_inverse=True)
-                sums = [np.bincount(at, n), np.bincount(at, joined([p], "<f8")), *[np.bincount(at, n == r) for r in range(1, K + 2)]]
+            for code, n, p in zip(f["code"], f["n"], f["p"]):
+                code, n = joined([code], "<u4").astype(np.int64), joined([n], "<i8")
+                used, at = np.unique(code >> 16, return_inverse=True)
+                sums = [np.bincount(at, n), np.bincount(at, m.p_second(code & 65535, joined([p], "<f8"))), *[np.bincount(at, n == r) for r in range(1, K + 2)]]
                 yield pd.DataFrame({"v": np.where(used < len(m.words), used, -1), **dict(zip(names, sums))})
 
     ddl = "v long, " + ", ".join(f"{c} double" for c in names)
-    sums = pairs.select("v", "n", "p").mapInPandas(by_history, ddl).groupBy("v").agg(*[F.sum(c).alias(c) for c in names]).collect()    # VOCABULARY + 1 rows at most
+    sums = pairs.select("code", "n", "p").mapInPandas(by_history, ddl).groupBy("v").agg(*[F.sum(c).alias(c) for c in names]).collect()    # VOCABULARY + 1 rows at most
     model.d2 = discounts([sum(r[f"n{k}"] for r in sums) for k in range(1, K + 2)])
     often = [r for r in sums if r["v"] >= 0]
     if often:
@@ -300,19 +316,18 @@ def fit(texts: DataFrame) -> Model:
     def finish(f: pd.DataFrame) -> pd.DataFrame:
         """What a seen bigram adds to log alpha(v) P(w), and the other histories of the cell."""
         m = sent_all.value
-        v, w, n, p = (joined(f[c], t) for c, t in (("v", "<u8"), ("w", "<u8"), ("n", "<i8"), ("p", "<f8")))
-        i, often = found_at(m.words, v)
-        d = discounted(n, m.d2)
-        share = m.log_share[i] if len(m.words) else np.zeros(len(v))
-        rare = np.flatnonzero(~often)
+        v, w, i, j = m.decoded(f["code"], f["rest"])
+        n, p = joined(f["n"], "<i8"), m.p_second(j, joined(f["p"], "<f8"))
+        d, share = discounted(n, m.d2), np.r_[m.log_share, 0.0][i]
+        rare = np.flatnonzero(i == len(m.words))
         words, at = np.unique(v[rare], return_inverse=True)
         c = np.bincount(at, n[rare], len(words))
         scale, alpha = m.weights(c, np.bincount(at, d[rare], len(words)), np.bincount(at, p[rare], len(words)))
         share[rare] = np.log10(scale / (c * alpha))[at]
         gain, key = share + np.log10(d) - np.log10(p), pair_keys(v, w)
         order = np.argsort(key)
-        return pd.DataFrame([(f["cell"].iloc[0], key[order].tobytes(), gain[order].tobytes(), words.tobytes(), c.astype("<i8").tobytes(), np.log10(alpha).tobytes())],
-                            columns=["cell", "keys", "gain", "words", "counts", "alpha"])
+        return pd.DataFrame([(f["cell"].iloc[0], *m.coded(v[order], w[order]), gain[order].tobytes(), words.tobytes(), c.astype("<i8").tobytes(), np.log10(alpha).tobytes())],
+                            columns=["cell", "code", "rest", "gain", "words", "counts", "alpha"])
 
     model.table = durable(pairs.groupBy("cell").applyInPandas(finish, HELD), "katz")
     model.unigrams, model.pairs = unigrams, pairs
@@ -350,33 +365,42 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def exchange(batches):
         """Words that are not frequent, and all bigrams, to their cells; reads the same columns as ``heads``, so rows fall alike."""
-        m, names = sent.value, ["words", "n_words", "word_rows", "keys", "n_keys", "key_rows"]
+        m, b = sent.value, b""
+
+        def packed(*columns):
+            return pa.RecordBatch.from_arrays([*[pa.array([v], pa.int64()) for v in columns[:3]], *[pa.array([v], pa.binary()) for v in columns[3:]]],
+                                              names=["cell", "part", "flush", "words", "code", "rest", "num", "rows"])
+
         for number, tokens, counts, _ in flushes(batches, 0):
-            before, row = histories(tokens, counts), np.repeat(np.arange(len(counts)), counts)
-            at, key = np.flatnonzero(m.classes(tokens) == len(m.words)), pair_keys(before, tokens)
-            words = packed_cells(tokens[at], cell_of(tokens[at], m.cells), row[at])
-            pairs = packed_cells(key, m.cell_of_pairs(before, key), row)
-            for cell in sorted({*words, *pairs}):
-                yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int64()) for v in (cell, TaskContext.get().partitionId(), number)],
-                                                  *[pa.array([v], pa.binary()) for v in (*words.get(cell, (b"",) * 3), *pairs.get(cell, (b"",) * 3))]], names=["cell", "part", "flush", *names])
+            me, row = (TaskContext.get().partitionId(), number), np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
+            at = np.flatnonzero(m.classes(tokens) == len(m.words))
+            words = tokens[at]
+            for cell, first, num, rows in packed_cells(words, row[at], lambda key, _: cell_of(key, m.cells)):
+                yield packed(cell, *me, words[first].astype("<u8").tobytes(), b, b, num, rows)
+            before = histories(tokens, counts)
+            for k in range(0, len(tokens), SEGMENT):
+                v, w = before[k: k + SEGMENT], tokens[k: k + SEGMENT]
+                for cell, first, num, rows in packed_cells(pair_keys(v, w), row[k: k + SEGMENT], lambda key, first: m.cell_of_pairs(v[first], key)):
+                    yield packed(cell, *me, b, *m.coded(v[first], w[first]), num, rows)
 
     def settle(f: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         m, out = sent.value, []
-        have, gain, word, n, alpha = (joined(held[c], t) for c, t in (("keys", "<u8"), ("gain", "<f8"), ("words", "<u8"), ("counts", "<i8"), ("alpha", "<f8")))
+        gain, word, n, alpha = (joined(held[c], t) for c, t in (("gain", "<f8"), ("words", "<u8"), ("counts", "<i8"), ("alpha", "<f8")))
+        have = pair_keys(*m.decoded(held["code"], held["rest"])[:2])
         for r in f.itertuples(index=False):
-            key, num, rows = joined([r.words], "<u8"), joined([r.n_words], "<u4"), joined([r.word_rows], "<u4")
-            at, known = found_at(word, key)
-            c, a = (np.where(known, x[at], 0) for x in (n, alpha)) if len(word) else (np.zeros(len(key), np.int64), np.zeros(len(key)))
-            out.append((r.part, r.flush, *by_row(rows, *[np.repeat(x, num) for x in (np.log10(c + 1.0), (c > 0).astype(float), np.log10(m.p_word(c)) + a)])))
-            key, num, rows = joined([r.keys], "<u8"), joined([r.n_keys], "<u4"), joined([r.key_rows], "<u4")
-            at, known = found_at(have, key)
+            num, rows = joined([r.num], "<u4"), joined([r.rows], "<u4")
+            if r.words:
+                at, known = found_at(word, joined([r.words], "<u8"))
+                c, a = (np.where(known, x[at], 0) for x in (n, alpha)) if len(word) else (np.zeros(len(num), np.int64), np.zeros(len(num)))
+                out.append((r.part, r.flush, *by_row(rows, *[np.repeat(x, num) for x in (np.log10(c + 1.0), (c > 0).astype(float), np.log10(m.p_word(c)) + a)])))
+                continue
+            at, known = found_at(have, pair_keys(*m.decoded([r.code], [r.rest])[:2]))
             if known.any():
-                pick = np.repeat(known, num)
-                rows, log = rows[pick], np.repeat(gain[at[known]], num[known])
+                rows, log = rows[np.repeat(known, num)], np.repeat(gain[at[known]], num[known])
                 out.append((r.part, r.flush, *by_row(rows, np.zeros(len(rows)), np.zeros(len(rows)), log)))
         return pd.DataFrame(out, columns=PARTIAL_NAMES)
 
-    packed = texts.mapInArrow(exchange, "cell long, part long, flush long, words binary, n_words binary, word_rows binary, keys binary, n_keys binary, key_rows binary")
+    packed = texts.mapInArrow(exchange, "cell long, part long, flush long, words binary, code binary, rest binary, num binary, rows binary")
     both = packed.groupBy("cell").cogroup(model.table.groupBy("cell")).applyInPandas(settle, PARTIAL)
 
     kinds = dict(texts.dtypes)
