@@ -6,7 +6,7 @@ words: P(w | v) is the discounted share of the bigram where (v, w) was seen, els
 words exactly one. The first token's history is the end. P(w) in turn falls back to the unknown mass.
 
 Every token is a history once, as the end is that of the first. So the log of a text is the sum of log alpha(x) P(x) over its
-tokens x, and of log P(w | v) / (alpha(v) P(w)) over its seen bigrams; the tables hold the one by word, the other by bigram.
+tokens x, and of log P(w | v) / (alpha(v) P(w)) over its seen bigrams; the cells give the one by word, the other by bigram.
 
 Tokens are exchanged in packed rows, a row for each flush (the texts a task has read together) and cell: distinct keys, how
 often each occurs and in which documents. Frequent words come together in a flush before they are shuffled. The cell of a bigram
@@ -108,7 +108,7 @@ def packed_cells(key: np.ndarray, row: np.ndarray, place):
     first = order[start]
     for cell, at in by_cell(place(distinct, first)):
         pick = np.repeat(start[at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(n[at].sum())
-        yield cell, first[at], n[at].astype("<u4").tobytes(), row[order[pick]].astype("<u4").tobytes()
+        yield cell, first[at], n[at].astype("<u4").tobytes(), row[order[pick]].tobytes()
 
 
 def joined(column, kind: str) -> np.ndarray:
@@ -124,7 +124,6 @@ def found_at(have: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 PAIRS = "cell long, code binary, rest binary, n binary, p binary"
-HELD = "cell long, code binary, rest binary, gain binary, words binary, counts binary, alpha binary"
 
 
 @dataclass
@@ -134,7 +133,6 @@ class Model:
     types: int
     unigrams: DataFrame | None          # word, n
     pairs: DataFrame | None             # packed bigrams: cell, code, rest, n, p (probability of w where it is not frequent)
-    table: DataFrame | None             # packed by cell: code, rest and gain of bigrams; words, counts and log alpha of the words not frequent
     cells: int
     d1: np.ndarray
     d2: np.ndarray
@@ -184,8 +182,22 @@ class Model:
         left = np.maximum(1 - share, 1 / (c + 1))
         return (1 - left) / share, left / np.maximum(1 - p, self.unknown)
 
+    def of_cell(self, f: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        """Of the ``pairs`` of a cell: ascending keys, and what a seen bigram adds to log alpha(v) P(w); words that are not frequent, counts, log alpha."""
+        v, w, i, j = self.decoded(f["code"], f["rest"])
+        n, p = joined(f["n"], "<i8"), self.p_second(j, joined(f["p"], "<f8"))
+        d, share = discounted(n, self.d2), np.r_[self.log_share, 0.0][i]
+        rare = np.flatnonzero(i == len(self.words))
+        words, at = np.unique(v[rare], return_inverse=True)
+        c = np.bincount(at, n[rare], len(words))
+        scale, alpha = self.weights(c, np.bincount(at, d[rare], len(words)), np.bincount(at, p[rare], len(words)))
+        share[rare] = np.log10(scale / (c * alpha))[at]
+        key = pair_keys(v, w)
+        order = np.argsort(key)
+        return key[order], (share + np.log10(d) - np.log10(p))[order], words, c.astype(np.int64), np.log10(alpha)
+
     def without_tables(self) -> "Model":
-        return Model(**{**{k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}, "unigrams": None, "pairs": None, "table": None})
+        return Model(**{**{k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}, "unigrams": None, "pairs": None})
 
     # ---- the counts added up by classes: each frequent word, and all other words as one. Nothing is scored by them.
     @cached_property
@@ -249,7 +261,7 @@ def fit(texts: DataFrame) -> Model:
     d1 = discounts(n)
     seen = (total - sum((1 - d1[r]) * r * n[r - 1] for r in range(1, K + 1))) / max(total, 1)
     unknown = max(1 - seen, 1 / (total + 1))
-    model = Model(total, types, None, None, None, cells, d1, np.ones(K + 1), (1 - unknown) / seen if total else 0.0, unknown, words[order], held[order],
+    model = Model(total, types, None, None, cells, d1, np.ones(K + 1), (1 - unknown) / seen if total else 0.0, unknown, words[order], held[order],
                   np.zeros(len(words)), np.zeros(len(words)))
     sent = spark.sparkContext.broadcast(model)
 
@@ -311,25 +323,6 @@ def fit(texts: DataFrame) -> Model:
         mass = c - sum((1 - model.d2[k]) * k * np.array([r[f"n{k}"] for r in often]) for k in range(1, K + 1))
         scale, alpha = model.weights(c, mass, p)
         model.log_alpha[at], model.log_share[at] = np.log10(alpha), np.log10(scale / (c * alpha))
-    sent_all = spark.sparkContext.broadcast(model)
-
-    def finish(f: pd.DataFrame) -> pd.DataFrame:
-        """What a seen bigram adds to log alpha(v) P(w), and the other histories of the cell."""
-        m = sent_all.value
-        v, w, i, j = m.decoded(f["code"], f["rest"])
-        n, p = joined(f["n"], "<i8"), m.p_second(j, joined(f["p"], "<f8"))
-        d, share = discounted(n, m.d2), np.r_[m.log_share, 0.0][i]
-        rare = np.flatnonzero(i == len(m.words))
-        words, at = np.unique(v[rare], return_inverse=True)
-        c = np.bincount(at, n[rare], len(words))
-        scale, alpha = m.weights(c, np.bincount(at, d[rare], len(words)), np.bincount(at, p[rare], len(words)))
-        share[rare] = np.log10(scale / (c * alpha))[at]
-        gain, key = share + np.log10(d) - np.log10(p), pair_keys(v, w)
-        order = np.argsort(key)
-        return pd.DataFrame([(f["cell"].iloc[0], *m.coded(v[order], w[order]), gain[order].tobytes(), words.tobytes(), c.astype("<i8").tobytes(), np.log10(alpha).tobytes())],
-                            columns=["cell", "code", "rest", "gain", "words", "counts", "alpha"])
-
-    model.table = durable(pairs.groupBy("cell").applyInPandas(finish, HELD), "katz")
     model.unigrams, model.pairs = unigrams, pairs
     return model
 
@@ -372,7 +365,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                                               names=["cell", "part", "flush", "words", "code", "rest", "num", "rows"])
 
         for number, tokens, counts, _ in flushes(batches, 0):
-            me, row = (TaskContext.get().partitionId(), number), np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
+            me, row = (TaskContext.get().partitionId(), number), np.repeat(np.arange(len(counts), dtype="<u2" if len(counts) < 1 << 16 else "<u4"), counts)
             at = np.flatnonzero(m.classes(tokens) == len(m.words))
             words = tokens[at]
             for cell, first, num, rows in packed_cells(words, row[at], lambda key, _: cell_of(key, m.cells)):
@@ -385,10 +378,10 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def settle(f: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         m, out = sent.value, []
-        gain, word, n, alpha = (joined(held[c], t) for c, t in (("gain", "<f8"), ("words", "<u8"), ("counts", "<i8"), ("alpha", "<f8")))
-        have = pair_keys(*m.decoded(held["code"], held["rest"])[:2])
+        have, gain, word, n, alpha = m.of_cell(held)
         for r in f.itertuples(index=False):
-            num, rows = joined([r.num], "<u4"), joined([r.rows], "<u4")
+            num = joined([r.num], "<u4")
+            rows = joined([r.rows], "<u2" if len(r.rows) == 2 * num.sum() else "<u4")
             if r.words:
                 at, known = found_at(word, joined([r.words], "<u8"))
                 c, a = (np.where(known, x[at], 0) for x in (n, alpha)) if len(word) else (np.zeros(len(num), np.int64), np.zeros(len(num)))
@@ -401,7 +394,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         return pd.DataFrame(out, columns=PARTIAL_NAMES)
 
     packed = texts.mapInArrow(exchange, "cell long, part long, flush long, words binary, code binary, rest binary, num binary, rows binary")
-    both = packed.groupBy("cell").cogroup(model.table.groupBy("cell")).applyInPandas(settle, PARTIAL)
+    both = packed.groupBy("cell").cogroup(model.pairs.groupBy("cell")).applyInPandas(settle, PARTIAL)
 
     kinds = dict(texts.dtypes)
     ddl = "part long, flush long, row long, n_tokens long, known double, base double, log double" + "".join(f", k{i} {kinds[f'k{i}']}" for i in range(len(keep)))
