@@ -11,6 +11,8 @@ Equal vectors are one class with a weight. A pair is verified where it first qua
 link counts and a spanning set of links rather than pairs. A cell with more than TILE rows is dealt to groups of two tiles.
 """
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -65,8 +67,6 @@ def second_moments(classes: DataFrame, dims: int) -> np.ndarray:
 
 def spread(layout: Layout, dims: int):
     """block, cell, home and cls of each vector for every cell it may meet a partner in: its own (home) and the neighbours ahead."""
-    ahead = [s for s in np.ndindex(*(3,) * GRID) if s > (1,) * GRID]           # half of the neighbours: each pair of cells meets once
-
     def run(batches):
         for b in batches:
             if not b.num_rows:
@@ -74,8 +74,10 @@ def spread(layout: Layout, dims: int):
             y = unit(b.column(1).to_pylist(), dims) @ layout.turn
             for k, part in enumerate(layout.blocks):
                 grid = np.floor(y[:, part][:, :GRID] / np.sqrt(layout.shares[k])).astype(np.int64)
-                for home, shift in [(True, (1,) * GRID), *((False, s) for s in ahead)]:
-                    at, name = grid + np.array(shift[: grid.shape[1]]) - 1, np.zeros(len(grid), np.int64)
+                own = (1,) * grid.shape[1]
+                ahead = [s for s in np.ndindex(*(3,) * len(own)) if s > own]         # half of the neighbours: each pair of cells meets once
+                for home, shift in [(True, own), *((False, s) for s in ahead)]:
+                    at, name = grid + np.array(shift) - 1, np.zeros(len(grid), np.int64)
                     for c in range(at.shape[1]):
                         name = (name << 24) + (at[:, c] + (1 << 23))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(name), pa.array(np.full(len(at), home)), b.column(0)],
@@ -128,18 +130,23 @@ def meet(layout: Layout, dims: int):
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links and component_id of every row of ``vectors`` (vec_id, embedding).
 
-    A vector that is null, zero, or holds a null or a number that is not finite has no links and is its own component, as has
-    one of another length than the commonest. Repeated rows are linked with each other. An empty table gives an empty result.
+    A vector that is null, zero, or holds a null or a number that is not finite has no links and is its own component. Vectors are
+    compared with those of their own length, each length by a join of its own. Repeated rows are linked with each other. An empty table gives an empty result.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     fine = (F.size("e") > 0) & ~F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("e", lambda v: v != 0)
     sound = rows.where(F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
-    lengths = sound.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    out = rows.select("vec_id")
+    lengths = [r["d"] for r in sound.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).where("n > 1").orderBy("d").collect()]
     if not lengths:
-        return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    dims = lengths[0]["d"]
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    found = [links_of_length(sound, d, cosine).withColumn("_d", F.lit(d)) for d in lengths]
+    out = rows.select("vec_id", F.size("e").alias("d"))
+    return (out.join(reduce(DataFrame.unionByName, found), (F.col("vec_id") == F.col("_v")) & (F.col("d") == F.col("_d")), "left")
+            .select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")))
+
 
+def links_of_length(sound: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """_v (vec_id), n_links and component_id of the vectors of ``dims`` numbers in ``sound`` (vec_id, e)."""
     def raw(batches):
         for b in batches:
             flat = np.asarray(b.column(1).flatten(), "<f8").reshape(b.num_rows, dims) if b.num_rows else np.zeros((0, dims))
@@ -163,8 +170,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     gains = met.groupBy("cls").agg(F.sum("gain").alias("gain"))
     by_class = (classes.join(gains, "cls", "left").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
                 .select("vec", (F.coalesce("gain", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id")))
-    linked = packed.join(by_class, "vec").select(F.col("vec_id").alias("_v"), "n_links", "component_id").distinct()
-    return out.join(linked, F.col("vec_id") == F.col("_v"), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return packed.join(by_class, "vec").select(F.col("vec_id").alias("_v"), "n_links", "component_id").distinct()
 
 
 @query("op9_embeddings")

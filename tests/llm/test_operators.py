@@ -375,3 +375,19 @@ def test_embeddings(spark):
         assert r["component_id"] == want[r["vec_id"]]
         assert r["n_links"] == count.get(r["vec_id"], 0)
     assert embeddings.near_vectors(df.where("false")).count() == 0
+
+
+def test_embeddings_of_several_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for first, dims, n in ((0, 24, 40), (100, 8, 12), (200, 1, 4), (300, 17, 12), (400, 3, 1)):
+        base = rng.standard_normal((n, dims)).tolist()
+        rows += [(first + i, v) for i, v in enumerate(base)] + [(first + 50 + i, v) for i, v in enumerate(base[: n // 2])]
+    x = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    linked = lambda a, b: len(x[a]) == len(x[b]) and x[a] @ x[b] >= 0.95
+    want = components_of(sorted(x), linked)
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        i = r["vec_id"]
+        assert (r["n_links"], r["component_id"]) == (sum(j != i and linked(i, j) for j in x), want[i])
