@@ -330,8 +330,19 @@ def sort_cell(blocks: int):
     return run
 
 
-def cut(extra: list[str]):
-    """Remaining bytes of every text, given all spans of its block."""
+def whole_characters(t: bytes, a: int, b: int) -> tuple[int, int]:
+    """The span a to b of UTF-8 bytes, with all of a character that it holds a part of."""
+    following = lambda i: 0 < i < len(t) and t[i] & 0xC0 == 0x80
+    least, most = a - 3, b + 3                          # no character has more than four bytes
+    while a > least and following(a):
+        a -= 1
+    while b < most and following(b):
+        b += 1
+    return a, b
+
+
+def cut(extra: list[str], whole: bool = False):
+    """Remaining bytes of every text, given all spans of its block; with ``whole``, of characters none of which is cut."""
     def run(texts: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
         uid, _, lo, size, _ = unpack(spans, 0)
         uid, lo, size = joined(uid, lo, size)
@@ -345,10 +356,14 @@ def cut(extra: list[str]):
             a = begin[u]
             b, at, kept = stop[a], 0, []
             for k in range(a, b):
-                kept.append(t[at: lo[k]])
-                at = lo[k] + size[k]
+                first, end = int(lo[k]), int(lo[k] + size[k])
+                if whole:
+                    first, end = whole_characters(t, first, end)
+                kept.append(t[at: max(first, at)])
+                at = end
             kept.append(t[at:])
-            rows.append((len(t), int(size[a:b].sum()), b - a, b"".join(kept)))
+            rest = b"".join(kept)
+            rows.append((len(t), len(t) - len(rest), b - a, rest))
         out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
         for c in extra:
             out[c] = texts[c].to_numpy()
@@ -356,11 +371,11 @@ def cut(extra: list[str]):
     return run
 
 
-def without_repeats(docs: DataFrame, carry: list[str] = ("doc_id",)) -> DataFrame:
+def without_repeats(docs: DataFrame, carry: list[str] = ("doc_id",), whole: bool = False) -> DataFrame:
     """n_bytes, n_removed, n_spans, kept (binary) and the ``carry`` columns of every row of ``docs`` (doc_id, text).
 
     Null texts are empty and null doc_ids come after all others. Rows of one doc_id take nothing from each other; repeated rows
-    have the same result each. Texts below LENGTH bytes are left as they are. An empty table gives an empty result.
+    have the same result each. With ``whole``, a character that is cut in two goes as a whole. Texts below LENGTH bytes are left as they are. An empty table gives an empty result.
     """
     carry = list(carry)
     cells = input_splits(docs)
@@ -381,17 +396,15 @@ def without_repeats(docs: DataFrame, carry: list[str] = ("doc_id",)) -> DataFram
     spans = known.where("kind = 0").unionByName(sorted_)
     kinds = dict(rows.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()]).dtypes)
     ddl = "n_bytes long, n_removed long, n_spans long, kept binary" + "".join(f", {n} {k}" for n, k in kinds.items())
-    out = texts.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(cut(list(names)), ddl)
+    out = texts.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(cut(list(names), whole), ddl)
     return out.select("n_bytes", "n_removed", "n_spans", "kept", *[F.col(n).alias(c) for n, c in names.items()])
 
 
 def cut_texts(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with repeated passages taken out of ``text``, columns and order of columns unchanged; a character
-    that is cut in two goes as a whole, and ``n_chars``, where there is one, counts anew. No row goes."""
-    out = without_repeats(docs, [c for c in docs.columns if c != "text"])
-    text = F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string")))
-    text = F.regexp_replace(text, "�", "")
-    out = out.withColumn("text", text)
+    that is cut in two goes as a whole, texts without repeats stay byte for byte, and ``n_chars``, where there is one, counts anew. No row goes."""
+    out = without_repeats(docs, [c for c in docs.columns if c != "text"], whole=True)
+    out = out.withColumn("text", F.col("kept").cast("string"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -291,6 +291,17 @@ def test_passages(spark, docs, none):
     assert passages.without_repeats(none).count() == 0
 
 
+def test_cut_texts_keeps_replacement_characters(spark):
+    shared = " shared passage of more than fifty bytes, told twice over " * 2
+    own = "own \ufffd text, no passage of it comes again \ufffd"
+    rows = [(1, own), (2, "\u00e9" + shared + "\u00e9 end"), (3, "\ufffd a " + "\u0169" + shared + "\u00ea tail \ufffd"), (4, "\ufffd")]
+    got = {r["doc_id"]: r["text"] for r in passages.cut_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1], got[2], got[4]) == (own, rows[1][1], "\ufffd")
+    # the last byte of the letter before and the first of that after the passage are shared: both letters go as a whole
+    assert got[3] == "\ufffd a  tail \ufffd"
+    assert passages.whole_characters("a\u20acb".encode(), 2, 3) == (1, 4)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 60, 700):
