@@ -236,15 +236,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tested = durable(pairs, "pairs")
     links, comps, known = confirmed(tested, full), None, None
     for best in (True, False):
-        comps = components(links if comps is None else known.union(links))
+        if links is not None:
+            comps = components(links if comps is None else known.union(links))
         known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
         rows = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"), "n")
         still = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         more = durable(open_pairs(rows.join(still, "key", "left_semi"), full.select("doc", "sig"), tested, best, cells), "pairs")
-        if more.isEmpty():
+        links = None
+        if not more.isEmpty():
+            tested, links = tested.union(more), confirmed(more, full)
+        elif not best or still.isEmpty():        # the likeliest partners may all be tested, and others of open buckets not
             break
-        tested, links = tested.union(more), confirmed(more, full)
-    else:
+    if links is not None:
         comps = components(known.union(links))
     of = sketch.select("doc", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").join(comps, F.col("rep") == F.col("node"), "left")
     return of.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc").alias("component"))
