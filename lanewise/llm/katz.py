@@ -9,9 +9,9 @@ Every token is a history once, as the end is that of the first. So the log of a
 tokens x, and of log P(w | v) / (alpha(v) P(w)) over its seen bigrams; the cells give the one by word, the other by bigram.
 
 Tokens are exchanged in packed rows, a row for each flush (the texts a task has read together) and cell: distinct keys, how
-often each occurs and in which documents. Frequent words come together in a flush before they are shuffled. The cell of a bigram
-is that of its rarer side's word, so the followers of a word meet; where the word is one of the frequent ones, whose numbers every
-task has, the cell is that of the bigram, and no word's bigrams fill a cell. A cell returns sums by document of the flush.
+often each occurs and in which documents. Frequent words come together in a flush before they are shuffled. Bigrams are counted in
+the cell of the second word, then held and scored in that of the first; where that word is one of the frequent ones, whose numbers
+every task has, the cell is that of the bigram, and no word's bigrams fill a cell. A cell returns sums by document of the flush.
 """
 
 from dataclasses import dataclass
