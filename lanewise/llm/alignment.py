@@ -336,7 +336,7 @@ def with_counts(flushed: DataFrame) -> DataFrame:
     pairs = flushed.select("flush", F.posexplode(F.arrays_zip("a", "b", "n")).alias("at", "p")).select("flush", "at", "p.a", "p.b", "p.n")
     totals = pairs.groupBy("a", "b").agg(F.sum("n").alias("count"))
     totals = totals.withColumn("best", F.col("count") == F.max("count").over(Window.partitionBy("a")))       # one row an id of B
-    known = pairs.select("flush", "at", "a", "b").join(totals, ["a", "b"]).select("flush", "at", "count", "best")
+    known = pairs.select(F.col("flush").alias("of"), "at", "a", "b").join(totals, ["a", "b"]).select("of", "at", "count", "best")
 
     def spread(left: pa.Table, right: pa.Table) -> pa.Table:
         at = right.column("at").to_numpy()
@@ -355,7 +355,7 @@ def with_counts(flushed: DataFrame) -> DataFrame:
 
     ddl = "doc_id long, " + ", ".join(f"{c} long" for c in NUMBERS) + ", sha string, n_best long, count_sum long"
     light = flushed.drop("a", "b")
-    return light.groupBy("flush").cogroup(known.groupBy("flush")).applyInArrow(spread, ddl)
+    return light.groupBy("flush").cogroup(known.groupBy("of")).applyInArrow(spread, ddl)
 
 
 @query("op11_alignment")
