@@ -6,6 +6,9 @@ many as the span's, ends where its span ends. Tokens that share a character (par
 their ends follow from the last sure cut by the lengths of their decoded bytes. Texts whose decoded bytes differ from space + text on
 either side have no tokens; nor have null and empty texts.
 
+Neither side has a token across a space that follows a character other than white space, so texts are encoded in chunks that begin at
+such spaces, and a Python worker encodes each distinct chunk once. Nothing is cut where the vocabulary of B has a piece with a space inside.
+
 Byte offsets where tokens of both end cut the tokens into groups. A token of A and one of B are linked where their bytes overlap. Each byte
 range between neighbouring ends of either side lies in one token of A and one of B, and is one link.
 
@@ -21,6 +24,7 @@ table gives an empty result.
 import hashlib
 import itertools
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +40,10 @@ FLUSH = 1 << 20           # entries (document, pair) of a flush, about; a longer
 FLUSH_DOCS = 1 << 16      # documents of a flush, at most
 PAIR_BITS = 20            # ids are below 2^20
 BATCH = 1 << 20           # bytes of text aligned at once; a longer text stands alone
+HELD_TOKENS = 1 << 23     # tokens of chunks that a Python worker remembers
 COMMA, BAR, SEMICOLON = (ord(c) for c in ",|;")
+DOUBLE = re.compile(r"\s ")
+CUT = re.compile(r"(?<=\S)(?= )")
 
 
 class Vocabulary:
@@ -58,27 +65,6 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
 
 
-_loaded: dict[tuple[str, str], tuple] = {}
-
-
-def loaded(a_file: str, b_file: str):
-    """Tokenizers and decoded vocabularies, once for each Python worker."""
-    if (a_file, b_file) not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import sentencepiece
-        from tokenizers import Tokenizer
-        a = Tokenizer.from_file(a_file)
-        a.encode_special_tokens = True
-        table_, entries = byte_of_character(), [b""] * (max(a.get_vocab().values()) + 1)
-        for piece, i in a.get_vocab().items():
-            entries[i] = bytes(table_[c] for c in piece) if all(c in table_ for c in piece) else piece.encode()
-        b = sentencepiece.SentencePieceProcessor(model_file=b_file)
-        decoded = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())]
-        assert max(len(entries), len(decoded)) <= 1 << PAIR_BITS
-        _loaded[a_file, b_file] = (a, Vocabulary(entries), b, Vocabulary(decoded))
-    return _loaded[a_file, b_file]
-
-
 @dataclass
 class Side:
     """Tokens of one side over several documents: ids, byte ends in the joined documents, offsets of the documents' tokens."""
@@ -86,16 +72,9 @@ class Side:
     ends: np.ndarray
     bounds: np.ndarray
 
-    def of(self, keep: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> "Side":
-        """The tokens of the kept documents, which then follow each other without gaps."""
-        count = np.diff(self.bounds)
-        mine = np.repeat(keep, count)
-        moved = np.cumsum(sizes * keep) - sizes * keep - starts
-        return Side(self.ids[mine], (self.ends + np.repeat(moved, count))[mine], np.concatenate([[0], np.cumsum(count[keep])]))
-
 
 def refined(begin: np.ndarray, end: np.ndarray, length: np.ndarray, bounds: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Byte ends of tokens with coarse byte spans begin to end and ``length`` decoded bytes; documents begin at ``starts``."""
+    """Byte ends of tokens with coarse byte spans begin to end and ``length`` decoded bytes; texts begin at ``starts``."""
     first = np.zeros(len(end), bool)
     some = np.flatnonzero(np.diff(bounds))
     first[bounds[some]] = True
@@ -108,53 +87,142 @@ def refined(begin: np.ndarray, end: np.ndarray, length: np.ndarray, bounds: np.n
     sure = touches & follows & (end - before == length)
     total = np.cumsum(length)
     anchor = np.maximum.accumulate(np.where(sure, np.arange(len(end)), -1))
-    doc_first = np.repeat(bounds[:-1], np.diff(bounds))
-    doc_start = np.repeat(starts, np.diff(bounds))
-    held = anchor >= doc_first
+    text_first = np.repeat(bounds[:-1], np.diff(bounds))
+    text_start = np.repeat(starts, np.diff(bounds))
+    held = anchor >= text_first
     at = np.maximum(anchor, 0)
-    base_end = np.where(held, end[at], doc_start)
-    base_total = np.where(held, total[at], total[doc_first] - length[doc_first])
+    base_end = np.where(held, end[at], text_start)
+    base_total = np.where(held, total[at], total[text_first] - length[text_first])
     return base_end + total - base_total
 
 
-def encoded(texts: list[str], a_file: str, b_file: str) -> tuple[np.ndarray, np.ndarray, Side, Side]:
-    """Which of the texts (none empty) have tokens, the byte ends of those joined, and their tokens on both sides."""
-    a, a_vocabulary, b, b_vocabulary = loaded(a_file, b_file)
-    spaced = [" " + t for t in texts]
-    whole = [t.encode() for t in spaced]
-    raw = np.frombuffer(b"".join(whole), np.uint8)
-    sizes = np.array([len(w) for w in whole], np.int64)
-    starts = np.cumsum(sizes) - sizes
-
-    found = a.encode_batch(spaced, add_special_tokens=False)
-    a_bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-    a_ids = np.fromiter(itertools.chain.from_iterable(x.ids for x in found), np.int64, a_bounds[-1])
-    spans = np.fromiter(itertools.chain.from_iterable(itertools.chain.from_iterable(x.offsets for x in found)), np.int64, 2 * a_bounds[-1]).reshape(-1, 2)
-    point = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))          # byte of each character
-    spans = point[spans + np.repeat(np.searchsorted(point, starts), np.diff(a_bounds))[:, None]]
-    one = Side(a_ids, refined(spans[:, 0], spans[:, 1], a_vocabulary.length[a_ids], a_bounds, starts), a_bounds)
-
-    protos = [x.pieces for x in b.encode(texts, return_type="proto")]
-    b_bounds = np.concatenate([[0], np.cumsum([len(x) for x in protos])]).astype(np.int64)
-    flat = np.array([x for here in protos for p in here for x in (p.id, p.end)], np.int64)
-    b_ids, end = flat[::2], flat[1::2] + 1 + np.repeat(starts, np.diff(b_bounds))        # 1: the space
-    begin = np.empty(len(end), np.int64)
-    begin[1:] = end[:-1]                                                       # pieces follow each other
-    some = np.flatnonzero(np.diff(b_bounds))
-    begin[b_bounds[some]] = starts[some]
-    two = Side(b_ids, refined(begin, end, b_vocabulary.length[b_ids], b_bounds, starts), b_bounds)
-
-    good = np.ones(len(texts), bool)
-    for side, vocabulary in ((one, a_vocabulary), (two, b_vocabulary)):
-        owner = np.repeat(np.arange(len(texts)), np.diff(side.bounds))
-        fits = np.bincount(owner, vocabulary.length[side.ids], len(texts)).astype(np.int64) == sizes
-        joined = vocabulary.decoded(side.ids[fits[owner]])
-        row = np.repeat(np.arange(len(texts)), sizes * fits)
-        bad = row[joined != raw[np.repeat(fits, sizes)]]
-        good &= fits
-        good[bad] = False
-    ends = np.cumsum(sizes[good])
-    return good, ends, one.of(good, sizes, starts), two.of(good, sizes, starts)
+class Column:
+    """A growing array."""
+
+    def __init__(self):
+        self.data, self.size = np.zeros(1 << 12, np.int64), 0
+
+    def add(self, x: np.ndarray) -> None:
+        need = self.size + len(x)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[: self.size], np.zeros(max(need, len(self.data)), np.int64)])
+        self.data[self.size: need] = x
+        self.size = need
+
+
+class Encoder:
+    """Both tokenizers with the chunks that a Python worker has seen: their tokens, and byte ends within the chunk.
+
+    The chunks are bounds of memory, not of results: when they hold more than HELD_TOKENS tokens they are forgotten.
+    """
+
+    def __init__(self, a_file: str, b_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import sentencepiece
+        from tokenizers import Tokenizer
+        self.a = Tokenizer.from_file(a_file)
+        self.a.encode_special_tokens = True
+        table_, entries = byte_of_character(), [b""] * (max(self.a.get_vocab().values()) + 1)
+        for piece, i in self.a.get_vocab().items():
+            entries[i] = bytes(table_[c] for c in piece) if all(c in table_ for c in piece) else piece.encode()
+        b = self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
+        names = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+        assert max(len(entries), len(names)) <= 1 << PAIR_BITS
+        self.words = Vocabulary(entries), Vocabulary([bytes([int(n[3:5], 16)]) if b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)])
+        self.cuts = not any("▁" in n.lstrip("▁") for n in names)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.good, self.size = Column(), Column()
+        self.start, self.count, self.ids, self.ends = ([Column(), Column()] for _ in range(4))
+
+    def chunks(self, spaced: str) -> list[str]:
+        """The text in pieces that both sides encode on their own; each begins with a space and holds more than that."""
+        if not self.cuts:
+            return [spaced]
+        if not DOUBLE.search(spaced):
+            found = spaced.split(" ")
+            return [" " + x for x in found[1:]] if found[-1] else [spaced]
+        found = CUT.split(spaced)
+        return found if found[-1] != " " else [spaced]
+
+    def learn(self, new: list[str]) -> None:
+        """Encode chunks that were not seen before."""
+        whole = [t.encode() for t in new]
+        raw = np.frombuffer(b"".join(whole), np.uint8)
+        sizes = np.array([len(w) for w in whole], np.int64)
+        starts = np.cumsum(sizes) - sizes
+
+        found = self.a.encode_batch(new, add_special_tokens=False)
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+        ids = np.fromiter(itertools.chain.from_iterable(x.ids for x in found), np.int64, bounds[-1])
+        spans = np.fromiter(itertools.chain.from_iterable(itertools.chain.from_iterable(x.offsets for x in found)), np.int64, 2 * bounds[-1]).reshape(-1, 2)
+        point = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))          # byte of each character
+        spans = point[spans + np.repeat(np.searchsorted(point, starts), np.diff(bounds))[:, None]]
+        one = Side(ids, refined(spans[:, 0], spans[:, 1], self.words[0].length[ids], bounds, starts), bounds)
+
+        protos = [x.pieces for x in self.b.encode([t[1:] for t in new], return_type="proto")]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in protos])]).astype(np.int64)
+        flat = np.array([x for here in protos for p in here for x in (p.id, p.end)], np.int64)
+        ids, end = flat[::2], flat[1::2] + 1 + np.repeat(starts, np.diff(bounds))        # 1: the space
+        begin = np.empty(len(end), np.int64)
+        begin[1:] = end[:-1]                                                       # pieces follow each other
+        some = np.flatnonzero(np.diff(bounds))
+        begin[bounds[some]] = starts[some]
+        two = Side(ids, refined(begin, end, self.words[1].length[ids], bounds, starts), bounds)
+
+        good = np.ones(len(new), bool)
+        for k, side in enumerate((one, two)):
+            owner = np.repeat(np.arange(len(new)), np.diff(side.bounds))
+            fits = np.bincount(owner, self.words[k].length[side.ids], len(new)).astype(np.int64) == sizes
+            joined = self.words[k].decoded(side.ids[fits[owner]])
+            row = np.repeat(np.arange(len(new)), sizes * fits)
+            good &= fits
+            good[row[joined != raw[np.repeat(fits, sizes)]]] = False
+            self.start[k].add(self.ids[k].size + side.bounds[:-1])
+            self.count[k].add(np.diff(side.bounds))
+            self.ids[k].add(side.ids)
+            self.ends[k].add(side.ends - starts[owner])
+        self.good.add(good)
+        self.size.add(sizes)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, Side, Side]:
+        """Which of the texts (none empty) have tokens, the byte ends of those joined, and their tokens on both sides."""
+        if max(c.size for c in self.ids) > HELD_TOKENS:
+            self.forget()
+        split = [self.chunks(" " + t) for t in texts]
+        new = list(dict.fromkeys(c for s in split for c in s if c not in self.number))
+        if new:
+            self.learn(new)
+        per = np.array([len(s) for s in split], np.int64)
+        at = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(split)), np.int64, per.sum())
+        owner = np.repeat(np.arange(len(texts)), per)
+        good = np.bincount(owner, self.good.data[at] == 0, len(texts)) == 0
+        at, owner, per = at[good[owner]], owner[good[owner]], per[good]
+        sizes = self.size.data[at]
+        place = np.cumsum(sizes) - sizes
+        first = np.cumsum(per) - per
+        ends = np.cumsum(sizes)[first + per - 1] if len(per) else np.zeros(0, np.int64)
+        sides = []
+        for k in range(2):
+            n = self.count[k].data[at]
+            upto = np.cumsum(n)
+            token = np.repeat(self.start[k].data[at] - (upto - n), n) + np.arange(upto[-1] if len(n) else 0)
+            bounds = np.concatenate([[0], upto[first + per - 1]]) if len(per) else np.zeros(1, np.int64)
+            sides.append(Side(self.ids[k].data[token], self.ends[k].data[token] + np.repeat(place, n), bounds))
+        return good, ends, *sides
+
+
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(a_file: str, b_file: str) -> Encoder:
+    """Once for each Python worker."""
+    if (a_file, b_file) not in _encoders:
+        _encoders[a_file, b_file] = Encoder(a_file, b_file)
+    return _encoders[a_file, b_file]
 
 
 def merged(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -213,7 +281,7 @@ def align(texts: list[str | None], a_file: str, b_file: str) -> Aligned:
     out = Aligned(*(np.zeros(len(texts), np.int64) for _ in range(4)), [""] * len(texts), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if not len(at):
         return out
-    good, ends, one, two = encoded([texts[k] for k in at], a_file, b_file)
+    good, ends, one, two = encoder(a_file, b_file).encode([texts[k] for k in at])
     at = at[good]
     if not len(at):
         return out
@@ -249,7 +317,7 @@ def spans(docs: DataFrame, a_file: str, b_file: str, text: str = "text") -> Data
             parts: list[list] = [[] for _ in range(5)]
             for _, _, texts in text_runs(b.column(1)):
                 at = [k for k, t in enumerate(texts) if t]
-                good, ends, one, two = encoded([texts[k] for k in at], a_file, b_file) if at else (np.zeros(0, bool), np.zeros(0, np.int64), None, None)
+                good, ends, one, two = encoder(a_file, b_file).encode([texts[k] for k in at]) if at else (np.zeros(0, bool), np.zeros(0, np.int64), None, None)
                 place = {at[k]: d for d, k in enumerate(np.flatnonzero(good))}
                 begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
                 for k in range(len(texts)):

@@ -257,9 +257,9 @@ def test_alignment_refines_shared_characters():
     files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     rng = np.random.default_rng(4)
     texts = ["".join(rng.choice(list("ab \n😀日本語ßİ𝔘👩é\t"), rng.integers(1, 50))) for _ in range(400)]
-    good, _, one, two = alignment.encoded(texts, *files)
+    good, _, one, two = alignment.encoder(*files).encode(texts)
     assert good.sum() > 300
-    for side, vocabulary in ((one, alignment.loaded(*files)[1]), (two, alignment.loaded(*files)[3])):
+    for side, vocabulary in zip((one, two), alignment.encoder(*files).words):
         assert np.array_equal(side.ends, np.cumsum(vocabulary.length[side.ids]))
 
 
