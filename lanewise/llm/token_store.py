@@ -12,6 +12,7 @@ segment. A null key is kept as the lowest number and given back as null; null te
 """
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -57,16 +58,22 @@ def halves(word: bytes) -> tuple[bytes, bytes]:
     if b"<|" in word:
         return word, b""
     core = word.rstrip(TAIL)
-    if core.isalpha() or (word.isascii() and core[-1:].isalnum()) or core.decode("utf-8", "replace").isalpha():
+    if core.isalpha() or (word.isascii() and core[-1:].isalnum()) or letters_only(core.decode("utf-8", "replace")):
         return core.lower(), word[len(core):]
     return word, b""
 
 
+def letters_only(text: str) -> bool:
+    """Letters that are still letters when composed and in lower case: a capital dotted I becomes an i and a mark, which goes with the
+    punctuation behind it, as does the mark of a letter that composition takes apart."""
+    return text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
+
+
 def encode_cores(cores: list[bytes], tok, ends: np.ndarray) -> dict[bytes, bytes]:
     """uint32 ids of each core. Cores of letters alone have one end of word each, so many are encoded as one text and cut there."""
     text = [c.decode("utf-8", "replace") for c in cores]
-    letters = [k for k, t in enumerate(text) if t.isalpha()]
-    out, rest = {}, [k for k, t in enumerate(text) if not t.isalpha()]
+    letters = [k for k, t in enumerate(text) if letters_only(t)]
+    out, rest = {}, [k for k, t in enumerate(text) if not letters_only(t)]
     lots = [letters[i: i + 500] for i in range(0, len(letters), 500)]
     for lot, e in zip(lots, tok.encode_batch([" ".join([text[k] for k in lot]) for lot in lots], add_special_tokens=False)):
         ids = np.array(e.ids, "<u4")
