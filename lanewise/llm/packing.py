@@ -90,7 +90,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, window: int = WINDOW, per_
     with nothing. Repeated rows are packed as often as they occur, in different bins. Nothing is dropped.
     """
     rows = measured(docs).withColumns({"n": F.col("n_words") + 1, "window": F.floor(F.col("row") / window).cast("long")})
-    rows = rows.withColumns({"whole": F.floor((F.col("n") - 1) / capacity).cast("long"), "file": F.element_at(F.split("file", "/"), -1)})
+    rows = rows.withColumn("whole", F.floor((F.col("n") - 1) / capacity).cast("long"))
     name = F.concat_ws(":", "file", F.col("window").cast("string"))
     full = rows.where("whole > 0").select("key", "row", name.alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("piece"))
     full = full.select(F.col("key").alias("doc_id"), "piece", (F.col("piece") * capacity).alias("first_word"), F.lit(capacity).cast("long").alias("n_tokens"),
