@@ -381,20 +381,19 @@ def without_repeats(docs: DataFrame, carry: list[str] = ("doc_id",), whole: bool
     cells = input_splits(docs)
     blocks = 4 * cells
     # repeated rows have one uid: what is removed depends on doc_id and text alone
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_text": F.coalesce(F.col("text"), F.lit("")).cast("binary")})
-    rows = rows.withColumn("_uid", F.xxhash64("_id", "_text"))
-    scan = rows.select(F.col("_uid").alias("uid"), F.col("_id").alias("id"), F.col("_text").alias("text"))
+    names = {f"c{i}": c for i, c in enumerate(carry)}
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
+                       *[F.col(f"`{c}`").alias(n) for n, c in names.items()]).withColumn("uid", F.xxhash64("id", "text"))
+    scan = rows.select("uid", "id", "text")
     local = scan.mapInArrow(settle_locally(blocks), SPANS)
     settled = scan.mapInArrow(to_cells(cells), CELL).groupBy("cell").applyInPandas(settle_cell(blocks), SPANS)
     known = durable(settled.unionByName(local), "spans")
 
-    names = {f"c{i}": c for i, c in enumerate(carry)}
-    texts = rows.select(F.pmod("_uid", F.lit(blocks)).cast("int").alias("block"), F.col("_uid").alias("uid"), F.col("_text").alias("text"),
-                        *[F.col(f"`{c}`").alias(n) for n, c in names.items()])
+    texts = rows.select(F.pmod("uid", F.lit(blocks)).cast("int").alias("block"), "uid", "text", *names)
     fetched = texts.groupBy("block").cogroup(known.where("kind = 1").groupBy("block")).applyInPandas(fetch(SORT_CELLS * cells), FETCHED)
     sorted_ = fetched.groupBy("cell").applyInPandas(sort_cell(blocks), SPANS)
     spans = known.where("kind = 0").unionByName(sorted_)
-    kinds = dict(rows.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()]).dtypes)
+    kinds = dict(rows.select(*names).dtypes)
     ddl = "n_bytes long, n_removed long, n_spans long, kept binary" + "".join(f", {n} {k}" for n, k in kinds.items())
     out = texts.groupBy("block").cogroup(spans.groupBy("block")).applyInPandas(cut(list(names), whole), ddl)
     return out.select("n_bytes", "n_removed", "n_spans", "kept", *[F.col(n).alias(c) for n, c in names.items()])
