@@ -8,7 +8,11 @@ confirmed on their full sets, in whole numbers.
 A bucket never turns into all its pairs. First every representative is compared with the least one it shares a bucket with.
 Buckets whose members are then in one component are done; that covers groups of copies of any size. In the others,
 blocks of members are compared in memory, and each member puts forward the partner outside its component that is like most others.
-What is then still open is compared without limit.
+In what is then still open, members of the largest component of a group meet all others block by block, with their full sets; a pair
+is confirmed where it meets, pairs of components that are joined by then are passed over, and only links that join two components
+come out. So the rows between the steps follow the members, not their pairs.
+
+A node is a pair of doc_id and text, so rows that share a doc_id but not the text are told apart.
 """
 
 import math
@@ -28,6 +32,8 @@ PERCENT = 75
 BATCHES = (32, 64, 96, 128)
 MISS = 1e-6
 BLOCK = 512
+PLACES = "array<struct<kind:int,i:int,j:int,side:int>>"
+SET_BLOCK = 2048        # members of a block that is compared with full sets
 SET_BYTES = 6
 MULTIPLIERS = seeds(HASHES, 31) | np.uint64(1)
 ADDENDS = seeds(HASHES, 32)
@@ -66,11 +72,11 @@ def sets_of(column: pa.Array):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc, n (size of the set), digest h1 and h2 of the set, bands: keys of its buckets."""
+    """doc, id, n (size of the set), digest h1 and h2 of the set, bands: keys of its buckets, of rows (doc, id, text)."""
     def run(batches):
         for b in batches:
             n, h1, h2, keys = [], [], [], []
-            for s in sets_of(b.column(1)):
+            for s in sets_of(b.column(2)):
                 n.append(len(s))
                 h1.append(int(np.add.reduce(mix64(s))))
                 h2.append(int(np.bitwise_xor.reduce(mix64(s ^ np.uint64(0x5555555555555555)))) if len(s) else 0)
@@ -82,10 +88,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                     keys.append(key.astype(np.int64).tolist())
                 else:
                     keys.append([])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).astype(np.int64)),
-                                              pa.array(np.array(h2, np.uint64).astype(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "n", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).astype(np.int64)),
+                                              pa.array(np.array(h2, np.uint64).astype(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "id", "n", "h1", "h2", "bands"])
 
-    return docs.mapInArrow(run, "doc long, n long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc long, id long, n long, h1 long, h2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -145,9 +151,9 @@ def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return durable(beside(left, "items").mapInArrow(check, "a long, b long"), "links")
 
 
-def open_pairs(rows: DataFrame, sigs: DataFrame, tested: DataFrame, best: bool, cells: int) -> DataFrame:
+def likeliest_pairs(rows: DataFrame, sigs: DataFrame, tested: DataFrame, cells: int) -> DataFrame:
     """Likely pairs of members of one bucket but different components that were not tested: of each member the one partner that is like
-    most others (the middle of a group of copies), or all.
+    most others (the middle of a group of copies).
 
     ``rows``: key, doc, component, n (size of the bucket). Members are dealt to blocks of about BLOCK; two blocks at a time are
     compared at once; ``cells`` groups of such comparisons share the tasks.
@@ -199,65 +205,176 @@ def open_pairs(rows: DataFrame, sigs: DataFrame, tested: DataFrame, best: bool,
         if not kept:
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in "abm"})
         got = pd.DataFrame(dict(zip("abm", (np.concatenate(x) for x in zip(*kept)))))
-        if best:          # three partners each, as some may have been tested: those that are like most others come first
-            got = pd.concat([got, got.rename(columns={"a": "b", "b": "a"})])
-            got["m"] = got["b"].map(got.groupby("b")["m"].sum())
-            got = got.sort_values(["m", "a", "b"], ascending=[False, True, True]).groupby("a").head(3)
-        return got.drop_duplicates()
+        # three partners each, as some may have been tested: those that are like most others come first
+        got = pd.concat([got, got.rename(columns={"a": "b", "b": "a"})])
+        got["m"] = got["b"].map(got.groupby("b")["m"].sum())
+        return got.sort_values(["m", "a", "b"], ascending=[False, True, True]).groupby("a").head(3).drop_duplicates()
 
     dealt = dealt.select("key", "doc", "component", "own", "i", "j", "sig", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells)).alias("cell"))
     found = dealt.groupBy("cell").applyInPandas(compare, "a long, b long, m long")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    if not best:
-        return found.select(*pair).distinct().join(tested, ["a", "b"], "left_anti")
     found = found.select(F.col("a").alias("doc"), "m", *pair).join(tested, ["a", "b"], "left_anti")
     return found.groupBy("doc").agg(F.max(F.struct("m", "a", "b")).alias("t")).select("t.a", "t.b").distinct()
 
 
+def joining_links(sig: np.ndarray, items: list[bytes], keys: list[np.ndarray], component: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links (row, row) that join components of rows which share a key; with ``side``, of rows on different sides only.
+
+    Pairs are taken bucket by bucket, those with most equal hashes first. Every likely pair of components not yet joined is
+    confirmed on the full sets, so components that no pair of rows links stay apart.
+    """
+    labels, root = np.unique(component, return_inverse=True)
+    root = np.arange(len(labels))[root]
+    parent = np.arange(len(labels))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sets: dict[int, np.ndarray] = {}
+    out, failed = [], set()
+
+    def linked(x, y):
+        for k in (x, y):
+            if k not in sets:
+                sets[k] = _items(items[k])
+        a, b = sets[x], sets[y]
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    row, key = row[order], key[order]
+    cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(key)]):
+        at = row[lo:hi]
+        if len(at) < 2 or len({find(r) for r in np.unique(root[at])}) < 2:
+            continue
+        left, right = (at, at) if side is None else (at[side[at] == 0], at[side[at] == 1])
+        step = max(1, (1 << 20) // max(len(right), 1))
+        for k in range(0, len(left), step):
+            now = np.array([find(r) for r in range(len(parent))])[root]
+            x, y = np.repeat(left[k: k + step], len(right)), np.tile(right, len(left[k: k + step]))
+            apart = (now[x] != now[y]) & ((x < y) if side is None else True)
+            x, y = x[apart], y[apart]
+            if not len(x):
+                continue
+            alive, m = likely(sig[x], sig[y])
+            x, y, m = x[alive], y[alive], m[alive]
+            for n in np.argsort(-m, kind="stable").tolist():
+                p, q = int(x[n]), int(y[n])
+                one, two = find(root[p]), find(root[q])
+                if one == two or (p, q) in failed:
+                    continue
+                if linked(p, q):
+                    parent[max(one, two)] = min(one, two)
+                    out.append((p, q))
+                else:
+                    failed.add((p, q))
+    return out
+
+
+def open_links(rows: DataFrame, full: DataFrame, cells: int) -> DataFrame:
+    """Links (a, b) that join components, of all pairs of ``rows`` (key, doc, pivot, component) that share a key.
+
+    Buckets with one least member are one group. The members of its largest component are dealt to blocks once for each block of
+    the others; the others meet all blocks of it and of one another. Within the largest component nothing is compared.
+    """
+    members = rows.groupBy("pivot", "doc").agg(F.collect_list("key").alias("keys"), F.first("component").alias("component"))      # BANDS keys at most
+    sizes = members.groupBy("pivot", "component").agg(F.count("*").alias("c"))
+    group = sizes.groupBy("pivot").agg(F.max(F.struct("c", "component")).alias("big"), F.sum("c").alias("n"))
+    group = group.select("pivot", F.col("big.component").alias("big"), F.ceil(F.col("big.c") / SET_BLOCK).cast("int").alias("p"),
+                         F.ceil((F.col("n") - F.col("big.c")) / SET_BLOCK).cast("int").alias("q"))
+    dealt = members.join(group.where("q > 0"), "pivot")
+    inside = F.col("component") == F.col("big")
+    own = F.pmod(F.xxhash64("doc"), F.when(inside, F.col("p")).otherwise(F.col("q"))).cast("int")
+    none = F.array().cast(PLACES)
+
+    def place(kind, i, j, side):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    across = F.when(inside, F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: place(0, own, k, F.lit(0)))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda k: place(0, k, own, F.lit(1))))
+    among = F.when(inside, none).otherwise(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: place(1, F.least(own, k), F.greatest(own, k), (k != own).cast("int"))))
+    spread = dealt.select("pivot", "doc", "keys", "component", F.explode(F.concat(across.cast(PLACES), among.cast(PLACES))).alias("at"))
+    spread = spread.select("pivot", "doc", "keys", "component", "at.*", F.pmod(F.xxhash64("pivot", "at.kind", "at.i", "at.j"), F.lit(cells)).alias("cell"))
+    # of two different blocks only pairs across are new: each side is told by its own block
+    spread = spread.withColumn("side", F.when(F.col("kind") == 0, F.col("side")).otherwise(F.lit(-1)))
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, g in f.groupby(["pivot", "kind", "i", "j"], sort=True):
+            g = g.drop_duplicates("doc").sort_values("doc")
+            doc, component = g["doc"].to_numpy(), g["component"].to_numpy()
+            if len(doc) < 2 or (component == component[0]).all():
+                continue
+            sig = np.frombuffer(b"".join(g["sig"]), "<u4").reshape(-1, HASHES)
+            side = g["side"].to_numpy() if g["kind"].iloc[0] == 0 else None
+            for x, y in joining_links(sig, g["items"].tolist(), [np.asarray(k) for k in g["keys"]], component, side):
+                a.append(min(doc[x], doc[y]))
+                b.append(max(doc[x], doc[y]))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return spread.join(full, "doc").groupBy("cell").applyInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc, n_shingles and component (least doc reachable) of every row of ``docs`` (doc_id, text).
+    """uid, doc, n_shingles and component (least doc reachable) of every row of ``docs`` (doc_id, text).
 
     Null or wordless texts have an empty set and stand alone; a null doc_id gets no component but its own null. Rows that share
-    a doc_id are one document if their texts have the same set. An empty table gives an empty result.
+    a doc_id and the text are one document (one uid); rows that share a doc_id alone are told apart. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+    docs = docs.select(node().alias("doc"), F.col("doc_id").cast("long").alias("id"), "text")
     cells = 4 * input_splits(docs)
     sketch = durable(sketches(docs), "sketches")
-    filled = sketch.where("n > 0 AND doc IS NOT NULL")
+    filled = sketch.where("n > 0 AND id IS NOT NULL")
     classes = filled.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))
     reps = classes.select(F.col("rep").alias("doc")).distinct()
     bucket = filled.join(reps, "doc", "left_semi").select("doc", F.explode("bands").alias("key")).distinct()
     least = bucket.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = durable(bucket.join(least, "key"), "members")
     wanted = members.select("doc").distinct()
-    full = durable(full_sets(docs.join(wanted.hint("shuffle_hash"), "doc", "left_semi").select("doc", "text")).where("length(items) > 0"), "sets")
+    texts = docs.join(wanted.hint("shuffle_hash"), "doc", "left_semi").select("doc", "text").dropDuplicates(["doc"])
+    full = durable(full_sets(texts).where("length(items) > 0"), "sets")
 
     pairs = members.where("doc <> pivot").groupBy(F.col("doc").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
     tested = durable(pairs, "pairs")
-    links, comps, known = confirmed(tested, full), None, None
-    for best in (True, False):
-        if links is not None:
-            comps = components(links if comps is None else known.union(links))
-        known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        rows = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"), "n")
+    comps = components(confirmed(tested, full))
+
+    def known():
+        return comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+    def still_open():
+        rows = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "pivot", F.coalesce("component", "doc").alias("component"), "n")
         still = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        more = durable(open_pairs(rows.join(still, "key", "left_semi"), full.select("doc", "sig"), tested, best, cells), "pairs")
-        links = None
-        if not more.isEmpty():
-            tested, links = tested.union(more), confirmed(more, full)
-        elif not best or still.isEmpty():        # the likeliest partners may all be tested, and others of open buckets not
-            break
-    if links is not None:
-        comps = components(known.union(links))
-    of = sketch.select("doc", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").join(comps, F.col("rep") == F.col("node"), "left")
-    return of.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc").alias("component"))
+        return rows.join(still, "key", "left_semi")
+
+    more = durable(likeliest_pairs(still_open(), full.select("doc", "sig"), tested, cells), "pairs")
+    if not more.isEmpty():
+        comps = components(known().union(confirmed(more, full)))
+    last = durable(open_links(still_open(), full, 4 * cells), "links")
+    if not last.isEmpty():
+        comps = components(known().union(last))
+    of = sketch.select("id", "doc", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").join(comps, F.col("rep") == F.col("node"), "left")
+    of = of.select("id", "doc", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "doc")).alias("node"))
+    names = of.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("component"))
+    return of.join(names, "node", "left").select(F.col("doc").alias("uid"), F.col("id").alias("doc"), F.col("n").alias("n_shingles"), "component")
+
+
+def node():
+    """The number of a row: its doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, all columns unchanged; repeated rows of one doc_id stay together."""
+    """The rows of ``docs`` that stand for their component, all columns unchanged: those whose doc_id is the least of it. Of rows that
+    share a doc_id only the one that is a duplicate of a lesser one goes; fully repeated rows, and copies under one doc_id, stay together."""
     found = near_duplicates(docs)
-    gone = found.where("doc <> component").select(F.col("doc").alias("_doc")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left_anti")
+    name = "_" * (1 + max(map(len, docs.columns)))          # no column of the caller
+    gone = found.where("doc <> component").select(F.col("uid").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), node() == F.col(name), "left_anti")
 
 
 @query("op3_near_dedup")
