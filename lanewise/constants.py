@@ -67,6 +67,13 @@ RISK_FEATURES_FULL = [
     "excess_rate_per_kg", "excess_rate_per_ton_km", "cost_mismatch_delay_skew",
     "zero_delay_p90_breach",
 ]
+# without absolute rupee amounts
+RISK_FEATURES_SCALE_FREE = [
+    "actual_days", "true_delay_days", "commercial_delay_days", "adverse_weather_days",
+    "vendor_padding_ratio", "vendor_historical_risk_score", "cost_mismatch_ratio",
+    "cost_mismatch_upper_ratio", "billed_to_p90_ratio", "cost_mismatch_delay_skew",
+    "zero_delay_p90_breach",
+]
 RISK_FEATURES_RUPEE = ["actual_billed_amount", "model_a_predicted_cost", "cost_mismatch",
                        "cost_mismatch_upper", "excess_rate_per_kg", "excess_rate_per_ton_km"]
 # every feature that grows with the bill alone

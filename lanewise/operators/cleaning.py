@@ -46,11 +46,11 @@ def month_median_impute(orders: DataFrame, value: str = "expected_weather_score"
     """Missing score -> median of its calendar month across years -> overall median.
 
     Scores are small whole numbers, so the orders collapse to a short (month, score,
-    count) table in one pass; both medians come from it.
+    count) table; both medians come from it. The orders are stored first, so what made them runs once.
     """
     month = F.month("order_date")
-    counts = stored(orders.where(F.col(value).isNotNull()).groupBy(month.alias("month"), value)
-                    .agg(F.count("*").alias("n")), "scores")
+    orders = stored(orders, "scored-orders")
+    counts = orders.where(F.col(value).isNotNull()).groupBy(month.alias("month"), value).agg(F.count("*").alias("n"))
     overall = counts.agg(F.percentile(value, 0.5, F.col("n")))
     return (orders.withColumn("month", month).join(F.broadcast(month_medians(counts, value)), "month", "left")    # 12 rows
             .withColumn(value, F.coalesce(F.col(value), F.col("month_median"), overall.scalar()))

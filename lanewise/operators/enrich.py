@@ -5,13 +5,15 @@ not grow with the number of invoices. They are broadcast after a size check, so
 the orders are not shuffled for any of these lookups.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise import constants as C
 from lanewise.functions import dates, numeric
 from lanewise.operators.cleaning import assign_truck
-from lanewise.operators.scale import keep_first_by, small_side
+from lanewise.operators.scale import keep_first_by, salted_join, small_side
 
 
 # ---- routes ---------------------------------------------------------------------
@@ -53,10 +55,10 @@ def route_build(hubs: DataFrame, circuity: float = C.CIRCUITY, orders: DataFrame
 
 def route_lookup(df: DataFrame, routes: DataFrame, origin: str = "origin_hub_id",
                  dest: str = "dest_hub_id") -> DataFrame:
-    """Distance and ideal days whichever way round the pair is stored; NULL when unknown."""
-    table = small_side(routes.select(F.least("origin_hub_id", "dest_hub_id").alias("_a"),
-                                     F.greatest("origin_hub_id", "dest_hub_id").alias("_b"),
-                                     "distance_km", "ideal_days"))
+    """Distance and ideal days whichever way round the pair is stored; NULL when unknown. ``routes`` is a stored table, so
+    Spark knows its size."""
+    table = routes.select(F.least("origin_hub_id", "dest_hub_id").alias("_a"), F.greatest("origin_hub_id", "dest_hub_id").alias("_b"),
+                          "distance_km", "ideal_days")
     both = F.col(origin).isNotNull() & F.col(dest).isNotNull()
     return (df.withColumn("_a", F.when(both, F.least(origin, dest))).withColumn("_b", F.when(both, F.greatest(origin, dest)))
             .join(table, ["_a", "_b"], "left").drop("_a", "_b"))
@@ -64,7 +66,7 @@ def route_lookup(df: DataFrame, routes: DataFrame, origin: str = "origin_hub_id"
 
 def route_lookup_directed(df: DataFrame, routes: DataFrame) -> DataFrame:
     """Lookup of the stored direction only."""
-    table = small_side(routes.select("origin_hub_id", "dest_hub_id", "distance_km", "ideal_days"))
+    table = routes.select("origin_hub_id", "dest_hub_id", "distance_km", "ideal_days")
     return df.join(table, ["origin_hub_id", "dest_hub_id"], "left")
 
 
@@ -78,22 +80,41 @@ def hub_attributes(df: DataFrame, hubs: DataFrame) -> DataFrame:
     return df
 
 
-def _substrings(text: Column) -> Column:
-    n = F.length(text)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: text.substr(i, k)))))
+GRAM = 3
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """Distinct runs of ``sizes`` characters. The text is cut into characters once, so the work is linear in its length."""
+    chars = F.split(text, "")
+
+    def run(size):
+        out = chars
+        for k in range(1, size):
+            out = F.zip_with(out, F.slice(chars, F.lit(k + 1), F.size(chars)), lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+        return out
+    return F.array_distinct(F.flatten(F.array(*[run(s) for s in sizes]))) if sizes else F.array().cast("array<string>")
 
 
 def city_to_hub(df: DataFrame, hubs: DataFrame, city: str) -> DataFrame:
     """Hub of a free-text place: exact city or hub id first, else the first hub whose
-    city contains the text or is contained in it. Distinct spellings meet the hubs by
-    equi joins on their substrings, so neither list is held in one task; rows without
-    a place do not take part in the join."""
+    city contains the text or is contained in it.
+
+    Containment goes through an index of hub names by runs of GRAM characters: a text that contains a name has the run the name
+    begins with, a text inside a name begins with a run of the name. Candidates are verified. Distinct spellings take part once,
+    with one row for each character at most; rows without a place do not take part.
+    """
     listed = hubs.select(F.struct("hub_id", F.lower(F.trim("city")).alias("city"), "state").alias("hub"))
     places = df.select(F.lower(F.trim(city)).alias("text")).where("text <> ''").distinct()
     exact = (places.join(listed.select("hub", F.explode(F.array_distinct(F.array("hub.city", F.lower("hub.hub_id")))).alias("text")), "text")
              .groupBy("text").agg(F.min("hub").alias("exact")))
-    inside = places.select("text", F.explode(_substrings(F.col("text"))).alias("part")).join(listed.withColumn("part", F.col("hub.city")), "part")
-    around = listed.where("hub.city <> ''").select("hub", F.explode(_substrings(F.col("hub.city"))).alias("text")).join(places, "text")
+    named = listed.where("hub.city <> ''")
+    heads = named.select("hub", F.substring("hub.city", 1, GRAM).alias("gram"))
+    # names shorter than a run are their own run; at most GRAM sizes
+    sizes = sorted(r[0] for r in heads.select(F.char_length("gram")).distinct().collect())
+    inside = places.select("text", F.explode(_grams(F.col("text"), sizes)).alias("gram")).join(heads, "gram").where(F.col("text").contains(F.col("hub.city")))
+    begins = places.select("text", F.substring("text", 1, GRAM).alias("gram"))
+    runs = named.select("hub", F.explode(_grams(F.col("hub.city"), list(range(1, GRAM + 1)))).alias("gram"))
+    around = begins.join(runs, "gram").where(F.col("hub.city").contains(F.col("text")))
     partial = inside.select("text", "hub").unionByName(around.select("text", "hub")).groupBy("text").agg(F.min("hub").alias("partial"))
     found = (places.join(exact, "text", "left").join(partial, "text", "left").withColumn("_hub", F.coalesce("exact", "partial"))
              .select(F.col("text").alias("_text"), F.col("_hub.hub_id").alias(f"{city}_hub_id"), F.col("_hub.state").alias(f"{city}_state")))
@@ -198,7 +219,26 @@ def fuel_resolve(df: DataFrame, prices: DataFrame, current: DataFrame | None = N
 
 # ---- weather --------------------------------------------------------------------
 
-def weather_window(df: DataFrame, weather: DataFrame, hub: str = "dest_hub_id", start: str = "window_start",
+@dataclass
+class WeatherTotals:
+    """Running totals per hub and day, and the first and last day of each hub: stored once, used by every window lookup."""
+    totals: DataFrame
+    span: DataFrame
+
+
+def weather_totals(weather: DataFrame) -> WeatherTotals:
+    span = weather.groupBy("hub_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    grid = span.select("hub_id", F.explode(F.sequence(F.date_sub("lo", 1), F.col("hi"))).alias("day"))
+    upto = Window.partitionBy("hub_id").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    daily = weather.select("hub_id", "day", numeric.day_points(F.col("precip"), F.col("wind"), F.col("temp")).alias("pts"),
+                           F.when(F.col("precip") > C.HEAVY_RAIN_MM, 1).otherwise(0).alias("wet"), F.lit(1).alias("seen"))
+    totals = small_side(grid.join(daily, ["hub_id", "day"], "left")
+                        .select("hub_id", "day", *[F.sum(F.coalesce(F.col(c), F.lit(0))).over(upto).alias(c) for c in ("pts", "wet", "seen")]))
+    # the stored totals begin a day before the hub's series
+    return WeatherTotals(totals, totals.groupBy("hub_id").agg(F.date_add(F.min("day"), 1).alias("lo"), F.max("day").alias("hi")))
+
+
+def weather_window(df: DataFrame, weather: DataFrame | WeatherTotals, hub: str = "dest_hub_id", start: str = "window_start",
                    end: str = "window_end") -> DataFrame:
     """Severity score, adverse days and covered days over an inclusive window.
 
@@ -206,16 +246,8 @@ def weather_window(df: DataFrame, weather: DataFrame, hub: str = "dest_hub_id",
     (day before the start, end) replace the range join and the regrouping of orders.
     """
     day = F.col("day")
-    span = weather.groupBy("hub_id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    grid = span.select("hub_id", F.explode(F.sequence(F.date_sub("lo", 1), F.col("hi"))).alias("day"))
-    upto = Window.partitionBy("hub_id").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    daily = weather.select("hub_id", "day", numeric.day_points(F.col("precip"), F.col("wind"), F.col("temp")).alias("pts"),
-                           F.when(F.col("precip") > C.HEAVY_RAIN_MM, 1).otherwise(0).alias("wet"), F.lit(1).alias("seen"))
-    totals = (grid.join(daily, ["hub_id", "day"], "left")
-              .select("hub_id", "day", *[F.sum(F.coalesce(F.col(c), F.lit(0))).over(upto).alias(c)
-                                         for c in ("pts", "wet", "seen")]))
-    totals = small_side(totals)
-    bounds = small_side(span)
+    known = weather if isinstance(weather, WeatherTotals) else weather_totals(weather)
+    totals, bounds = known.totals, known.span
 
     def at(prefix, on):
         return totals.select(F.col("hub_id").alias(hub), day.alias(on), *[F.col(c).alias(f"{prefix}_{c}")
@@ -298,11 +330,11 @@ def weather_from_forecast(df: DataFrame, weekly_rain: DataFrame, weather: DataFr
 # ---- orders, vendors, invoices ----------------------------------------------------
 
 def add_existence(df: DataFrame, orders: DataFrame, vendors: DataFrame) -> DataFrame:
-    """Flags order_known and vendor_known; both key lists are reduced to their distinct keys."""
+    """Flags order_known and vendor_known; both key lists are reduced to their distinct keys. A carrier may have a third of all
+    invoices, so that join is salted by the order."""
     o = orders.select("order_id").distinct().withColumn("order_known", F.lit(True))
     v = vendors.select("vendor_id").distinct().withColumn("vendor_known", F.lit(True))
-    return (df.join(o, "order_id", "left").join(v, "vendor_id", "left")
-            .fillna(False, ["order_known", "vendor_known"]))
+    return salted_join(df.join(o, "order_id", "left"), v, "vendor_id", "order_id").fillna(False, ["order_known", "vendor_known"])
 
 
 def orphan_invoices(invoices: DataFrame, orders: DataFrame) -> DataFrame:
@@ -380,11 +412,11 @@ def _route_between(df: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def invoice_document(invoices: DataFrame, orders: DataFrame, vendors: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Everything printed on an invoice. The carrier table joins by shuffle: it grows with the data."""
+    """Everything printed on an invoice. The carrier table grows with the data and joins by shuffle, salted by the invoice."""
     o = orders.select("order_id", "vendor_id", "origin_hub_id", "dest_hub_id", "order_date", "truck_type",
                       "product_category", "distance_km", "ideal_days", "quoted_days", "billable_weight_kg")
     v = vendors.select("vendor_id", "vendor_name")
-    joined = invoices.join(o, ["order_id", "vendor_id"], "left").join(v, "vendor_id", "left")
+    joined = salted_join(invoices.join(o, ["order_id", "vendor_id"], "left"), v, "vendor_id", "invoice_id")
     return (hub_attributes(joined, hubs)
             .withColumn("invoice_date", F.date_add("order_date", F.ceil("actual_days").cast("int"))))
 

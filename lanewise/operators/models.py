@@ -15,11 +15,12 @@ from lanewise import constants as C
 from lanewise.operators import costing, metrics
 from lanewise.operators.scale import exact_percentiles, keep_first_by
 from lanewise.operators.splits import hash_bucket
+from lanewise.session import stored
 
 FOLDS = 5
 
 
-def _cost_columns() -> list[str]:
+def cost_columns() -> list[str]:
     slug = [v.lower().replace(" ", "_").replace("-", "_") for v in C.PRODUCT_CATEGORIES + C.TRUCK_TYPES]
     n = len(C.PRODUCT_CATEGORIES)
     return C.COST_NUMERIC_FEATURES + [f"cat_{s}" for s in slug[:n]] + [f"truck_{s}" for s in slug[n:]]
@@ -34,7 +35,7 @@ def cost_frame(orders: DataFrame, keep: list[str]) -> DataFrame:
 
 def fit_cost_ratio(frame: DataFrame, target: str = "cost_ratio", max_iter: int = 30, max_depth: int = 5,
                    seed: int = 42) -> PipelineModel:
-    assembler = VectorAssembler(inputCols=_cost_columns(), outputCol="features", handleInvalid="keep")
+    assembler = VectorAssembler(inputCols=cost_columns(), outputCol="features", handleInvalid="keep")
     tree = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="ratio", maxIter=max_iter, maxDepth=max_depth,
                         stepSize=0.2, subsamplingRate=0.8, seed=seed)
     return Pipeline(stages=[assembler, tree]).fit(frame)
@@ -60,7 +61,8 @@ class CostModel:
 
 def oof_predictions(frame: DataFrame, seq: str, folds: int = FOLDS, seed: int = 42, **fit) -> DataFrame:
     """Out-of-fold ratio for every order: each fold is scored by a model that never saw it."""
-    tagged = frame.withColumn("oof_fold_id", (hash_bucket(F.col(seq), seed) % folds).cast("int")).persist()
+    tagged = frame.withColumn("oof_fold_id", (hash_bucket(F.col(seq), seed) % folds).cast("int"))
+    tagged = stored(tagged, "folds")
     parts = []
     for k in range(folds):
         model = fit_cost_ratio(tagged.where(F.col("oof_fold_id") != k), seed=seed, **fit)
@@ -82,7 +84,7 @@ def fair_cost_model(frame: DataFrame, seq: str, **fit) -> tuple[CostModel, DataF
     """Final model with bands calibrated on out-of-fold residuals, and those predictions."""
     oof = oof_predictions(frame, seq, **fit)
     bands, overall = residual_bands(oof)
-    return CostModel(fit_cost_ratio(frame, **fit), bands.persist(), overall.persist()), oof
+    return CostModel(fit_cost_ratio(frame, **fit), stored(bands, "bands"), stored(overall, "overall")), oof
 
 
 def direct_cost_model(train: DataFrame, test: DataFrame, **fit) -> DataFrame:

@@ -68,36 +68,49 @@ def running_before(df: DataFrame, key: str, day: str, seq: str, measures: dict[s
                         for n in measures])
 
 
-def running_total(df: DataFrame, order: str, measures: Sequence[str], buckets: int = 512,
-                  by: Sequence[str] = ()) -> DataFrame:
-    """Inclusive running totals over the whole table in descending ``order``.
+def salted_join(df: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+    """Left join on ``key`` where one key may hold a large share of ``df``: its rows go to ``salts`` places by ``spread``, and each row
+    of ``right`` (one a key, far fewer than ``df``) to all of them. Rows without a key find nothing."""
+    tagged = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return tagged.join(copies, [key, "_salt"], "left").drop("_salt")
 
-    ``order`` must be distinct per ``by`` group. Approximate quantiles give
-    order-preserving buckets; one small window adds up the bucket totals, the
-    per-row windows each see one bucket only.
+
+WINDOW_ROWS = 1 << 20      # rows that one window sorts, about
+
+
+def running_total(df: DataFrame, order: str, measures: Sequence[str], by: Sequence[str] = (), descending: bool = True,
+                  window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Inclusive running totals over the whole table, or each ``by`` group, along ``order``.
+
+    ``order`` must be distinct per group. Two levels: the rows are dealt to sampled ranges of (by, order), as many as make about
+    ``window_rows`` each, and stored; the totals of the ranges are added up in one small window, the rows of each range in a window of their
+    own. The longest window is a range, or the list of ranges.
     """
-    cuts = df.select(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10000).alias("cuts"))
-    at = F.col(order)
-    rows = (df.withColumn("_cuts", cuts.scalar())
-            .withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c <= at))).drop("_cuts"))
-    totals = rows.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    above = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_bucket", *[F.coalesce(F.sum(f"_t_{m}").over(above), F.lit(0)).alias(f"_a_{m}")
-                                             for m in measures])
-    inside = (Window.partitionBy(*by, "_bucket").orderBy(F.desc(order))
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # at most `buckets` rows per group
-    return (rows.join(totals, [*by, "_bucket"])
-            .select(*df.columns, *[(F.col(f"_a_{m}") + F.sum(m).over(inside)).alias(f"cum_{m}") for m in measures]))
+    def along(c):
+        return F.desc(c) if descending else F.asc(c)
+    rows = stored(df, "totals")
+    ranges = -(-rows.count() // window_rows)
+    names = [f"cum_{m}" for m in measures]
+    if ranges <= 1:
+        upto = Window.partitionBy(*by).orderBy(along(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.select(*df.columns, *[F.sum(m).over(upto).alias(c) for m, c in zip(measures, names)])
+    dealt = stored(rows.repartitionByRange(ranges, *by, along(order)).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy(*by, "_range").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+    above = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{m}").over(above), F.lit(0)).alias(f"_a_{m}") for m in measures])
+    inside = Window.partitionBy(*by, "_range").orderBy(along(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (dealt.join(small_side(totals), [*by, "_range"])
+            .select(*df.columns, *[(F.col(f"_a_{m}") + F.sum(m).over(inside)).alias(c) for m, c in zip(measures, names)]))
 
 
 def exact_percentiles(df: DataFrame, value: str, fractions: dict[str, float],
-                      keys: Sequence[str] = (), slack: float = 2e-4) -> DataFrame:
+                      keys: Sequence[str] = (), slack: float = 2e-4, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Exact linearly interpolated percentiles without holding a group in one task.
 
     The built-in ``percentile`` keeps every distinct value of a group in one
     buffer. Here a mergeable sketch brackets each requested rank, one pass counts
-    what lies below the bracket, and only the values inside it are ranked.
+    what lies below the bracket, and only the values inside it are ranked, by running totals over sampled ranges of them.
     ``fractions`` maps output column -> fraction.
     """
     accuracy = int(4 / slack)
@@ -128,9 +141,7 @@ def exact_percentiles(df: DataFrame, value: str, fractions: dict[str, float],
     grp = [*keys, "_name", "_p"]
     # sort value: the block under the bracket ranks first, the block over it last
     at = F.when(F.col("_x").isNotNull(), F.col("_x")).when(F.col("_under"), F.col("_max")).otherwise(F.col("_min"))
-    ranked = pieces.withColumn("_at", at).withColumn(
-        "_end", F.sum("_c").over(Window.partitionBy(*grp).orderBy("_at")
-                                 .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = running_total(pieces.withColumn("_at", at), "_at", ["_c"], grp, False, window_rows).withColumnRenamed("cum__c", "_end")
     spot = F.col("_p") * (F.col("_n") - 1)
     low_rank, high_rank = F.floor(spot), F.ceil(spot)
     start = F.col("_end") - F.col("_c")

@@ -146,3 +146,21 @@ def seasonal_forecast(df: DataFrame, horizon: int, season: int = SEASON) -> Data
     return (ranked.where((F.col("_back") <= season) & (F.col("_back") > season - horizon))
             .select("series", "key", F.date_add("date", 7 * season).alias("date"),
                     F.round("value", 3).alias("forecast")))
+
+
+def seasonal_ar_forecast(df: DataFrame, horizon: int, season: int = SEASON) -> DataFrame:
+    """Weekly forecast by the model of ``seasonal_backtest`` fitted on the whole series: the same week one season ago, plus the
+    last seasonal difference fading by the autoregression. Series of one season or less get none."""
+    if horizon > season:
+        raise ValueError("the horizon must not exceed one season")
+    w = Window.partitionBy("series", "key")
+    ordered = w.orderBy("date")
+    diffs = df.withColumn("_d", F.col("value") - F.lag("value", season).over(ordered)).withColumn("_d1", F.lag("_d").over(ordered))
+    fit = diffs.withColumns({
+        "_phi": F.sum(F.col("_d") * F.col("_d1")).over(w) / F.nullif(F.sum(F.when(F.col("_d").isNotNull(), F.col("_d1") * F.col("_d1"))).over(w), F.lit(0.0)),
+        "_last": F.max_by("_d", F.when(F.col("_d").isNotNull(), F.col("date"))).over(w),
+        "_step": F.lit(season + 1) - F.row_number().over(w.orderBy(F.desc("date"))), "_n": F.count("*").over(w)})
+    phi = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("_phi", F.lit(0.0))))
+    future = fit.where(F.col("_step").between(1, horizon) & (F.col("_n") > season))
+    value = F.col("value") + F.coalesce(F.pow(phi, F.col("_step")) * F.col("_last"), F.lit(0.0))
+    return future.select("series", "key", F.date_add("date", 7 * season).alias("date"), value.alias("forecast"))

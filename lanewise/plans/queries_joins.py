@@ -444,7 +444,9 @@ def _(v):
     return keep_first(v.invoices.select("vendor_id", "invoice_id"), ["vendor_id"], ["invoice_id"])
 
 
-_FULL = f"""WITH {_PLACES}, est AS ({ESTIMATE}), ord2 AS (
+def full_audit(ratio: str = "1.0::DOUBLE", proba: str = "NULL::DOUBLE", more: str = "", none: str = "") -> str:
+    """SQL of the audit for a ratio and a probability per invoice; ``more`` columns of scored rows, ``none`` their place in stopped ones."""
+    return f"""WITH {_PLACES}, est AS ({ESTIMATE}), ord2 AS (
     SELECT g.*, o.order_id IS NOT NULL AS order_found, coalesce(o.dest_hub_id, e.dest_hub) AS d_hub, CASE WHEN o.order_id IS NOT NULL THEN o.truck_type ELSE {truck('e.est_weight_kg', C.NEW_ORDER_TRUCK_LIMITS_KG)} END AS truck_type,
     coalesce(o.billable_weight_kg, e.est_weight_kg) AS billable_weight_kg, coalesce(o.quoted_days, greatest(e.est_ideal_days, coalesce(nullif(g.actual_days, 0), 1))) AS quoted_days,
     coalesce(o.ideal_days, e.est_ideal_days) AS ideal_days, coalesce(o.distance_km, e.est_distance_km) AS distance_km, o.expected_fuel_price AS known_price, e.est_state,
@@ -453,17 +455,21 @@ _FULL = f"""WITH {_PLACES}, est AS ({ESTIMATE}), ord2 AS (
     fuel2 AS (SELECT q.*, CASE WHEN order_found THEN known_price ELSE coalesce(f.diesel_price_per_litre, l.last_price, 93.0) END AS expected_fuel_price
     FROM ord2 q ASOF LEFT JOIN f_fuel f ON q.est_state = f.state AND q.invoice_date >= f.price_date LEFT JOIN ({_LAST}) l ON q.est_state = l.state),
     wx AS (SELECT invoice_id, coalesce(sum(wet), 0)::BIGINT AS adverse FROM fuel2 JOIN f_pts w ON w.hub_id = d_hub AND w.day BETWEEN invoice_date - {TRANSIT} AND invoice_date GROUP BY 1),
-    fair AS (SELECT x.*, distance_km / (CASE truck_type WHEN '12-wheeler' THEN 4.0::DOUBLE WHEN '10-wheeler' THEN 4.6::DOUBLE ELSE 6.5::DOUBLE END) * expected_fuel_price + distance_km * 1.75::DOUBLE + ideal_days * 1200.0::DOUBLE AS c,
+    fair AS (SELECT x.*, distance_km / (CASE truck_type WHEN '12-wheeler' THEN 4.0::DOUBLE WHEN '10-wheeler' THEN 4.6::DOUBLE ELSE 6.5::DOUBLE END) * expected_fuel_price + distance_km * 1.75::DOUBLE + ideal_days * 1200.0::DOUBLE AS c0,
     coalesce(adverse, 0) AS wet, CASE WHEN prior_total = 0 THEN 0 ELSE (prior_flagged + 0.12::DOUBLE) / (prior_total + 2) END AS risk FROM fuel2 x LEFT JOIN wx ON x.invoice_id = wx.invoice_id LEFT JOIN f_hist h ON h.invoice_id = x.invoice_id),
+    est2 AS (SELECT *, c0 * {ratio} AS c, {proba} AS p FROM fair),
     chk AS (SELECT *, CASE WHEN c / greatest(distance_km, 1.0) < 7.71 THEN 'too_low' WHEN c / greatest(distance_km, 1.0) > 83.29 THEN 'too_high' ELSE 'ok' END AS ps,
-    CASE WHEN total < c * 0.97::DOUBLE * 0.724::DOUBLE THEN 'too_low' WHEN total - c * 1.03::DOUBLE > 18554 OR total > c * 1.03::DOUBLE * 22.789::DOUBLE THEN 'too_high' ELSE 'ok' END AS bs FROM fair)
-    SELECT invoice_id, TRUE AS gate_passed, NULL::VARCHAR AS gate_reason, order_found, c AS fair_cost, wet AS adverse_weather_days, risk AS vendor_historical_risk_score, bs AS billed_status, bs <> 'ok' OR ps <> 'ok' AS flagged,
-    CASE WHEN bs <> 'ok' OR ps <> 'ok' THEN 'logic_check' END AS flag_source FROM chk
-    UNION ALL SELECT invoice_id, FALSE, gate_reason, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f_gated WHERE NOT gate_passed"""
+    CASE WHEN total < c * 0.97::DOUBLE * 0.724::DOUBLE THEN 'too_low' WHEN total - c * 1.03::DOUBLE > 18554 OR total > c * 1.03::DOUBLE * 22.789::DOUBLE THEN 'too_high' ELSE 'ok' END AS bs FROM est2)
+    SELECT invoice_id, TRUE AS gate_passed, NULL::VARCHAR AS gate_reason, order_found, c AS fair_cost, wet AS adverse_weather_days, risk AS vendor_historical_risk_score, bs AS billed_status, bs <> 'ok' OR ps <> 'ok' OR coalesce(p >= 0.5, FALSE) AS flagged,
+    CASE WHEN (bs <> 'ok' OR ps <> 'ok') AND p >= 0.5 THEN 'model+logic_check' WHEN bs <> 'ok' OR ps <> 'ok' THEN 'logic_check' WHEN p >= 0.5 THEN 'model' END AS flag_source{more} FROM chk
+    UNION ALL SELECT invoice_id, FALSE, gate_reason, NULL, NULL, NULL, NULL, NULL, NULL, NULL{none} FROM f_gated WHERE NOT gate_passed"""
+
+
+
 SCORED = ["invoice_id", "gate_passed", "gate_reason", "order_found", "fair_cost", "adverse_weather_days", "vendor_historical_risk_score", "billed_status", "flagged", "flag_source"]
 
 
-@op("score_invoices", _FULL, r="fair_cost:3 vendor_historical_risk_score")
+@op("score_invoices", full_audit(), r="fair_cost:3 vendor_historical_risk_score")
 def _(v):
     """Flagship: gate, order lookup or estimate, diesel, weather, carrier history, checks and flags for every invoice."""
     return v.scored.select(*SCORED)

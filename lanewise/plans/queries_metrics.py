@@ -346,6 +346,32 @@ def _(v):
     return fuel.unionByName(series.seasonal_forecast(series.interpolate(_temp_series(v)), 26))
 
 
+def _rain_series(v):
+    return series.weekly_resample(v.weather).select(F.lit("weather_precip").alias("series"), F.col("hub_id").alias("key"), F.col("week").alias("date"), F.col("precip").alias("value"))
+
+
+_WX = f"""WITH {_TCLEAN}, wx AS (SELECT 'weather_temp' AS series, key, date, value FROM f_temp_clean UNION ALL SELECT 'weather_precip', hub_id, week, precip FROM f_weekly),
+    l AS (SELECT *, count(*) OVER k AS length, row_number() OVER (PARTITION BY series, key ORDER BY date DESC) AS from_end, lag(value, 52) OVER (PARTITION BY series, key ORDER BY date) AS s52 FROM wx WINDOW k AS (PARTITION BY series, key))"""
+
+
+@op("rain_backtest", _WX + """, d AS (SELECT *, CASE WHEN from_end > 26 THEN value - s52 END AS d FROM l WHERE series = 'weather_precip' AND length >= 86),
+    e AS (SELECT *, lag(d) OVER (PARTITION BY key ORDER BY date) AS d1 FROM d), f AS (SELECT *, sum(d * d1) OVER w / nullif(sum(CASE WHEN d IS NOT NULL THEN d1 * d1 END) OVER w, 0) AS phi,
+    max_by(d, CASE WHEN d IS NOT NULL THEN date END) OVER w AS dl FROM e WINDOW w AS (PARTITION BY key))
+    SELECT key, date, value, CASE WHEN length > 78 THEN s52 END AS baseline, CASE WHEN length > 78 THEN s52 + coalesce(pow(greatest(-1, least(1, coalesce(phi, 0))), 27 - from_end) * dl, 0) END AS predicted
+    FROM f WHERE from_end <= 26""", r="value:3 baseline:3 predicted:3")
+def _(v):
+    return series.seasonal_backtest(series.tail_split(series.interpolate(_rain_series(v)), 26, 86), 26).drop("series", "step")
+
+
+@op("weather_forecast", _WX + """, d AS (SELECT *, value - s52 AS d FROM l), e AS (SELECT *, lag(d) OVER (PARTITION BY series, key ORDER BY date) AS d1 FROM d),
+    f AS (SELECT *, sum(d * d1) OVER w / nullif(sum(CASE WHEN d IS NOT NULL THEN d1 * d1 END) OVER w, 0) AS phi, max_by(d, CASE WHEN d IS NOT NULL THEN date END) OVER w AS dl FROM e WINDOW w AS (PARTITION BY series, key))
+    SELECT series, key, date + 364 AS date, value + coalesce(pow(greatest(-1, least(1, coalesce(phi, 0))), 53 - from_end) * dl, 0) AS forecast FROM f WHERE from_end <= 52 AND from_end > 26 AND length > 52""", r="forecast:3")
+def _(v):
+    """Temperature and rain of the next 26 weeks by the model that the backtests score."""
+    both = series.interpolate(_temp_series(v)).unionByName(series.interpolate(_rain_series(v)))
+    return series.seasonal_ar_forecast(both, 26)
+
+
 # ---- splits ----------------------------------------------------------------------------------------
 
 def _h(seq, seed=42):
@@ -392,6 +418,16 @@ def _(v):
     return splits.split_violations(_layout_split(v))
 
 
+@op("planted_violations", f"""WITH {_LAYOUTS}, s AS (SELECT doc_id, layout, {_SPLIT_CASE} AS split FROM d), p AS (SELECT * FROM s UNION ALL
+    SELECT s.doc_id, s.layout, 'train' FROM s JOIN f_docs f ON s.doc_id = f.doc_id WHERE f.doc_seq % 97 = 0)
+    SELECT 'document_in_two_splits' AS problem, doc_id AS item FROM p GROUP BY doc_id HAVING count(DISTINCT split) > 1
+    UNION ALL SELECT 'layout_leak', layout FROM (SELECT layout FROM p WHERE split IN ('test_unseen_layouts', 'test_real') INTERSECT SELECT layout FROM p WHERE split IN ('train', 'val', 'test_seen_layouts'))""")
+def _(v):
+    """The split with some documents put into training once more: what the check finds."""
+    s = _layout_split(v)
+    return splits.split_violations(s.unionByName(s.where("doc_seq % 97 = 0").withColumn("split", F.lit("train"))))
+
+
 @op("sample_invoices", f"SELECT invoice_id, actual_billed_amount FROM f_inv ORDER BY {_h('invoice_seq', 7)}, invoice_seq LIMIT 300")
 def _(v):
     return splits.sample_rows(v.invoices, "invoice_seq", 300, 7).select("invoice_id", "actual_billed_amount")

@@ -9,11 +9,12 @@ from lanewise.plans.freight_view import FreightView, invoices_from_lines, log_fr
 from lanewise.plans.queries_joins import trip_windows
 from lanewise.plans.registry import op
 from lanewise.plans.scratch import scratch_folder
+from lanewise.session import stored
 from lanewise.streaming import audit_stream as stream
 
 
 def _cost_frame(v):
-    return models.cost_frame(v.orders, ["order_id", "order_seq"]).persist()
+    return stored(models.cost_frame(v.orders, ["order_id", "order_seq"]), "cost-frame")
 
 
 @op("fair_cost_model")
@@ -53,7 +54,7 @@ def _risk_frame(v):
     wet = enrich.weather_window(trip_windows(v), v.weather).select("invoice_id", "adverse_weather_days")
     d = d.drop("adverse_weather_days").join(h, "invoice_id").join(wet, "invoice_id")
     d = splits.stratified_split(d, "requires_manual_review", "invoice_seq")
-    return d.select("invoice_id", "requires_manual_review", "is_test", *[F.col(c).cast("double").alias(c) for c in C.RISK_FEATURES_FULL]).persist()
+    return stored(d.select("invoice_id", "requires_manual_review", "is_test", *[F.col(c).cast("double").alias(c) for c in C.RISK_FEATURES_FULL]), "risk-frame")
 
 
 @op("risk_model")
@@ -107,7 +108,7 @@ def _run(query):
 def _(v):
     """Every submission priced against its order as it arrives."""
     out, ckpt = scratch_folder(v.spark, "audit"), scratch_folder(v.spark, "audit-ckpt")
-    orders = v.orders.persist()
+    orders = stored(v.orders, "orders")
 
     def job(batch):
         good = batch.withColumn("vendor_id", F.upper("vendor_id")).where("actual_billed_amount > 0")
@@ -116,20 +117,31 @@ def _(v):
     return v.spark.read.parquet(out).select("invoice_id", "actual_billed_amount", "distance_km", "cost_mismatch")
 
 
+def _log_in_parts(v, start, parts: int = 3) -> None:
+    """Events arrive in parts, in order of time; the query that ``start`` makes of the log is started again for each part and goes on
+    from its checkpoint."""
+    spark, source, events = v.spark, scratch_folder(v.spark, "events-in"), v.table("events")
+    cuts = events.select(F.percentile_approx("ts", [k / parts for k in range(1, parts)], 1000)).first()[0] or []
+    place = F.lit(0)
+    for c in cuts:
+        place = place + F.coalesce(F.col("ts") >= F.lit(c), F.lit(True)).cast("int")       # rows without a time come last
+    for k in range(len(cuts) + 1):
+        events.where(place == k).write.mode("append").parquet(source)
+        _run(start(log_from_events(spark.readStream.schema(events.schema).parquet(source))))
+
+
 @op("running_vendor_stats", "SELECT vendor_id, count(*) AS total_invoices, count(*) FILTER (flagged) AS flagged_invoices FROM f_log GROUP BY 1")
 def _(v):
     out, ckpt = scratch_folder(v.spark, "stats"), scratch_folder(v.spark, "stats-ckpt")
-    log = log_from_events(_read_stream(v, "events"))
-    _run(stream.running_vendor_stats(log, out, ckpt))
-    return stream.latest_vendor_stats(v.spark.read.parquet(out))
+    _log_in_parts(v, lambda log: stream.running_vendor_stats(log, out, ckpt))
+    return stream.latest_vendor_stats(v.spark.read.parquet(stream.compacted(v.spark, out, stream.latest_vendor_stats)))
 
 
 @op("causal_score_stream", """SELECT id, vendor_id, coalesce(count(*) OVER w, 0) AS prior_total, coalesce(count(*) FILTER (flagged) OVER w, 0) AS prior_flagged FROM f_log
     WINDOW w AS (PARTITION BY vendor_id ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def _(v):
-    out, state, ckpt = (scratch_folder(v.spark, n) for n in ("causal", "causal-state", "causal-ckpt"))
-    log = log_from_events(_read_stream(v, "events")).select("id", "vendor_id", "flagged", F.col("created_at").alias("at"))
-    _run(stream.causal_score_stream(log, out, state, ckpt, "at", "id"))
+    out, ckpt = scratch_folder(v.spark, "causal"), scratch_folder(v.spark, "causal-ckpt")
+    _log_in_parts(v, lambda log: stream.causal_score_stream(log.select("id", "vendor_id", "flagged", F.col("created_at").alias("at")), out, ckpt, "at", "id"))
     return v.spark.read.parquet(out).select("id", "vendor_id", "prior_total", "prior_flagged")
 
 
@@ -137,8 +149,8 @@ def _(v):
     count(*) FILTER (gate_passed AND flagged) AS flagged FROM f_log GROUP BY 1""")
 def _(v):
     out, ckpt = scratch_folder(v.spark, "dashboard"), scratch_folder(v.spark, "dashboard-ckpt")
-    _run(stream.live_dashboard(log_from_events(_read_stream(v, "events")), out, ckpt))
-    return stream.latest_dashboard(v.spark.read.parquet(out))
+    _log_in_parts(v, lambda log: stream.live_dashboard(log, out, ckpt))
+    return stream.latest_dashboard(v.spark.read.parquet(stream.compacted(v.spark, out, stream.latest_dashboard)))
 
 
 @op("append_audit_log", """SELECT gate_passed, coalesce(gate_reason, 'none') AS reason, count(*) AS n, count(fields_total) AS with_total FROM (SELECT gate_passed, gate_reason, total AS fields_total FROM f_gated) GROUP BY 1, 2""")

@@ -1,6 +1,6 @@
-"""Extracted invoice documents in their several JSON shapes."""
+"""Extracted invoice documents as text maps; ``variants`` reads them from files."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise import constants as C
@@ -8,32 +8,11 @@ from lanewise import constants as C
 FLAT = "map<string,string>"
 
 
-def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per line; splittable, the form to use at scale."""
-    return spark.read.text(path).withColumnRenamed("value", "json")
-
-
-def read_document_file(spark: SparkSession, path: str) -> DataFrame:
-    """A file holding a JSON list, a ``records`` wrapper, or a dict keyed by doc_id.
-
-    Such a file cannot be split; one task reads each file.
-    """
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("raw"))
-    as_list = F.from_json(F.col("raw"), "array<string>")
-    as_map = F.from_json(F.col("raw"), FLAT)
-    wrapped = F.from_json(F.try_element_at(as_map, F.lit("records")), "array<string>")
-    keyed = F.transform(F.map_entries(as_map), lambda e: F.to_json(F.struct(
-        e["key"].alias("doc_id"), F.get_json_object(e["value"], "$.layout").alias("layout"),
-        F.coalesce(F.get_json_object(e["value"], "$.fields"), e["value"]).alias("fields_json"))))
-    return raw.select(F.explode(F.when(F.col("raw").startswith("["), as_list)
-                                .otherwise(F.coalesce(wrapped, keyed))).alias("json"))
-
-
 def parse_documents(lines: DataFrame) -> DataFrame:
     """(doc_id, layout, fields): without a ``fields`` object every key that is not
     descriptive is a field."""
     flat = F.from_json("json", FLAT)
-    nested = F.from_json(F.coalesce(F.try_element_at("m", F.lit("fields")), F.try_element_at("m", F.lit("fields_json"))), FLAT)
+    nested = F.from_json(F.try_element_at("m", F.lit("fields")), FLAT)
     own = F.map_filter("m", lambda k, v: ~k.isin(C.DOCUMENT_META_KEYS))
     return (lines.withColumn("m", flat)
             .select(F.try_element_at("m", F.lit("doc_id")).alias("doc_id"),
