@@ -97,15 +97,15 @@ def refined(begin: np.ndarray, end: np.ndarray, length: np.ndarray, bounds: np.n
 
 
 class Column:
-    """A growing array."""
+    """A growing array of numbers below 2^31."""
 
     def __init__(self):
-        self.data, self.size = np.zeros(1 << 12, np.int64), 0
+        self.data, self.size = np.zeros(1 << 12, np.int32), 0
 
     def add(self, x: np.ndarray) -> None:
         need = self.size + len(x)
         if need > len(self.data):
-            self.data = np.concatenate([self.data[: self.size], np.zeros(max(need, len(self.data)), np.int64)])
+            self.data = np.concatenate([self.data[: self.size], np.zeros(need - self.size + len(self.data) // 2, np.int32)])
         self.data[self.size: need] = x
         self.size = need
 
@@ -201,17 +201,17 @@ class Encoder:
         owner = np.repeat(np.arange(len(texts)), per)
         good = np.bincount(owner, self.good.data[at] == 0, len(texts)) == 0
         at, owner, per = at[good[owner]], owner[good[owner]], per[good]
-        sizes = self.size.data[at]
+        sizes = self.size.data[at].astype(np.int64)
         place = np.cumsum(sizes) - sizes
         first = np.cumsum(per) - per
         ends = np.cumsum(sizes)[first + per - 1] if len(per) else np.zeros(0, np.int64)
         sides = []
         for k in range(2):
-            n = self.count[k].data[at]
+            n = self.count[k].data[at].astype(np.int64)
             upto = np.cumsum(n)
             token = np.repeat(self.start[k].data[at] - (upto - n), n) + np.arange(upto[-1] if len(n) else 0)
             bounds = np.concatenate([[0], upto[first + per - 1]]) if len(per) else np.zeros(1, np.int64)
-            sides.append(Side(self.ids[k].data[token], self.ends[k].data[token] + np.repeat(place, n), bounds))
+            sides.append(Side(self.ids[k].data[token].astype(np.int64), self.ends[k].data[token] + np.repeat(place, n), bounds))
         return good, ends, *sides
 
 
