@@ -34,6 +34,43 @@ def test_no_overfull_bin_in_a_partitioned_table(spark, tmp_path):
     assert out.agg(F.sum("n_tokens")).first()[0] == sum(len(t.split()) + 1 for _, t, *_ in rows)
 
 
+def plain_best_fit(items, capacity, per_source):
+    """(length, clusters, source) in order of length: the fullest bin that takes it, else a new one."""
+    bins, where = [], {}
+    for k in sorted(range(len(items)), key=lambda k: (-items[k][0], k)):
+        n, clusters, source = items[k]
+        fits = [(capacity - b["used"], i) for i, b in enumerate(bins) if b["used"] + n <= capacity and not b["clusters"] & clusters
+                and (source is None or b["sources"].count(source) < per_source)]
+        i = min(fits)[1] if fits else len(bins)
+        if not fits:
+            bins.append({"used": 0, "clusters": set(), "sources": []})
+        bins[i]["used"] += n
+        bins[i]["clusters"] |= clusters
+        bins[i]["sources"].append(source)
+        where[k] = i
+    return where
+
+
+def test_op10_against_plain_best_fit(spark, tmp_path):
+    """The registered query on a stored table of several files, near copies among them."""
+    from lanewise.llm.queries import QUERIES
+    rng = np.random.default_rng(8)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, n)] for n in rng.integers(1, 3000, 70)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[:-1] + ["changed"]) for b in base[:40]] + [" ".join(base[0]), "", None]
+    rows = [(k, t, "en", f"s{k % 3}" if k % 9 else None, 0) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["op10_packing"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in out if r["n_tokens"] == packing.CAPACITY and r["bin"].startswith("row:")) == sorted(
+        (k, packing.CAPACITY) for k, t in enumerate(texts) for _ in range(len((t or "").split()) // packing.CAPACITY))
+    stored = [(r["key"], r["source"], r["marks"], r["n_words"]) for r in packing.measured(spark.read.parquet(str(tmp_path / "documents.parquet"))).orderBy("file", "row").collect()]
+    plain = plain_best_fit([((n + 1) - n // packing.CAPACITY * packing.CAPACITY, set(m), s) for _, s, m, n in stored], packing.CAPACITY, packing.PER_SOURCE)
+    got = {r["doc_id"]: r["bin"] for r in out if not r["bin"].startswith("row:")}
+    pairs = {(stored[k][0], f"0:{b}") for k, b in plain.items()}
+    assert {(i, b) for i, b in got.items()} == pairs
+    assert all(got[k] != got[70 + k] for k in range(40) if len(base[k]) > 30)          # near copies are in different bins
+
+
 def test_columns_named_like_working_columns(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = [(1, text, "keep", "keep", "keep", "keep", 1), (2, "own words go first " + text, "keep", "keep", "keep", "keep", 1), (3, "something else", "keep", "keep", "keep", "keep", 1)]
