@@ -199,6 +199,21 @@ def risk_cases(priced: DataFrame) -> DataFrame:
     return priced.select(*CASE, *[F.col(c).cast("double").alias(c) for c in need]).na.drop(subset=need)
 
 
+def compare_variants(orders: DataFrame, price: Callable[[DataFrame, "AuditModels"], DataFrame], folder: str, max_iter: int = 20, max_depth: int = 4,
+                     at_once: int = 4) -> tuple[DataFrame, float, str]:
+    """Fit the cost models and the five risk variants and store them and what they score; the cases, the mean diesel price and the
+    variant to deploy."""
+    spark = orders.sparkSession
+    fit_cost(orders, folder, max_iter, max_depth, at_once)
+    reference = orders.agg(F.avg("expected_fuel_price")).first()[0]
+    half = _load_cost(spark, folder, reference)
+    cases = stored(risk_cases(price(half.with_order_ratio(orders), half)), "risk-cases")
+    tagged = stored(stratified_split(cases, "requires_manual_review", "invoice_seq"), "risk-split")
+    fitted_variants(tagged, reference, at_once, max_iter=max_iter, max_depth=max_depth).write.parquet(f"{folder}/variant_scores")
+    variant_table(spark.read.parquet(f"{folder}/variant_scores")).coalesce(1).write.parquet(f"{folder}/variants")
+    return cases, reference, models.variant_selection(spark.read.parquet(f"{folder}/variants")).first()["variant"]
+
+
 def fit_audit_models(orders: DataFrame, price: Callable[[DataFrame, "AuditModels"], DataFrame], folder: str, max_iter: int = 20, max_depth: int = 4,
                      at_once: int = 4) -> None:
     """Fit and store everything under ``folder``, the numbers that make it complete last.
@@ -207,16 +222,7 @@ def fit_audit_models(orders: DataFrame, price: Callable[[DataFrame, "AuditModels
     ratios that the models carry, with delays, weather and carrier history.
     """
     spark = orders.sparkSession
-    fit_cost(orders, folder, max_iter, max_depth, at_once)
-    reference = orders.agg(F.avg("expected_fuel_price")).first()[0]
-    half = _load_cost(spark, folder, reference)
-    cases = stored(risk_cases(price(half.with_order_ratio(orders), half)), "risk-cases")
-    tagged = stored(stratified_split(cases, "requires_manual_review", "invoice_seq"), "risk-split")
-    scores = fitted_variants(tagged, reference, at_once, max_iter=max_iter, max_depth=max_depth)
-    scores.write.parquet(f"{folder}/variant_scores")
-    table = variant_table(spark.read.parquet(f"{folder}/variant_scores"))
-    table.coalesce(1).write.parquet(f"{folder}/variants")
-    chosen = models.variant_selection(spark.read.parquet(f"{folder}/variants")).first()["variant"]
+    cases, reference, chosen = compare_variants(orders, price, folder, max_iter, max_depth, at_once)
     folds = cases.withColumn("fold", fold_of("invoice_seq"))
     jobs = {str(k): lambda k=k: fit_variant(folds.where(F.col("fold") != k), chosen, reference, max_iter=max_iter, max_depth=max_depth) for k in range(models.FOLDS)}
     for k, model in side_by_side(spark, jobs, at_once).items():

@@ -6,7 +6,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.operators import cleaning, costing, enrich, fitted, metrics, models
+from lanewise.operators import cleaning, costing, enrich, fitted, metrics
 from lanewise.plans import audit
 from lanewise.plans.freight_view import SUBMISSION_ORDER, FreightView, extracted_from_invoices, invoices_from_lines
 from lanewise.plans.queries_joins import SCORED, full_audit
@@ -16,7 +16,7 @@ from lanewise.session import stored
 from lanewise.sources.commits import Commits
 from lanewise.streaming.audit_run import AuditRun
 
-FIT = {"max_iter": 10, "max_depth": 4}
+FIT = {"max_iter": 5, "max_depth": 4}
 
 
 class Fitted:
@@ -59,19 +59,11 @@ def _(v):
 
 @op("fitted_variant_results")
 def _(v):
-    """Five fitted variants on the held-out invoices: ranking quality, confusion, and what a price rise changes."""
-    f = Fitted(v)
-    f.models()
-    out = v.spark.read.parquet(f"{f.folder}/variants")
-    return out.withColumn("recall_by_anomaly", F.to_json("recall_by_anomaly"))
-
-
-@op("fitted_variant_selection")
-def _(v):
-    """The variant that the fitted results choose, and the one that was deployed."""
-    f = Fitted(v)
-    m = f.models()
-    return models.variant_selection(v.spark.read.parquet(f"{f.folder}/variants")).select("variant", "pr_auc", F.lit(m.variant).alias("deployed"))
+    """Five fitted variants on the held-out invoices: ranking quality, confusion, what a price rise changes, and the one to deploy."""
+    f, folder = Fitted(v), scratch_folder(v.spark, "variants")
+    _, _, chosen = fitted.compare_variants(f.orders, f.price, folder, **FIT)
+    out = v.spark.read.parquet(f"{folder}/variants")
+    return out.withColumns({"recall_by_anomaly": F.to_json("recall_by_anomaly"), "chosen": F.col("variant") == chosen})
 
 
 @op("order_drivers")
@@ -90,7 +82,7 @@ def _(v):
 GIVEN_RATIO = "(0.9::DOUBLE + (invoice_seq % 23) / 100.0::DOUBLE)"
 GIVEN_PROBA = "((invoice_seq % 100) / 100.0::DOUBLE)"
 MORE = {"prediction_status": "ps", "fair_lower": "c * 0.97::DOUBLE", "fair_upper": "c * 1.03::DOUBLE", "cost_mismatch": "total - c",
-        "billed_ratio": "round(total / greatest(c, 1), 3)", "model2_proba": "p", "model_adjustment": "round(c - c0, 2)", "vendor_is_new": "coalesce(prior_total, 0) = 0",
+        "billed_ratio": "round(total / greatest(c, 1), 3)", "model2_proba": "p", "model_adjustment": "round(c - c0, 2)",
         "distance_km": "distance_km", "quoted_days": "quoted_days", "truck_type": "truck_type", "dest_hub_id": "d_hub",
         "true_delay_days": "actual_days - ideal_days", "commercial_delay_days": "actual_days - quoted_days", "expected_fuel_price": "expected_fuel_price"}
 
