@@ -81,7 +81,7 @@ def _(v):
 
 GIVEN_RATIO = "(0.9::DOUBLE + (invoice_seq % 23) / 100.0::DOUBLE)"
 GIVEN_PROBA = "((invoice_seq % 100) / 100.0::DOUBLE)"
-MORE = {"prediction_status": "ps", "fair_lower": "c * 0.97::DOUBLE", "fair_upper": "c * 1.03::DOUBLE", "cost_mismatch": "total - c",
+MORE = {"prediction_status": "ps", "fair_lower": f"c0 * ({GIVEN_RATIO} * 0.97::DOUBLE)", "fair_upper": f"c0 * ({GIVEN_RATIO} * 1.03::DOUBLE)", "cost_mismatch": "total - c",
         "billed_ratio": "round(total / greatest(c, 1), 3)", "model2_proba": "p", "model_adjustment": "round(c - c0, 2)",
         "distance_km": "distance_km", "quoted_days": "quoted_days", "truck_type": "truck_type", "dest_hub_id": "d_hub",
         "true_delay_days": "actual_days - ideal_days", "commercial_delay_days": "actual_days - quoted_days", "expected_fuel_price": "expected_fuel_price"}

@@ -146,3 +146,26 @@ def test_attributions_follow_the_baseline(spark):
     df = spark.createDataFrame([([("x", 0.5), ("y", -0.25)], 100.0)], "drivers array<struct<feature:string,delta:double>>, base double")
     row = df.select(costing.top_drivers(fitted.attributions(F.col("drivers"), F.col("base")), 2).alias("t")).first()["t"]
     assert [(d["feature"], d["impact"]) for d in row] == [("x", 50.0), ("y", -25.0)]
+
+
+def test_reference_context_and_typical_padding(run):
+    """A reference row overrides the measured weather and the padding; a new order takes its carrier's typical padding and trip weather."""
+    from lanewise.plans import audit
+    from lanewise.plans.freight_view import extracted_from_invoices
+    job, loaded, _ = run
+    v, some = job.view, job.invoices.where("invoice_seq % 40 = 1")
+    ids = [r["order_id"] for r in some.join(job.orders.select("order_id"), "order_id").select("order_id").limit(4).collect()]
+    reference = v.spark.createDataFrame([(i, f"INV{k}", 7, 1.5) for k, i in enumerate(ids)], "order_id string, invoice_id string, adverse_weather_days int, vendor_padding_ratio double")
+    paddings = v.vendors.select("vendor_id", F.lit(1.23).alias("padding_median"))
+    out = audit.score_invoices(extracted_from_invoices(some), loaded.with_order_ratio(job.orders), v.hubs, v.routes, v.fuel_prices, v.weather, job.history,
+                               models=loaded, paddings=paddings, reference=reference)
+    rows = out.where("gate_passed").select("order_id", "order_found", "adverse_weather_days", "adverse_weather_source", "vendor_padding_ratio", "quoted_days", "ideal_days", "expected_weather_score", "vendor_id").collect()
+    assert len(rows) > 30
+    for r in rows:
+        if r["order_id"] in ids:
+            assert (r["adverse_weather_days"], r["adverse_weather_source"], r["vendor_padding_ratio"]) == (7, "reference", 1.5)
+        elif r["order_found"]:
+            assert r["adverse_weather_source"] != "reference" and r["vendor_padding_ratio"] == pytest.approx(r["quoted_days"] / max(r["ideal_days"], 0.1))
+        else:
+            assert r["vendor_padding_ratio"] == (1.23 if r["vendor_id"] else C.FALLBACK_PADDING)
+    assert any(not r["order_found"] and r["expected_weather_score"] > 0 for r in rows) or all(r["order_found"] for r in rows)
