@@ -33,6 +33,7 @@ BATCHES = (32, 64, 96, 128)
 MISS = 1e-6
 BLOCK = 512
 PLACES = "array<struct<kind:int,i:int,j:int,side:int>>"
+PAIRS_HELD, PAIRS_COMPARED = 1 << 18, 1 << 13       # pairs of rows in memory, and those whose signatures are gathered at once
 SET_BLOCK = 2048        # members of a block that is compared with full sets
 SET_BYTES = 6
 MULTIPLIERS = seeds(HASHES, 31) | np.uint64(1)
@@ -254,7 +255,7 @@ def joining_links(sig: np.ndarray, items: list[bytes], keys: list[np.ndarray], c
         if len(at) < 2 or len({find(r) for r in np.unique(root[at])}) < 2:
             continue
         left, right = (at, at) if side is None else (at[side[at] == 0], at[side[at] == 1])
-        step = max(1, (1 << 20) // max(len(right), 1))
+        step = max(1, PAIRS_HELD // max(len(right), 1))
         for k in range(0, len(left), step):
             now = np.array([find(r) for r in range(len(parent))])[root]
             x, y = np.repeat(left[k: k + step], len(right)), np.tile(right, len(left[k: k + step]))
@@ -262,7 +263,7 @@ def joining_links(sig: np.ndarray, items: list[bytes], keys: list[np.ndarray], c
             x, y = x[apart], y[apart]
             if not len(x):
                 continue
-            alive, m = likely(sig[x], sig[y])
+            alive, m = (np.concatenate(c) for c in zip(*(likely(sig[x[p: p + PAIRS_COMPARED]], sig[y[p: p + PAIRS_COMPARED]]) for p in range(0, len(x), PAIRS_COMPARED))))
             x, y, m = x[alive], y[alive], m[alive]
             for n in np.argsort(-m, kind="stable").tolist():
                 p, q = int(x[n]), int(y[n])
