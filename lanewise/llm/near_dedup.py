@@ -6,9 +6,8 @@ similarity of at least SIMILARITY (uniform prior) is bounded, and the pair goes
 confirmed on their full sets, in whole numbers.
 
 A bucket never turns into all its pairs. First every representative is compared with the least one it shares a bucket with.
-Buckets whose members are then in one component are done; that covers groups of copies of any size. In the others,
-blocks of members are compared in memory, and each member puts forward the partner outside its component that is like most others.
-In what is then still open, members of the largest component of a group meet all others block by block, with their full sets; a pair
+Buckets whose members are then in one component are done; that covers groups of copies of any size. In what is then still open,
+members of the largest component of a group meet all others block by block, with their full sets; a pair
 is confirmed where it meets, pairs of components that are joined by then are passed over, and only links that join two components
 come out. So the rows between the steps follow the members, not their pairs.
 
@@ -31,7 +30,6 @@ HASHES = BANDS * ROWS
 PERCENT = 75
 BATCHES = (32, 64, 96, 128)
 MISS = 1e-6
-BLOCK = 512
 PLACES = "array<struct<kind:int,i:int,j:int,side:int>>"
 PAIRS_HELD, PAIRS_COMPARED = 1 << 18, 1 << 13       # pairs of rows in memory, and those whose signatures are gathered at once
 SET_BLOCK = 2048        # members of a block that is compared with full sets
@@ -152,72 +150,6 @@ def confirmed(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return durable(beside(left, "items").mapInArrow(check, "a long, b long"), "links")
 
 
-def likeliest_pairs(rows: DataFrame, sigs: DataFrame, tested: DataFrame, cells: int) -> DataFrame:
-    """Likely pairs of members of one bucket but different components that were not tested: of each member the one partner that is like
-    most others (the middle of a group of copies).
-
-    ``rows``: key, doc, component, n (size of the bucket). Members are dealt to blocks of about BLOCK; two blocks at a time are
-    compared at once; ``cells`` groups of such comparisons share the tasks.
-    """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("doc"), blocks).cast("int")})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).join(sigs, "doc")
-
-    def pairs_of(first, stop, i, j, own, comp):
-        """Row numbers of the pairs of one key and two blocks that lie in different components."""
-        at = np.arange(first, stop)
-        if i == j:
-            x, y = (at[k] for k in np.triu_indices(len(at), 1))
-        else:
-            left, right = at[own[at] == i], at[own[at] == j]
-            x, y = np.repeat(left, len(right)), np.tile(right, len(left))
-        other = comp[x] != comp[y]
-        return x[other], y[other]
-
-    def compare(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["key", "i", "j"], kind="stable")
-        sig = np.frombuffer(b"".join(f["sig"]), "<u4").reshape(-1, HASHES)
-        doc, comp, own, key, i, j = (f[c].to_numpy() for c in ("doc", "component", "own", "key", "i", "j"))
-        cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        ids, number = np.unique(doc, return_inverse=True)
-        seen, kept, held = [], [], 0
-
-        def settle():
-            x, y = (np.concatenate(c) for c in zip(*seen))
-            lo, hi = np.minimum(number[x], number[y]), np.maximum(number[x], number[y])
-            _, once = np.unique(lo * len(ids) + hi, return_index=True)       # a pair meets in many buckets
-            x, y = x[once], y[once]
-            for k in range(0, len(x), 1 << 15):
-                alive, m = likely(sig[x[k: k + (1 << 15)]], sig[y[k: k + (1 << 15)]])
-                at = np.flatnonzero(alive)
-                kept.append((doc[x[k + at]], doc[y[k + at]], m[at]))
-
-        for first, stop in zip(np.r_[0, cuts], np.r_[cuts, len(key)]):
-            pair = pairs_of(first, stop, i[first], j[first], own, comp)
-            if len(pair[0]):
-                seen.append(pair)
-                held += len(pair[0])
-                if held >= 1 << 20:
-                    settle()
-                    seen, held = [], 0
-        if seen:
-            settle()
-        if not kept:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in "abm"})
-        got = pd.DataFrame(dict(zip("abm", (np.concatenate(x) for x in zip(*kept)))))
-        # three partners each, as some may have been tested: those that are like most others come first
-        got = pd.concat([got, got.rename(columns={"a": "b", "b": "a"})])
-        got["m"] = got["b"].map(got.groupby("b")["m"].sum())
-        return got.sort_values(["m", "a", "b"], ascending=[False, True, True]).groupby("a").head(3).drop_duplicates()
-
-    dealt = dealt.select("key", "doc", "component", "own", "i", "j", "sig", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells)).alias("cell"))
-    found = dealt.groupBy("cell").applyInPandas(compare, "a long, b long, m long")
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    found = found.select(F.col("a").alias("doc"), "m", *pair).join(tested, ["a", "b"], "left_anti")
-    return found.groupBy("doc").agg(F.max(F.struct("m", "a", "b")).alias("t")).select("t.a", "t.b").distinct()
-
-
 def joining_links(sig: np.ndarray, items: list[bytes], keys: list[np.ndarray], component: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
     """Links (row, row) that join components of rows which share a key; with ``side``, of rows on different sides only.
 
@@ -341,20 +273,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = durable(full_sets(texts).where("length(items) > 0"), "sets")
 
     pairs = members.where("doc <> pivot").groupBy(F.col("doc").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b")
-    tested = durable(pairs, "pairs")
-    comps = components(confirmed(tested, full))
+    comps = components(confirmed(durable(pairs, "pairs"), full))
 
     def known():
         return comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
     def still_open():
-        rows = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "pivot", F.coalesce("component", "doc").alias("component"), "n")
+        rows = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "pivot", F.coalesce("component", "doc").alias("component"))
         still = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         return rows.join(still, "key", "left_semi")
 
-    more = durable(likeliest_pairs(still_open(), full.select("doc", "sig"), tested, cells), "pairs")
-    if not more.isEmpty():
-        comps = components(known().union(confirmed(more, full)))
     last = durable(open_links(still_open(), full, 4 * cells), "links")
     if not last.isEmpty():
         comps = components(known().union(last))

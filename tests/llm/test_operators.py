@@ -148,23 +148,6 @@ def test_near_duplicates_without_a_common_pivot(spark):
     assert {r["doc"]: r["component"] for r in got.collect()} == want
 
 
-def test_near_duplicates_go_on_when_the_likeliest_partners_are_tested(spark, monkeypatch):
-    """A round of likeliest partners that brings nothing leaves open buckets to the last round."""
-    rows = [(k, " ".join(f"c{i}" for i in range(4 * k, 4 * k + 60))) for k in range(8)]
-    sets = {i: shingles(t) for i, t in rows}
-    want = components_of(sorted(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
-    asked = []
-
-    def no_likeliest(rows, sigs, tested, cells):
-        asked.append(rows.count())
-        return tested.where("false")
-
-    monkeypatch.setattr(near_dedup, "likeliest_pairs", no_likeliest)
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r["doc"]: r["component"] for r in got.collect()} == want
-    assert len(asked) == 1 and asked[0] > 0
-
-
 def test_least_matches():
     assert near_dedup.least_matches(128) < 96 and near_dedup.least_matches(32) < near_dedup.least_matches(64)
 
