@@ -12,6 +12,9 @@ from lanewise.sources import documents, reference, resume, variants
 from lanewise.sources.commits import Commits
 
 
+FILE_NUMBERS = 16_000
+
+
 def document_files(v: FreightView, folder: str) -> None:
     """The printed invoices as files: lists, ``records`` wrappers, files keyed by document id, and JSON lines; amounts are numbers."""
     q = F.col("doc_seq")
@@ -22,8 +25,8 @@ def document_files(v: FreightView, folder: str) -> None:
     flat = F.to_json(F.struct("doc_id", F.lit("scan").alias("source"), *values, lines))
     keyed = F.concat(F.lit('"'), "doc_id", F.lit('":'), F.to_json(F.struct("layout", F.struct(*values, lines).alias("fields"))))
     shape = q % 4
-    docs = v.documents.select("doc_id", shape.alias("shape"), F.floor(q / 1000).alias("part"), F.when(shape == 1, keyed).when(shape == 2, flat).otherwise(nested).alias("json"))
-    # a thousand numbers in a row hold 250 documents of each shape: no file grows with the table
+    docs = v.documents.select("doc_id", shape.alias("shape"), F.floor(q / FILE_NUMBERS).alias("part"), F.when(shape == 1, keyed).when(shape == 2, flat).otherwise(nested).alias("json"))
+    # so many numbers in a row hold a quarter as many documents of each shape at most: no file grows with the table, and there are not too many
     files = docs.where("shape < 3").groupBy("shape", "part").agg(F.concat_ws(",\n", F.sort_array(F.collect_list("json"))).alias("t"))
     whole = F.when(F.col("shape") == 1, F.concat(F.lit("{"), "t", F.lit("}"))).when(F.col("shape") == 2, F.concat(F.lit('{"records": ['), "t", F.lit("]}"))).otherwise(
         F.concat(F.lit("["), "t", F.lit("]")))

@@ -12,9 +12,9 @@ from lanewise import constants as C
 FIELDS = "map<string,variant>"
 
 
-def _kind(v: Column) -> Column:
-    """OBJECT, ARRAY, or the type of a plain value; VOID for JSON null."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+def _object(v: Column) -> Column:
+    """The members of an object; null for every other value. Told by a cast: the schema of a value is as long as the value, and a file holds many."""
+    return F.try_variant_get(v, "$", FIELDS)
 
 
 def exploded(files: DataFrame, value: str = "value") -> DataFrame:
@@ -23,24 +23,24 @@ def exploded(files: DataFrame, value: str = "value") -> DataFrame:
     The key is the one in a keyed file, else null. The files are read as they are; only their members are spread.
     """
     spark = files.sparkSession
-    whole = files.select(F.try_parse_json(value).alias("v")).where("v IS NOT NULL")
+    first = F.regexp_extract(value, r"^[ \t\r\n]*([\[{])", 1)      # of valid JSON it tells objects and lists
+    whole = files.select(F.try_parse_json(value).alias("v"), first.alias("kind")).where("v IS NOT NULL AND kind IN ('{', '[')")
     records = F.try_variant_get("v", "$.records", "variant")
-    top = whole.select(F.when(_kind(F.col("v")) == "OBJECT", F.when(_kind(records) == "ARRAY", records)).alias("r"), "v").select(F.coalesce("r", "v").alias("top"))
-    return top.where(_kind(F.col("top")).isin("OBJECT", "ARRAY")).lateralJoin(spark.tvf.variant_explode(F.col("top").outer())).select("key", F.col("value").alias("doc"))
+    listed = F.try_variant_get(records, "$[0]", "variant").isNotNull() | F.to_json(records).startswith("[")      # the text only of what has no first member
+    top = whole.select(F.when(F.col("kind") == "{", F.when(listed, records)).alias("r"), "v").select(F.coalesce("r", "v").alias("top"))
+    return top.lateralJoin(spark.tvf.variant_explode(F.col("top").outer())).select("key", F.col("value").alias("doc"))
 
 
 def documents(rows: DataFrame) -> DataFrame:
     """(doc_id, layout, fields) of rows (key, doc). A document's own id goes before the key of its file; a keyed value that is no
     object is taken as the fields themselves, which then are none."""
-    is_object = _kind(F.col("doc")) == "OBJECT"
-    doc = F.when(is_object, F.col("doc"))
-    own = F.map_filter(doc.cast(FIELDS), lambda k, v: ~k.isin(C.DOCUMENT_META_KEYS))
-    given = F.try_variant_get(doc, "$.fields", "variant")
-    has_fields = F.coalesce(_kind(given) == "OBJECT", F.lit(False))
+    parts = rows.select("key", _object(F.col("doc")).alias("doc")).withColumn("given", F.try_element_at("doc", F.lit("fields")))
+    parts = parts.withColumn("fields", _object(F.col("given")))
+    own = F.map_filter("doc", lambda k, v: ~k.isin(C.DOCUMENT_META_KEYS))
     empty = F.create_map().cast(FIELDS)
-    return rows.select(F.coalesce(F.try_variant_get(doc, "$.doc_id", "string"), F.col("key")).alias("doc_id"),
-                       F.coalesce(F.try_variant_get(doc, "$.layout", "string"), F.lit("unknown")).alias("layout"),
-                       F.coalesce(F.when(has_fields, F.when(has_fields, given).cast(FIELDS)), F.when(given.isNull(), own), empty).alias("fields"))
+    return parts.select(F.coalesce(F.try_variant_get(F.try_element_at("doc", F.lit("doc_id")), "$", "string"), F.col("key")).alias("doc_id"),
+                        F.coalesce(F.try_variant_get(F.try_element_at("doc", F.lit("layout")), "$", "string"), F.lit("unknown")).alias("layout"),
+                        F.coalesce("fields", F.when(F.col("given").isNull(), own), empty).alias("fields"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +51,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def read_document_lines(spark: SparkSession, path: str) -> DataFrame:
     """One document a line: splittable, the form to use at scale. Lines that are no JSON object are left out."""
     lines = spark.read.text(path).select(F.lit(None).cast("string").alias("key"), F.try_parse_json("value").alias("doc"))
-    return documents(lines.where(F.coalesce(_kind(F.col("doc")) == "OBJECT", F.lit(False))))
+    return documents(lines.where(_object(F.col("doc")).isNotNull()))
 
 
 def field(name: str, path: str = "$", kind: str = "string") -> Column:

@@ -1,11 +1,14 @@
 """Document files, the resume log and stored upserts."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from lanewise import constants as C
 from lanewise import schemas
+from lanewise.plans.queries_sources import document_files
 from lanewise.sources import reference, resume, variants
 from lanewise.sources.commits import Commits
 
@@ -115,3 +118,15 @@ def test_first_folder_wins(spark, tmp_path):
     assert reference.read_reference(spark, "vendors", folders).first()["vendor_name"] == "One"
     with pytest.raises(FileNotFoundError):
         reference.read_reference(spark, "hubs", folders)
+
+
+def test_files_hold_many_documents_and_kinds_are_not_told_by_schemas(spark, tmp_path, capsys):
+    names = [f for f in C.CORE_FIELDS]
+    docs = spark.range(0, 16_000, 2).select(F.format_string("D%d", "id").alias("doc_id"), F.lit("a").alias("layout"), F.col("id").alias("doc_seq"),
+                                            *[F.lit("1").alias(f"gt_{f}") for f in names])
+    document_files(SimpleNamespace(documents=docs), str(tmp_path / "docs"))
+    assert len(list((tmp_path / "docs" / "files").glob("part-*"))) == 2      # one list and one with records, not one for a thousand numbers
+    read = variants.read_documents(spark, str(tmp_path / "docs" / "files"))
+    assert read.count() == read.select("doc_id").distinct().count() == 8000
+    read.explain("extended")
+    assert "schema_of_variant" not in capsys.readouterr().out
