@@ -1,5 +1,8 @@
 """Fitted models inside the audit, their drivers and variants: invariants and brute force."""
 
+import threading
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
@@ -169,3 +172,16 @@ def test_reference_context_and_typical_padding(run):
         else:
             assert r["vendor_padding_ratio"] == (1.23 if r["vendor_id"] else C.FALLBACK_PADDING)
     assert any(not r["order_found"] and r["expected_weather_score"] > 0 for r in rows) or all(r["order_found"] for r in rows)
+
+
+def test_fits_of_the_cost_model_run_side_by_side(spark, monkeypatch):
+    together = threading.Barrier(2, timeout=30)      # a fit that is alone waits in vain
+
+    def fit(rows, **given):
+        together.wait()
+        return SimpleNamespace(transform=lambda df: df.withColumns({"features": F.lit(0), "ratio": F.lit(1.0)}))
+    monkeypatch.setattr(models, "fit_cost_ratio", fit)
+    frame = spark.range(200).select(F.col("id").alias("order_seq"), (F.col("id") / 100).alias("cost_ratio"), F.lit("t").alias("truck_type"), F.lit("c").alias("product_category"))
+    model, oof = models.fair_cost_model(frame, "order_seq")
+    assert oof.count() == 200 and model.bands.count() == 1
+    assert abs(model.overall.first()["p10"] - 0.199) < 1e-9
