@@ -86,3 +86,14 @@ def test_price_lists(spark):
     lines = spark.createDataFrame([(1, "Port", "15-03-2021", "80"), (2, "Port", "2021-03-15", "70"), (3, "Port", "??", "1")], "n int, r string, d string, p string")
     got = prices.load_generic_prices(lines, {"region": "r", "date": "d", "price": "p"}, {"Port": "Coast"}, "n").collect()
     assert [(str(r["price_date"]), r["state"], r[prices.PRICE], r["source"]) for r in got] == [("2021-03-15", "Coast", 80.0, "generic")]
+
+
+def test_line_items_are_normalised_once(spark):
+    from lanewise.operators import metrics
+    item = "array<struct<description:string,quantity:string,unit:string,rate:string,amount:string>>"
+    rows = [([("Freight", "1", None, "10.00", "10.00")], [("FREIGHT ", "1", "trip", "Rs. 10", "₹10.004")], "correct"), ([("a", "1", "", "x", "1")], [("a", "1", None, "x", "1")], "wrong"),
+            ([("a", "1", "", "2", "1")], [("a", "1", " ", "2", "1")], "correct"), ([], None, "correct_null"), (None, [("a", "1", None, "1", "1")], "hallucinated"),
+            ([("a", None, None, None, "1")], [("a", "x", "x", "x", "1.02")], "wrong"), ([(None,) * 5], [("a", "x", "x", "x", "1")], "correct")]
+    df = spark.createDataFrame(rows, f"t {item}, p {item}, want string").select(metrics.line_item_status("t", "p").alias("got"), "want")
+    assert all(r["got"] == r["want"] for r in df.collect())
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 20
