@@ -1,10 +1,13 @@
 """Work that is done once: choosing first submissions, and normalising texts."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from lanewise.functions import text
 from lanewise.operators import metrics
-from lanewise.plans.freight_view import FreightView
+from lanewise.operators.scale import keep_first
+from lanewise.plans.freight_view import SUBMISSION_ORDER, FreightView
 
 
 def test_first_submissions_are_chosen_once(spark, monkeypatch):
@@ -20,6 +23,26 @@ def test_first_submissions_are_chosen_once(spark, monkeypatch):
     assert len(calls) == 1
 
 
+def test_first_submissions_are_chosen_among_narrow_rows(spark, tmp_path):
+    ddl = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
+    day, rows = datetime.date(1995, 1, 2), []
+    for flag in ("R", "A", None):                                  # submissions that only the label tells apart, some without a number
+        rows += [(1, 1, 500, 7, 3.0, 90.0, 0.1, 0.2, flag, "F", day), (None, 2, 40, 7, 3.0, 90.0, 0.1, 0.2, flag, "F", day), (2, 9, 40, None, None, 90.0, 0.1, 0.2, flag, "F", None)]
+    spark.createDataFrame(rows + rows, ddl).write.parquet(f"{tmp_path}/lineitem.parquet")
+    view = FreightView(spark, str(tmp_path))
+    whole = keep_first(view.invoices_raw, ["invoice_id"], SUBMISSION_ORDER)
+    assert view.invoices_first.columns == view.invoices_raw.columns
+    assert sorted(map(repr, view.invoices_first.collect())) == sorted(map(repr, whole.collect())) and whole.count() == 3
+
+
+def test_chosen_submissions_are_shuffled_without_names(spark, monkeypatch):
+    from lanewise.operators import scale
+    seen, real = [], scale.keep_first
+    monkeypatch.setattr(scale, "keep_first", lambda df, *a: seen.extend(df.columns) or real(df, *a))
+    FreightView(spark, "/root/testdata/sf0.001").invoices_first
+    assert seen and not {"invoice_id", "order_id", "vendor_id"} & set(seen)
+
+
 def test_a_rule_stands_in_the_plan_once_for_each_kind(spark):
     names = {f"f{i}": "amount" for i in range(4)}
     docs = spark.createDataFrame([("d", "l", *["12.5"] * 8)], "doc_id string, layout string, " + ", ".join(f"{s}_{f} string" for f in names for s in ("gt", "pred")))
