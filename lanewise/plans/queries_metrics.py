@@ -7,7 +7,7 @@ from lanewise.operators import costing, enrich, explain, gate, metrics, models,
 from lanewise.operators.scale import exact_percentiles
 from lanewise.plans.queries_rows import risk_sql
 from lanewise.plans.registry import op
-from lanewise.session import cut_lineage
+from lanewise.session import cut_lineage, stored
 
 # ---- carriers -------------------------------------------------------------------------------
 
@@ -462,14 +462,15 @@ _VARIANTS_SQL = " UNION ALL ".join(_variant_sql(*x) for x in VARIANTS)
 
 def _variant_results(v):
     """PR-AUC and stability of five single-feature scores. Both price levels of every variant come
-    from one row; the variants are an exploded list, so the invoices are read once."""
+    from one row, and the rows are stored narrow: ranking and stability both read them, what prices the invoices runs once."""
     cells = []
     for name, feature, limit, deflate, monotone in VARIANTS:
         ref = F.lit(C.REFERENCE_DIESEL) if deflate else None
         now, later = (costing.risk_feature_columns(scale, ref)[feature] for scale in (1.0, C.PRICE_RISE))
         cells.append(F.struct(F.lit(name).alias("variant"), F.lit(monotone).alias("monotone"), now.alias("s"),
                               (now > limit).alias("b"), (later > limit).alias("a")))
-    long = v.priced.select("requires_manual_review", F.inline(F.array(*cells)))
+    cases = stored(v.priced.select("requires_manual_review", F.array(*cells).alias("cells")), "variant-cells")
+    long = cases.select("requires_manual_review", F.inline("cells"))
     ap = metrics.average_precision(long, "requires_manual_review", "s", ["variant"])
     st = metrics.verdict_stability(long, "requires_manual_review", "b", "a", ["variant", "monotone"])
     return (st.join(F.broadcast(ap), "variant")     # one row per variant
@@ -484,4 +485,5 @@ def _(v):
 @op("variant_selection", f"""WITH res AS ({_VARIANTS_SQL}), pool AS (SELECT * FROM res WHERE verdicts_changed_pct < 0.5 OR NOT EXISTS (SELECT 1 FROM res WHERE verdicts_changed_pct < 0.5))
     SELECT variant, pr_auc FROM pool WHERE pr_auc >= (SELECT max(pr_auc) FROM pool) - 0.005 ORDER BY NOT monotone, pr_auc DESC LIMIT 1""", r="pr_auc")
 def _(v):
-    return models.variant_selection(_variant_results(v)).select("variant", "pr_auc")
+    results = stored(_variant_results(v), "variants")      # one row per variant, asked for three times
+    return models.variant_selection(results).select("variant", "pr_auc")

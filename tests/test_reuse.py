@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lanewise.functions import text
 from lanewise.operators import metrics
 from lanewise.operators.scale import keep_first
+from lanewise.plans import queries_metrics
 from lanewise.plans.freight_view import SUBMISSION_ORDER, FreightView
 
 
@@ -43,6 +44,16 @@ def test_chosen_submissions_are_shuffled_without_names(spark, monkeypatch):
     assert seen and not {"invoice_id", "order_id", "vendor_id"} & set(seen)
 
 
+def kinds_read(df):
+    return {f.split("/lanewise-")[-1].rsplit("/", 1)[0][:-33] for f in df.inputFiles()}
+
+
+def test_variants_and_risk_rows_are_priced_once(spark):
+    view = FreightView(spark, "/root/testdata/sf0.001")
+    results = queries_metrics._variant_results(view)
+    assert "variant-cells" in kinds_read(results) and "raw-orders" not in kinds_read(results) and "orders" not in kinds_read(results)
+
+
 def test_a_rule_stands_in_the_plan_once_for_each_kind(spark):
     names = {f"f{i}": "amount" for i in range(4)}
     docs = spark.createDataFrame([("d", "l", *["12.5"] * 8)], "doc_id string, layout string, " + ", ".join(f"{s}_{f} string" for f in names for s in ("gt", "pred")))
