@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lanewise.functions import text
 from lanewise.operators import metrics
 from lanewise.operators.scale import keep_first
-from lanewise.plans import queries_metrics
+from lanewise.plans import queries_metrics, queries_models
 from lanewise.plans.freight_view import SUBMISSION_ORDER, FreightView
 
 
@@ -48,10 +48,14 @@ def kinds_read(df):
     return {f.split("/lanewise-")[-1].rsplit("/", 1)[0][:-33] for f in df.inputFiles()}
 
 
-def test_variants_and_risk_rows_are_priced_once(spark):
-    view = FreightView(spark, "/root/testdata/sf0.001")
+def test_variants_and_risk_rows_are_priced_once(spark, monkeypatch):
+    view, split = FreightView(spark, "/root/testdata/sf0.001"), []
     results = queries_metrics._variant_results(view)
     assert "variant-cells" in kinds_read(results) and "raw-orders" not in kinds_read(results) and "orders" not in kinds_read(results)
+    real = queries_models.splits.stratified_split
+    monkeypatch.setattr(queries_models.splits, "stratified_split", lambda df, *a: split.append(kinds_read(df)) or real(df, *a))
+    queries_models._risk_frame(view)
+    assert split == [{"risk-rows"}]
 
 
 def test_a_rule_stands_in_the_plan_once_for_each_kind(spark):
