@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from lanewise.functions import text
-from lanewise.operators import metrics
+from lanewise.operators import metrics, models
 from lanewise.operators.scale import keep_first
 from lanewise.plans import queries_metrics, queries_models
 from lanewise.plans.freight_view import SUBMISSION_ORDER, FreightView
@@ -58,6 +58,14 @@ def test_variants_and_risk_rows_are_priced_once(spark, monkeypatch):
     assert split == [{"risk-rows"}]
 
 
+def test_a_fit_gets_partitions_of_bounded_rows(spark):
+    frame = spark.range(1000).coalesce(1)
+    many = models.dealt(frame, 100)
+    assert many.rdd.getNumPartitions() == 10 and many.count() == 1000 and many.distinct().count() == 1000
+    assert max(many.rdd.glom().map(len).collect()) <= 200
+    assert models.dealt(frame, 1000) is frame
+
+
 def test_a_rule_stands_in_the_plan_once_for_each_kind(spark):
     names = {f"f{i}": "amount" for i in range(4)}
     docs = spark.createDataFrame([("d", "l", *["12.5"] * 8)], "doc_id string, layout string, " + ", ".join(f"{s}_{f} string" for f in names for s in ("gt", "pred")))
