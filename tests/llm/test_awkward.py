@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.llm import near_dedup, packing, passages, token_store
+from lanewise.llm import embeddings, near_dedup, packing, passages, token_store
 
 
 def test_token_ids_of_every_letter():
@@ -24,6 +24,36 @@ def test_token_ids_of_every_letter():
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("n", [600, 2400])
+def test_cells_of_vectors_stay_small(spark, monkeypatch, n):
+    """Vectors without a direction of their own: cells grow finer with the table, links are those of brute force, a hub's and its copies' too."""
+    monkeypatch.setattr(embeddings, "TILE", 64)
+    monkeypatch.setattr(embeddings, "GUESTS", 96, raising=False)
+    homes, durable = [], embeddings.durable
+
+    def watched(df, name, *rest):
+        out = durable(df, name, *rest)
+        if name == "cells":
+            homes.extend(r["count"] for r in out.where("home").groupBy("block", "cell").count().collect())
+        return out
+
+    monkeypatch.setattr(embeddings, "durable", watched)
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((n, 64)) + 0.3 * rng.standard_normal(64)
+    x[: n // 10] = x[n // 10: 2 * (n // 10)] + rng.uniform(0.1, 0.4, (n // 10, 1)) * rng.standard_normal((n // 10, 64))      # on both sides of the bound
+    x[n - 50:] = x[0] + 0.05 * rng.standard_normal((50, 64))
+    x[7] = x[8]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    least, label = None, np.arange(n)
+    while least is None or (least != label).any():
+        least, label = label, np.where(near, label, n).min(axis=1)
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(rows).collect()}
+    assert got == {k: (int(near[k].sum()) - 1, int(label[k])) for k in range(n)}
+    assert max(homes) <= 4 * 64
+
+
 def test_no_overfull_bin_in_a_partitioned_table(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(k, " ".join(["w"] * int(n)), "en", f"s{k % 2}", 0) for k, n in enumerate(rng.integers(0, 2500, 60))]
