@@ -12,6 +12,7 @@ Tokens are exchanged in packed rows, a row for each flush (the texts a task has
 often each occurs and in which documents. Frequent words come together in a flush before they are shuffled. Bigrams are counted in
 the cell of the second word, then held and scored in that of the first; where that word is one of the frequent ones, whose numbers
 every task has, the cell is that of the bigram, and no word's bigrams fill a cell. A cell returns sums by document of the flush.
+Packed numbers are compressed by the byte, with bigrams in the order of their codes, so that an exchange writes little.
 """
 
 from dataclasses import dataclass
@@ -87,10 +88,10 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def histories(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The token before each one; the first of a row follows the end."""
+    """The token (or its class) before each one; the first of a row follows the end, which is the last token of all."""
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
-    before[np.cumsum(counts) - counts] = END
+    before[np.cumsum(counts) - counts] = tokens[-1]
     return before
 
 
@@ -101,18 +102,41 @@ def by_cell(cell: np.ndarray):
         yield int(cell[at[0]]), at
 
 
-def packed_cells(key: np.ndarray, row: np.ndarray, place):
-    """(cell, where the distinct keys first are, numbers, rows) for each cell that has any; ``place`` gives the cells of keys first seen there."""
+def packed_cells(key: np.ndarray, row: np.ndarray, place, rank=None):
+    """(cell, where the distinct keys first are, numbers, rows) for each cell that has any; ``place`` gives the cells of keys first seen
+    there, ``rank`` what their order within a cell is by."""
     distinct, n, order = grouped(key)
     start = np.cumsum(n) - n
     first = order[start]
     for cell, at in by_cell(place(distinct, first)):
+        if rank is not None:
+            at = at[np.argsort(rank(first[at]))]
         pick = np.repeat(start[at] - (np.cumsum(n[at]) - n[at]), n[at]) + np.arange(n[at].sum())
-        yield cell, first[at], n[at].astype("<u4").tobytes(), row[order[pick]].tobytes()
+        yield cell, first[at], squeezed(n[at].astype("<u4")), squeezed(row[order[pick]])
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Little-endian numbers as their first bytes, their second bytes and so on, compressed, behind the size of one and of all. None: empty."""
+    if not len(x):
+        return b""
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return bytes([x.itemsize]) + len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def loosened(raw: bytes, kind: str) -> np.ndarray:
+    """The numbers that ``squeezed`` gave."""
+    if not raw:
+        return np.zeros(0, kind)
+    planes = pa.decompress(memoryview(raw)[9:], int.from_bytes(raw[1:9], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(raw[0], -1).T).view(kind).ravel()
+
+
+def codes(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return i.astype("<u4") << 16 | j.astype("<u4")
 
 
 def joined(column, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column), kind)
+    return np.concatenate([np.zeros(0, kind), *[loosened(raw, kind) for raw in column]])
 
 
 def found_at(have: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,22 +174,22 @@ class Model:
         return max(1.0 - float(self.p_word(self.counts).sum()), 1e-300)
 
     def classes(self, h: np.ndarray) -> np.ndarray:
+        """Place of each word among the frequent ones, behind them all for any other; 16 bits."""
         at, known = found_at(self.words, h)
-        return np.where(known, at, len(self.words))
+        return np.where(known, at, len(self.words)).astype(np.uint16)
 
-    def cell_of_pairs(self, word: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Cell of bigrams that meet by ``word``."""
-        return np.where(self.classes(word) < len(self.words), cell_of(key, self.cells), cell_of(word, self.cells))
+    def cell_of_pairs(self, word: np.ndarray, cls: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Cell of bigrams that meet by ``word`` of class ``cls``."""
+        return np.where(cls < len(self.words), cell_of(key, self.cells), cell_of(word, self.cells))
 
-    def coded(self, v: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes]:
-        """Bigrams as two numbers of frequent words in 32 bits, and the 64-bit hashes of all sides that are not frequent."""
-        c, x = np.stack([self.classes(v), self.classes(w)], 1), np.stack([v, w], 1)
-        return (c[:, 0] << 16 | c[:, 1]).astype("<u4").tobytes(), x[c == len(self.words)].astype("<u8").tobytes()
+    def coded(self, v: np.ndarray, w: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[bytes, bytes]:
+        """Bigrams of classes ``i`` and ``j`` as two numbers of frequent words in 32 bits, and the 64-bit hashes of all sides that are not frequent."""
+        c, x = np.stack([i, j], 1), np.stack([v, w], 1)
+        return squeezed(codes(i, j)), squeezed(x[c == len(self.words)].astype("<u8"))
 
     def decoded(self, code, rest) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(v, w, class of v, class of w) of what ``coded`` gave."""
-        code = joined(code, "<u4").astype(np.int64)
-        c = np.stack([code >> 16, code & 65535], 1)
+        c = joined(code, "<u4").view("<u2").reshape(-1, 2)[:, ::-1]
         x = np.r_[self.words, np.uint64(0)].astype(np.uint64)[c]
         x[c == len(self.words)] = joined(rest, "<u8")
         return x[:, 0], x[:, 1], c[:, 0], c[:, 1]
@@ -219,7 +243,7 @@ class Model:
     @cached_property
     def _of_classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows, size = self.bigrams.collect(), len(self.words) + 1
-        key, c = joined([r["keys"] for r in rows], "<u4").astype(np.int64), joined([r["counts"] for r in rows], "<i8")
+        key, c = np.frombuffer(b"".join(r["keys"] for r in rows), "<u4").astype(np.int64), np.frombuffer(b"".join(r["counts"] for r in rows), "<i8")
         p = np.r_[self.p_word(self.counts), self.other()]
         c_, mass, p_ = (np.bincount(key >> 16, x, size) for x in (c, discounted(c, self.d2), p[key & 65535]))
         scale, alpha, full = np.ones(size), np.ones(size), 1 - p_ <= 1e-12
@@ -267,13 +291,15 @@ def fit(texts: DataFrame) -> Model:
 
     def count_bigrams(batches):
         for _, tokens, counts, _ in flushes(batches, 0):
-            before = histories(tokens, counts)
+            m = sent.value
+            before, cls = histories(tokens, counts), m.classes(tokens)
             key, num, order = grouped(pair_keys(before, tokens))
             first = order[np.cumsum(num) - num]
-            v, w = before[first], tokens[first]
+            v, w, i, j = before[first], tokens[first], histories(cls, counts)[first], cls[first]
             del order, first, before
-            for cell, at in by_cell(sent.value.cell_of_pairs(w, key)):
-                packed = *sent.value.coded(v[at], w[at]), num[at].astype("<u4").tobytes()
+            for cell, at in by_cell(m.cell_of_pairs(w, j, key)):
+                at = at[np.argsort(codes(i[at], j[at]))]
+                packed = *m.coded(v[at], w[at], i[at], j[at]), squeezed(num[at].astype("<u4"))
                 yield pa.RecordBatch.from_arrays([pa.array([cell]), *[pa.array([x], pa.binary()) for x in packed]], names=["cell", "code", "rest", "n"])
 
     def place(batches):
@@ -283,19 +309,20 @@ def fit(texts: DataFrame) -> Model:
     def add(f: pd.DataFrame, rare: pd.DataFrame) -> pd.DataFrame:
         """Counts of the bigrams that meet by their second word, with its probability, dealt to the cells of the first."""
         m = sent.value
-        v, w, _, cls = m.decoded(f["code"], f["rest"])
+        v, w, before, cls = m.decoded(f["code"], f["rest"])
         key, num, at = grouped(pair_keys(v, w))
         if not len(key):
             return pd.DataFrame({c: [] for c in ("cell", "code", "rest", "n", "p")})
         first = np.cumsum(num) - num
         n, v, w, cls = np.add.reduceat(joined(f["n"], "<u4").astype(np.int64)[at], first), v[at[first]], w[at[first]], cls[at[first]]
+        before = before[at[first]]
         word = rare["word"].to_numpy().astype(np.int64).astype(np.uint64)
         order, seldom, p = np.argsort(word), cls == len(m.words), np.zeros(len(w))
         p[seldom] = m.p_word(rare["n"].to_numpy().astype(np.int64)[order][np.searchsorted(word[order], w[seldom])])      # each is there
         rows = []
-        for cell, pick in by_cell(m.cell_of_pairs(v, key)):
-            pick = pick[np.argsort(v[pick], kind="stable")]
-            rows.append((cell, *m.coded(v[pick], w[pick]), n[pick].astype("<i8").tobytes(), p[pick[seldom[pick]]].tobytes()))
+        for cell, pick in by_cell(m.cell_of_pairs(v, before, key)):
+            pick = pick[np.lexsort((v[pick], codes(before[pick], cls[pick])))]
+            rows.append((cell, *m.coded(v[pick], w[pick], before[pick], cls[pick]), squeezed(n[pick].astype("<i8")), squeezed(p[pick[seldom[pick]]])))
         return pd.DataFrame(rows, columns=["cell", "code", "rest", "n", "p"])
 
     tagged = unigrams.where(F.col("n") < threshold).mapInArrow(place, "cell long, word long, n long")      # the frequent words are in the model
@@ -330,7 +357,7 @@ def fit(texts: DataFrame) -> Model:
 def by_row(rows: np.ndarray, *sums: np.ndarray) -> list[bytes]:
     """Sums by row, for the rows that occur."""
     used, at = np.unique(rows, return_inverse=True)
-    return [used.astype("<u4").tobytes(), *[np.bincount(at, s, len(used)).astype("<f8").tobytes() for s in sums]]
+    return [squeezed(used.astype("<u4")), *[squeezed(np.bincount(at, s, len(used)).astype("<f8")) for s in sums]]
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -366,24 +393,25 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
         for number, tokens, counts, _ in flushes(batches, 0):
             me, row = (TaskContext.get().partitionId(), number), np.repeat(np.arange(len(counts), dtype="<u2" if len(counts) < 1 << 16 else "<u4"), counts)
-            at = np.flatnonzero(m.classes(tokens) == len(m.words))
+            cls = m.classes(tokens)
+            at = np.flatnonzero(cls == len(m.words))
             words = tokens[at]
             for cell, first, num, rows in packed_cells(words, row[at], lambda key, _: cell_of(key, m.cells)):
-                yield packed(cell, *me, words[first].astype("<u8").tobytes(), b, b, num, rows)
-            before = histories(tokens, counts)
+                yield packed(cell, *me, squeezed(words[first].astype("<u8")), b, b, num, rows)
+            before, behind = histories(tokens, counts), histories(cls, counts)
             for k in range(0, len(tokens), SEGMENT):
-                v, w = before[k: k + SEGMENT], tokens[k: k + SEGMENT]
-                for cell, first, num, rows in packed_cells(pair_keys(v, w), row[k: k + SEGMENT], lambda key, first: m.cell_of_pairs(v[first], key)):
-                    yield packed(cell, *me, b, *m.coded(v[first], w[first]), num, rows)
+                v, w, i, j = (x[k: k + SEGMENT] for x in (before, tokens, behind, cls))
+                for cell, first, num, rows in packed_cells(pair_keys(v, w), row[k: k + SEGMENT], lambda key, first: m.cell_of_pairs(v[first], i[first], key),
+                                                           lambda first: codes(i[first], j[first])):
+                    yield packed(cell, *me, b, *m.coded(v[first], w[first], i[first], j[first]), num, rows)
 
     def settle(f: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         m, out = sent.value, []
         have, gain, word, n, alpha = m.of_cell(held)
         for r in f.itertuples(index=False):
-            num = joined([r.num], "<u4")
-            rows = joined([r.rows], "<u2" if len(r.rows) == 2 * num.sum() else "<u4")
+            num, rows = loosened(r.num, "<u4"), loosened(r.rows, f"<u{r.rows[0]}")
             if r.words:
-                at, known = found_at(word, joined([r.words], "<u8"))
+                at, known = found_at(word, loosened(r.words, "<u8"))
                 c, a = (np.where(known, x[at], 0) for x in (n, alpha)) if len(word) else (np.zeros(len(num), np.int64), np.zeros(len(num)))
                 out.append((r.part, r.flush, *by_row(rows, *[np.repeat(x, num) for x in (np.log10(c + 1.0), (c > 0).astype(float), np.log10(m.p_word(c)) + a)])))
                 continue
@@ -404,10 +432,9 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         f = f.sort_values("row").reset_index(drop=True)
         base, known, log = (f[c].to_numpy().copy() for c in ("base", "known", "log"))
         for r in partial.itertuples(index=False):
-            rows = np.frombuffer(r.row, "<u4")
-            base[rows] += np.frombuffer(r.base, "<f8")
-            known[rows] += np.frombuffer(r.known, "<f8")
-            log[rows] += np.frombuffer(r.log, "<f8")
+            rows = loosened(r.row, "<u4")
+            for total, part in ((base, r.base), (known, r.known), (log, r.log)):
+                total[rows] += loosened(part, "<f8")
         m = sent.value
         out = f[[f"k{i}" for i in range(len(keep))]].copy()
         out["n_tokens"], out["n_known"] = f["n_tokens"], np.rint(known).astype(np.int64)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.llm import embeddings, near_dedup, packing, passages, token_store
+from lanewise.llm import embeddings, katz, near_dedup, packing, passages, token_store
 
 
 def test_token_ids_of_every_letter():
@@ -24,6 +24,26 @@ def test_token_ids_of_every_letter():
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_packed_bigrams_are_small(spark, monkeypatch):
+    """What is stored of the bigrams of mostly distinct pairs: less than their codes and numbers alone take unpacked, nothing lost."""
+    stored, durable = {}, katz.durable
+
+    def watched(df, name, *rest):
+        stored[name] = durable(df, name, *rest)
+        return stored[name]
+
+    monkeypatch.setattr(katz, "durable", watched)
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(words[k] for k in rng.integers(0, 3000, 400)) for _ in range(200)]
+    model = katz.fit(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1))
+    rows, seen = stored["bigrams"].collect(), {(v, w) for t in texts for v, w in zip(["\n", *t.split()], [*t.split(), "\n"])}
+    n = np.concatenate([katz.joined([r["n"]], "<i8") if hasattr(katz, "squeezed") else np.frombuffer(r["n"], "<i8") for r in rows])
+    assert len(n) == len(seen) and n.sum() == 200 * 401 == model.total
+    assert sum(len(r["code"]) for r in rows) < 3.2 * len(seen)
+    assert sum(len(r["n"]) for r in rows) < len(seen)
+
+
 @pytest.mark.parametrize("n", [600, 2400])
 def test_cells_of_vectors_stay_small(spark, monkeypatch, n):
     """Vectors without a direction of their own: cells grow finer with the table, links are those of brute force, a hub's and its copies' too."""
