@@ -15,6 +15,8 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pandas as pd
@@ -71,35 +73,37 @@ def letters_only(text: str) -> bool:
 
 def encode_cores(cores: list[bytes], tok, ends: np.ndarray) -> dict[bytes, bytes]:
     """uint32 ids of each core. Cores of letters alone have one end of word each, so many are encoded as one text and cut there."""
-    text = [c.decode("utf-8", "replace") for c in cores]
-    letters = [k for k, t in enumerate(text) if letters_only(t)]
-    out, rest = {}, [k for k, t in enumerate(text) if not letters_only(t)]
+    out, letters, rest = {}, [], []
+    for c in cores:
+        (letters if c.isalpha() or letters_only(c.decode("utf-8", "replace")) else rest).append(c)
     lots = [letters[i: i + 500] for i in range(0, len(letters), 500)]
-    for lot, e in zip(lots, tok.encode_batch([" ".join([text[k] for k in lot]) for lot in lots], add_special_tokens=False)):
+    for lot, e in zip(lots, tok.encode_batch_fast([b" ".join(lot).decode() for lot in lots], add_special_tokens=False)):
         ids = np.array(e.ids, "<u4")
         stop = (np.flatnonzero(ends[ids]) + 1) * 4
         if len(stop) != len(lot):
             rest += lot
             continue
         raw, at = ids.tobytes(), 0
-        for k, z in zip(lot, stop.tolist()):
-            out[cores[k]] = raw[at:z]
+        for c, z in zip(lot, stop.tolist()):
+            out[c] = raw[at:z]
             at = z
-    for k, e in zip(rest, tok.encode_batch([text[k] for k in rest], add_special_tokens=False)):
-        out[cores[k]] = np.array(e.ids, "<u4").tobytes()
+    for c, e in zip(rest, tok.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)):
+        out[c] = np.array(e.ids, "<u4").tobytes()
     return out
 
 
 def encode(texts: list[bytes], path: str) -> list[bytes]:
     """uint32 ids of each text without the end id. The vocabulary drops white space before it splits, so the ids of a text are
-    those of its words one after the other; each distinct core of a word is encoded once."""
+    those of its words one after the other; each distinct core of a word is encoded once, each word is looked up once."""
     tok, ends, words, cores = tokenizer(path)
-    split = [t.split() for t in texts]
     if len(words) > WORD_CACHE:
         words.clear()
     if len(cores) > CORE_CACHE:
         cores.clear()
-    new, heads, tails = list(set().union(*split).difference(words)), [], []
+    split = [t.split() for t in texts]
+    found = [list(map(words.get, ws)) for ws in split]
+    gaps = [list(compress(range(len(ws)), map(not_, ids))) for ws, ids in zip(split, found)]      # missing, or words without ids
+    new, heads, tails = list({ws[k] for ws, at in zip(split, gaps) for k in at}), [], []
     for w in new:
         c = w.rstrip(TAIL)
         c, t = (c.lower(), w[len(c):]) if c.isalpha() else halves(w)
@@ -116,12 +120,14 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
         words.update((w, held[c] + held[t]) for w, c, t in zip(new, heads, tails))
     else:
         words.update((w, cores[c] + cores[t]) for w, c, t in zip(new, heads, tails))
-    out = [b"".join(map(words.__getitem__, ws)) for ws in split]
+    for ws, ids, at in zip(split, found, gaps):
+        for k in at:
+            ids[k] = words[ws[k]]
     if fresh:
         for w in new:
             if len(w) > LONGEST_CACHED:
                 del words[w]
-    return out
+    return [b"".join(ids) for ids in found]
 
 
 def build_index(keys: np.ndarray) -> tuple[list[bytes], np.ndarray]:

@@ -74,6 +74,24 @@ def test_cells_of_vectors_stay_small(spark, monkeypatch, n):
     assert max(homes) <= 4 * 64
 
 
+def test_each_word_is_judged_once(monkeypatch):
+    """Ids equal the library's over caches that are emptied, words without ids and words too long to keep; plain words take no second look."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path, looks, judge = public_tokenizers.path("word_bpe_49k.json"), [], token_store.letters_only
+    tok = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_store, "letters_only", lambda t: looks.append(t) or judge(t))
+    monkeypatch.setattr(token_store, "WORD_CACHE", 20)
+    monkeypatch.setattr(token_store, "CORE_CACHE", 25)
+    monkeypatch.setattr(token_store, "_tokenizers", {})
+    plain = [" ".join(f"{chr(97 + k % 26)}word{'x' * (k % 5)}s Again, and-on." for k in range(n, n + 9)) for n in range(0, 60, 3)]
+    odd = ["\x00 \x01x \x00", "", " \n", "y" * 300 + ". " + "z" * 65 + " y", "\x00", "é" * 80 + " é!", "the the, THE"]
+    for texts in (plain[:9], odd, plain, odd + plain[::-1]):
+        for t, ids in zip(texts, token_store.encode([t.encode() for t in texts], path)):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert not any(t.isascii() and t.isalpha() for t in looks)
+
+
 def test_no_overfull_bin_in_a_partitioned_table(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(k, " ".join(["w"] * int(n)), "en", f"s{k % 2}", 0) for k, n in enumerate(rng.integers(0, 2500, 60))]
