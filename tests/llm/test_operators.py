@@ -190,6 +190,20 @@ def test_sharding(spark, docs, none, shards):
     assert sharding.shuffled_shards(none).count() == 0
 
 
+def test_sharding_holds_no_split_at_once(spark, docs, monkeypatch):
+    """One input split of many bytes: buckets are bounded in bytes, and rows are dealt to them before they are gathered."""
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 1000)
+    one = docs.select("doc_id", "text").coalesce(1)
+    assert sharding.total_bytes(one) == sum(len(raw(t)) + 16 for _, t in TEXTS)
+    out = sharding.shuffled_shards(one, 3)
+    written = spark.read.parquet(out.inputFiles()[0].rpartition("/")[0])
+    assert written.select("bucket").distinct().count() > 5
+    rows = out.select("record.doc_id", "record.text", "shard", "slot").collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in rows) == collections.Counter(TEXTS)
+    places = sorted((r["slot"], r["shard"]) for r in rows)
+    assert places == [(k // 3, k % 3) for k in range(len(TEXTS))]
+
+
 def test_katz_sums_to_one(spark, docs, none, monkeypatch):
     monkeypatch.setattr(katz, "VOCABULARY", 6)
     train = [t for i, t in TEXTS[:14]]
