@@ -7,7 +7,8 @@ hash is its anchor, so equal windows have equal anchors. Neighbouring windows wi
 anchor and equal bytes share the fate of the one in the smallest document. Where an anchor has several different runs, their
 bytes are fetched and suffix-sorted in two stages: suffixes smaller than their successors are sorted directly (as far as
 LENGTH bytes matter), the others are induced by scanning the buckets of first bytes; adjacent common prefixes of LENGTH or
-more tell equal windows.
+more tell equal windows. An anchor whose runs have more than SORT_BYTES is sorted directly, one class of first bytes after the
+other, so what its sort holds does not grow with the number of its runs.
 
 Work is exchanged in packed rows: by cell (hash of the anchor) and by block (hash of the document). Equal runs within the
 documents a task holds together are settled there, so a passage that a third of all documents share meets once per such
@@ -24,8 +25,12 @@ from lanewise.llm.common import BASE, BASE_INVERSE, binary_buffers, durable, inp
 
 LENGTH = 50
 GRAM = 16
-FLUSH = 32 << 20              # bytes of text that are settled together
-SORT_CELLS = 8                # suffix sorts for each input split: a sort holds about forty times its bytes in memory
+FLUSH = 16 << 20              # bytes of text that are settled together
+UNIT = 24 << 20               # bytes of text whose runs fill CELLS cells, at most, however large the input splits
+CELLS = 2                     # cells of runs for each unit: a cell holds about ten times its share of the text in memory
+BLOCKS = 4                    # blocks of documents for each unit
+SORT_CELLS = 8                # suffix sorts for each unit: a sort holds about forty times its bytes in memory
+SORT_BYTES = 4 << 20          # bytes of a cell that are sorted at once; an anchor of more is sorted in classes of first bytes
 CTX_BYTES = 6
 CODES = seeds(256, 3)
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -204,8 +209,59 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+def window_classes(text: np.ndarray, first: np.ndarray, size: np.ndarray, classes: int):
+    """The windows of all runs (positions and their runs), in so many classes by their first eight bytes: equal ones share a class."""
+    width = (size - LENGTH + 1).clip(min=0)
+    kind = np.empty(int(width.sum()), np.uint16)
+    ends = np.cumsum(width)
+    padded = np.concatenate([text, np.zeros(72, np.uint8)])
+
+    def at(w):
+        """Run and position of the windows numbered ``w``."""
+        run = np.searchsorted(ends, w, "right")
+        return run, first[run] + w - (ends[run] - width[run])
+
+    for k in range(0, len(kind), 1 << 20):
+        w = np.arange(k, min(k + (1 << 20), len(kind)))
+        kind[w] = mix64(words_at(padded, at(w)[1])) % np.uint64(classes)
+    for c in range(classes):
+        run, pos = at(np.flatnonzero(kind == c))
+        yield padded, run, pos
+
+
+def words_at(padded: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number in their order."""
+    word = np.zeros(len(pos), np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | padded[pos + k]
+    return word
+
+
+def repeated_in_classes(text: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """As ``repeated_windows``, for more bytes than one sort should hold: a class at a time, eight bytes at a time of what is still equal."""
+    found = []
+    for padded, run, pos in window_classes(text, first, size, min(1 << 16, -(-len(text) // SORT_BYTES))):
+        group = np.zeros(len(pos), np.int64)
+        for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+            word = words_at(padded, pos + k)
+            order = np.lexsort((word, group))
+            run, pos, group, word = run[order], pos[order], group[order], word[order]
+            new = np.zeros(len(pos), np.int64)
+            new[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
+            group = np.cumsum(new)
+            many = np.bincount(group)[group] > 1 if len(pos) else np.zeros(0, bool)      # a window like no other is settled
+            run, pos, group = run[many], pos[many], group[many]
+        if len(pos):
+            group = np.cumsum(np.r_[0, group[1:] != group[:-1]])
+            least = np.minimum.reduceat(doc[run], np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))[group]
+            found.append(pos[doc[run] > least])
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def repeated_windows(text: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Of runs that lie at ``first`` in ``text``, the windows (positions) whose string is also in a run of a smaller doc."""
+    if len(text) > SORT_BYTES:
+        return repeated_in_classes(text, first, size, doc)
     order = suffix_order(text)
     run = np.searchsorted(first, order, "right") - 1
     full = (run >= 0) & (order + LENGTH <= first[run] + size[run])
@@ -321,8 +377,9 @@ def sort_cell(blocks: int):
         size = np.concatenate([np.frombuffer(b, "u1") for b in f["size"]]).astype(np.int64)
         raw = np.frombuffer(b"".join(f["bytes"]), np.uint8)
         first = np.cumsum(size + 1) - size - 1                        # one zero byte between runs
-        text = np.zeros(int((size + 1).sum()), np.uint8)
-        text[np.arange(len(raw)) + np.repeat(np.arange(len(size)), size)] = raw
+        text, body = np.zeros(int((size + 1).sum()), np.uint8), np.ones(int((size + 1).sum()), bool)
+        body[first + size] = False
+        text[body] = raw
         found = repeated_windows(text, first, size, doc)
         run_ = np.searchsorted(first, found, "right") - 1
         u, a, n = joined(uid[run_], lo[run_] + found - first[run_], np.full(len(found), LENGTH))
@@ -371,6 +428,12 @@ def cut(extra: list[str], whole: bool = False):
     return run
 
 
+def units(docs: DataFrame) -> int:
+    """How many times UNIT the texts have, and as many as the input splits at least."""
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(input_splits(docs), -(-total // UNIT))
+
+
 def without_repeats(docs: DataFrame, carry: list[str] = ("doc_id",), whole: bool = False) -> DataFrame:
     """n_bytes, n_removed, n_spans, kept (binary) and the ``carry`` columns of every row of ``docs`` (doc_id, text).
 
@@ -378,8 +441,8 @@ def without_repeats(docs: DataFrame, carry: list[str] = ("doc_id",), whole: bool
     have the same result each. With ``whole``, a character that is cut in two goes as a whole. Texts below LENGTH bytes are left as they are. An empty table gives an empty result.
     """
     carry = list(carry)
-    cells = input_splits(docs)
-    blocks = 4 * cells
+    parts = units(docs)
+    cells, blocks = CELLS * parts, BLOCKS * parts
     # repeated rows have one uid: what is removed depends on doc_id and text alone
     names = {f"c{i}": c for i, c in enumerate(carry)}
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
@@ -390,7 +453,7 @@ def without_repeats(docs: DataFrame, carry: list[str] = ("doc_id",), whole: bool
     known = durable(settled.unionByName(local), "spans")
 
     texts = rows.select(F.pmod("uid", F.lit(blocks)).cast("int").alias("block"), "uid", "text", *names)
-    fetched = texts.groupBy("block").cogroup(known.where("kind = 1").groupBy("block")).applyInPandas(fetch(SORT_CELLS * cells), FETCHED)
+    fetched = texts.groupBy("block").cogroup(known.where("kind = 1").groupBy("block")).applyInPandas(fetch(SORT_CELLS * parts), FETCHED)
     sorted_ = fetched.groupBy("cell").applyInPandas(sort_cell(blocks), SPANS)
     spans = known.where("kind = 0").unionByName(sorted_)
     kinds = dict(rows.select(*names).dtypes)

@@ -416,3 +416,35 @@ def test_embeddings_of_several_lengths(spark):
     for r in got:
         i = r["vec_id"]
         assert (r["n_links"], r["component_id"]) == (sum(j != i and linked(i, j) for j in x), want[i])
+
+
+def test_passages_of_a_frequent_anchor(monkeypatch):
+    """An anchor with more bytes than one sort should hold gives the same windows, a class of first bytes at a time."""
+    rng = np.random.default_rng(5)
+    line = rng.integers(97, 123, 70, np.uint8)
+    runs = [np.concatenate([line[int(rng.integers(0, 20)): 70 - int(rng.integers(0, 20))], rng.integers(97, 99, int(rng.integers(0, 40)), np.uint8)]) for _ in range(400)]
+    runs += [line[:30], line[:49], line[:50]]
+    size, doc = np.array([len(r) for r in runs]), rng.integers(0, 60, len(runs))
+    text = np.concatenate([np.append(r, np.uint8(0)) for r in runs])
+    first = np.cumsum(size + 1) - size - 1
+    whole = passages.repeated_windows(text, first, size, doc)
+    monkeypatch.setattr(passages, "SORT_BYTES", 1000)
+    held = []
+    kept = passages.window_classes
+    monkeypatch.setattr(passages, "window_classes", lambda *a: (held.append(len(x[2])) or x for x in kept(*a)))
+    assert len(whole) and sorted(passages.repeated_windows(text, first, size, doc)) == sorted(whole)
+    assert len(held) > 20 and max(held) < sum(held) / 2
+
+
+def test_passages_cells_follow_the_bytes(spark, docs, monkeypatch):
+    one = docs.select("doc_id", "text").coalesce(1)
+    assert passages.units(one) == 1
+    monkeypatch.setattr(passages, "UNIT", 1000)
+    assert passages.units(one) == -(-sum(len(raw(t)) for _, t in TEXTS) // 1000)
+    top = (1 << 63) - 1
+    want = brute_passages([(top if i is None else i, raw(t)) for i, t in TEXTS])
+    got = passages.without_repeats(one, ["doc_id", "text"]).collect()
+    assert len(got) == len(TEXTS)
+    for r in got:
+        key = (top if r["doc_id"] is None else r["doc_id"], raw(r["text"]))
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) == want[key]
