@@ -89,3 +89,13 @@ def test_place_work_is_linear(spark):
     text = spark.createDataFrame([("abc" * 7000 + str(k) * 9,) for k in range(3)], "t string")
     rows = text.select(F.size(enrich._grams(F.col("t"), [3])).alias("n")).collect()
     assert all(r["n"] <= 21_009 for r in rows)
+
+
+def test_gate_reasons_are_made_once(spark):
+    """No filter on the number of reasons reaches the rows, where each reason would be worked out once more."""
+    rows = spark.createDataFrame([("a,b",), ("b",), ("",), (None,)], "t string")
+    reasons = F.when(F.col("t") != "", F.split(F.upper("t"), ",")).when(F.col("t") == "", F.array().cast("array<string>"))
+    out = metrics.gate_reason_counts(rows.select(reasons.alias("reasons")))
+    assert {(r["reason"], r["n"]) for r in out.collect()} == {("A", 1), ("B", 2)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1 and "size(" not in plan
