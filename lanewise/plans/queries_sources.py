@@ -13,6 +13,7 @@ from lanewise.sources.commits import Commits
 
 
 FILE_NUMBERS = 16_000
+LINES_EACH = 1 << 18        # a packed file is read by one task
 
 
 def document_files(v: FreightView, folder: str) -> None:
@@ -30,8 +31,8 @@ def document_files(v: FreightView, folder: str) -> None:
     files = docs.where("shape < 3").groupBy("shape", "part").agg(F.concat_ws(",\n", F.sort_array(F.collect_list("json"))).alias("t"))
     whole = F.when(F.col("shape") == 1, F.concat(F.lit("{"), "t", F.lit("}"))).when(F.col("shape") == 2, F.concat(F.lit('{"records": ['), "t", F.lit("]}"))).otherwise(
         F.concat(F.lit("["), "t", F.lit("]")))
-    files.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{folder}/files")
-    docs.where("shape = 3").select("json").write.text(f"{folder}/lines")
+    files.select(whole.alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(f"{folder}/files")
+    docs.where("shape = 3").select("json").write.option("maxRecordsPerFile", LINES_EACH).option("compression", "gzip").text(f"{folder}/lines")
 
 
 @op("scan_document_files", """SELECT doc_id, CASE WHEN doc_seq % 4 = 2 THEN 'unknown' ELSE layout END AS layout, gt_total::DOUBLE AS total, gt_vendor_id AS vendor_id,

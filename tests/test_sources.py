@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lanewise import constants as C
 from lanewise import schemas
+from lanewise.plans import queries_sources
 from lanewise.plans.queries_sources import document_files
 from lanewise.sources import reference, resume, variants
 from lanewise.sources.commits import Commits
@@ -130,3 +131,16 @@ def test_files_hold_many_documents_and_kinds_are_not_told_by_schemas(spark, tmp_
     assert read.count() == read.select("doc_id").distinct().count() == 8000
     read.explain("extended")
     assert "schema_of_variant" not in capsys.readouterr().out
+
+
+def test_document_files_are_packed(spark, tmp_path, monkeypatch):
+    """Documents are text of many times the rows' size: their files are packed, read back whole, and none of lines grows with the table."""
+    monkeypatch.setattr(queries_sources, "LINES_EACH", 600)
+    docs = spark.range(8000).select(F.format_string("D%d", "id").alias("doc_id"), F.lit("a").alias("layout"), F.col("id").alias("doc_seq"),
+                                    *[F.lit("1").alias(f"gt_{f}") for f in C.CORE_FIELDS]).coalesce(1)
+    queries_sources.document_files(SimpleNamespace(documents=docs), str(tmp_path))
+    files, lines = (list((tmp_path / n).glob("part-*")) for n in ("files", "lines"))
+    assert len(files) == 3 and len(lines) == 4 and all(p.name.endswith(".gz") for p in files + lines)
+    assert sum(p.stat().st_size for p in files + lines) < 300_000
+    read = variants.read_documents(spark, str(tmp_path / "files")).unionByName(variants.read_document_lines(spark, str(tmp_path / "lines")))
+    assert {r["doc_id"] for r in read.select("doc_id").collect()} == {f"D{k}" for k in range(8000)} and read.count() == 8000
